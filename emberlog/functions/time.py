@@ -78,14 +78,15 @@ def parse_iso(text: Column) -> Column:
 
     A bare cast is both too wide (it takes ``12:30`` and zone names) and too
     narrow (it refuses ``2024-01-01T10:00Z`` and hour 24), hence the shape test
-    and the two rewrites.
+    and, for texts the cast refuses, two rewrites.
     """
     padded = F.regexp_replace(text, r"([T ]\d{2}:\d{2})(Z|[+-]|$)", "$1:00$2")
-    midnight = padded.rlike(r"[T ]24:00:00(\.0+)?(Z|[+-]|$)")
-    plain = F.regexp_replace(padded, r"([T ])24:", "$100:")
-    parsed = F.when(
-        midnight, plain.try_cast("timestamp") + F.expr("INTERVAL 24 HOURS")
+    next_day = F.regexp_replace(padded, r"([T ])24:00:00", "$100:00:00")
+    rewritten = F.when(
+        padded.rlike(r"[T ]24:00:00(\.0+)?(Z|[+-]|$)"),
+        next_day.try_cast("timestamp") + F.expr("INTERVAL 24 HOURS"),
     ).otherwise(padded.try_cast("timestamp"))
+    parsed = F.coalesce(text.try_cast("timestamp"), rewritten)
     return F.when(text.rlike(ISO_SHAPE), to_millis(parsed))
 
 

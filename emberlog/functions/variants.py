@@ -18,12 +18,6 @@ def kind(value: Column) -> Column:
     return F.schema_of_variant(value)
 
 
-def is_scalar(value: Column) -> Column:
-    """A JSON string, number or boolean."""
-    name = kind(value)
-    return ~(name.isin("VOID") | name.startswith("OBJECT") | name.startswith("ARRAY"))
-
-
 def needs_number_rule(value: Column) -> Column:
     """Whether the plain cast to text may differ from JavaScript's number text."""
     name = kind(value)

@@ -29,27 +29,26 @@ BAD_SERVICE = "service should be a notNull string"
 BAD_MESSAGE = "message should be a notNull string"
 BAD_ATTRIBUTES = "attributes must be a flat object"
 
+# Patterns over the type text of a JSON object, such as OBJECT<a: BIGINT, b: STRING>.
+QUOTED_KEY = r"`([^`]|``)*`"
+NESTED = r"<.*(OBJECT|ARRAY)<|: VOID"
+
 
 def _only_text(value: Column) -> Column:
     return F.when(variants.kind(value) == "STRING", variants.get(value, "string"))
 
 
-def normalize_attributes(value: Column) -> Column:
+def normalize_attributes(value: Column, shape: Column) -> Column:
     """Attributes as MAP<STRING,STRING>; missing or null gives an empty map.
 
-    NULL means the value is not a flat object.  Casting the whole object at once
-    gives the right text for strings, booleans and ordinary whole numbers; only
-    rows holding another number go value by value.
+    NULL means the value is not a flat object, which its type text ``shape`` tells.
     """
+    types = F.when(shape.contains("`"), F.regexp_replace(shape, QUOTED_KEY, "x")).otherwise(shape)
     values = variants.get(value, "map<string,variant>")
-    empty = F.create_map().cast("map<string,string>")
-    flat = F.forall(F.map_values(values), variants.is_scalar)
-    odd = F.exists(F.map_values(values), variants.needs_number_rule)
     return (
-        F.when(value.isNull() | (variants.kind(value) == "VOID"), empty)
-        .when(~F.coalesce(flat, F.lit(False)), F.lit(None))
-        .when(odd, F.transform_values(values, lambda _, item: variants.scalar_text(item)))
-        .otherwise(variants.get(value, "map<string,string>"))
+        F.when(shape.isNull() | (shape == "VOID"), F.create_map().cast("map<string,string>"))
+        .when(~shape.startswith("OBJECT") | types.rlike(NESTED), F.lit(None))
+        .otherwise(F.transform_values(values, lambda _, item: variants.scalar_text(item)))
     )
 
 
@@ -85,8 +84,18 @@ def validate_entries(
         _only_text(F.col("f.level")).alias("level"),
         _only_text(F.col("f.service")).alias("service"),
         _only_text(F.col("f.message")).alias("message"),
-        normalize_attributes(F.col("f.attributes")).alias("attributes"),
-    ).withColumn("timestamp", parse_iso(F.col("timestamp_text")))
+        F.col("f.attributes").alias("attributes_value"),
+        variants.kind(F.col("f.attributes")).alias("attributes_shape"),
+    )
+    parsed = typed.withColumns(
+        {
+            "timestamp": parse_iso(F.col("timestamp_text")),
+            "level_text": variants.any_text(F.col("level_value")),
+            "attributes": normalize_attributes(
+                F.col("attributes_value"), F.col("attributes_shape")
+            ),
+        }
+    )
 
     ts = F.col("timestamp")
     horizon = ts_lit(now) + F.expr(f"INTERVAL {FUTURE_TOLERANCE_MINUTES} MINUTES")
@@ -101,13 +110,15 @@ def validate_entries(
         )
     known = F.coalesce(F.col("level").isin(*LEVELS), F.lit(False))
     reason = (
-        rules.when(~known, F.concat(F.lit(BAD_LEVEL), variants.any_text(F.col("level_value"))))
+        rules.when(~known, F.concat(F.lit(BAD_LEVEL), F.col("level_text")))
         .when(~F.coalesce(has_text(F.col("service")), F.lit(False)), F.lit(BAD_SERVICE))
         .when(~F.coalesce(has_text(F.col("message")), F.lit(False)), F.lit(BAD_MESSAGE))
         .when(F.col("attributes").isNull(), F.lit(BAD_ATTRIBUTES))
     )
-    return typed.select(
-        *kept,
+    # Filters on ``reason`` must run on the finished value.  The optimizer would copy
+    # them, and with them all of the parsing, below the projections; it does not move
+    # them below a generator, and a one-element inline is one.
+    outcome = F.struct(
         reason.alias("reason"),
         "timestamp",
         "timestamp_text",
@@ -116,6 +127,7 @@ def validate_entries(
         "message",
         "attributes",
     )
+    return parsed.select(*kept, F.inline(F.array(outcome)))
 
 
 def split_batch(validated: DataFrame) -> tuple[DataFrame, DataFrame]:

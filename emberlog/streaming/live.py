@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from datetime import datetime
+from datetime import datetime, timedelta
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from emberlog.functions.time import floor_to, instant, millis
+from emberlog.functions.time import floor_to, instant, millis, time_bucket
 from emberlog.schema import LIVE, LIVE_WINDOW_MINUTES
 from emberlog.sources import folders
 
@@ -29,10 +29,11 @@ def count_minutes(entries: DataFrame) -> DataFrame:
 
 
 def prune_live(spark: SparkSession, path: str, as_of: str | datetime) -> None:
-    """Remove the directories of minutes that left the window."""
-    oldest = millis(floor_to(instant(as_of), 60)) - (LIVE_WINDOW_MINUTES - 1) * 60_000
-    for part in folders.matching(spark, f"{path}/minute_ms=*"):
-        if int(folders.partition_values(part)["minute_ms"]) < oldest:
+    """Remove the directories of hours that left the window."""
+    first = floor_to(instant(as_of), 60) - timedelta(minutes=LIVE_WINDOW_MINUTES - 1)
+    oldest = millis(floor_to(first, 3600))
+    for part in folders.matching(spark, f"{path}/hour_ms=*"):
+        if int(folders.partition_values(part)["hour_ms"]) < oldest:
             folders.remove(spark, part)
 
 
@@ -47,19 +48,20 @@ def live_counts_stream(
     """Keep the live table: each epoch adds the new value of every minute it changed.
 
     Update mode is needed, since append mode holds back the newest minutes, which
-    are the ones wanted.  With ``clock`` minutes outside the window are removed.
+    are the ones wanted.  With ``clock`` hours outside the window are removed; one directory an hour
+    keeps the table to a handful of them.
     """
     spark = entries.sparkSession
 
     def store_changes(changed: DataFrame, epoch: int) -> None:
         (
-            changed.withColumn("minute_ms", F.unix_millis("bucket"))
+            changed.withColumn("hour_ms", F.unix_millis(time_bucket(F.col("bucket"), "1h")))
             .withColumn("epoch", F.lit(epoch).cast("bigint"))
             .select(LIVE.fieldNames())
-            .hint("rebalance", F.col("minute_ms"))
+            .hint("rebalance", F.col("hour_ms"))
             .write.mode("overwrite")
             .option("partitionOverwriteMode", "dynamic")
-            .partitionBy("minute_ms", "epoch")
+            .partitionBy("hour_ms", "epoch")
             .parquet(path)
         )
         if clock is not None:
