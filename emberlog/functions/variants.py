@@ -24,7 +24,7 @@ def needs_number_rule(value: Column) -> Column:
     return (
         (name == "DOUBLE")
         | name.startswith("DECIMAL")
-        | ((name == "BIGINT") & (F.abs(get(value, "double")) > MAX_SAFE_INTEGER))
+        | ((name == "BIGINT") & (F.abs(get(value, "double")) >= MAX_SAFE_INTEGER))
     )
 
 

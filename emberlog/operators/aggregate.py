@@ -24,11 +24,24 @@ def _group(group_by: str | None) -> Column:
     return (F.col(group_by) if group_by else F.lit(None).cast("string")).alias("group")
 
 
-def _counted(rows: DataFrame, instant_col: str, bucket: str, group_by: str | None, amount: Column):
-    """(start, group, count); partial sums per task first, so a hot group is one row per task."""
-    return rows.groupBy(
-        time_bucket(F.col(instant_col), bucket).alias("start"), _group(group_by)
-    ).agg(amount.alias("count"))
+def _amounts(
+    rows: DataFrame, instant_col: str, bucket: str, group_by: str | None, amount: Column
+) -> DataFrame:
+    return rows.select(
+        time_bucket(F.col(instant_col), bucket).alias("start"),
+        _group(group_by),
+        amount.cast("bigint").alias("count"),
+    )
+
+
+def _summed(amounts: DataFrame) -> DataFrame:
+    """One row per bucket and group.  Each task sums its own rows first, so a group
+    holding most of the table is one row per task in the shuffle."""
+    return amounts.groupBy("start", "group").agg(F.sum("count").alias("count"))
+
+
+def _raw_amounts(rows: DataFrame, bucket: str, group_by: str | None) -> DataFrame:
+    return _amounts(rows, "timestamp", bucket, group_by, F.lit(1))
 
 
 def in_order(buckets: DataFrame) -> DataFrame:
@@ -50,12 +63,10 @@ def bucket_counts(
     """Count raw rows per bucket (and service or level); empty buckets are left out."""
     filters = dict(service=service, level=level, since=since, until=until, q=q, attr=attr)
     check_aggregate(bucket=bucket, group_by=group_by, **filters)
-    return in_order(
-        _counted(all_filters(logs, **filters), "timestamp", bucket, group_by, F.count("*"))
-    )
+    return in_order(_summed(_raw_amounts(all_filters(logs, **filters), bucket, group_by)))
 
 
-def _rollup_part(
+def _rollup_amounts(
     partials: DataFrame, since, until, bucket, group_by, service, level
 ) -> DataFrame:
     rows = all_filters(
@@ -65,7 +76,7 @@ def _rollup_part(
         since=since,
         until=until,
     )
-    return _counted(rows, "timestamp", bucket, group_by, F.sum("count"))
+    return _amounts(rows, "timestamp", bucket, group_by, F.col("count"))
 
 
 def rollup_counts(
@@ -87,7 +98,8 @@ def rollup_counts(
     check_aggregate(
         bucket=bucket, group_by=group_by, since=since, until=until, service=service, level=level
     )
-    return in_order(_rollup_part(partials, since, until, bucket, group_by, service, level))
+    amounts = _rollup_amounts(partials, since, until, bucket, group_by, service, level)
+    return in_order(_summed(amounts))
 
 
 def live_window(
@@ -116,7 +128,7 @@ def live_window(
     rows = all_filters(
         logs, service=service, level=level, since=window[0], until=window[1]
     )
-    return in_order(_counted(rows, "timestamp", "1m", group_by, F.count("*")))
+    return in_order(_summed(_raw_amounts(rows, "1m", group_by)))
 
 
 def live_range(as_of, since, until, started_at=None) -> tuple[datetime, datetime] | None:
@@ -146,7 +158,7 @@ def live_counts(
     window = live_range(as_of, since, until, started_at)
     if window is None:
         return None
-    return in_order(_rollup_part(live, *window, "1m", group_by, service, level))
+    return in_order(_summed(_rollup_amounts(live, *window, "1m", group_by, service, level)))
 
 
 def _with_raw_edges(
@@ -154,7 +166,8 @@ def _with_raw_edges(
 ) -> DataFrame:
     """Rollup for the whole grains inside the range, raw rows for the cut ones.
 
-    Equals the raw answer for any range, and reads at most two grains of raw rows.
+    Equals the raw answer for any range, reads at most two grains of raw rows and
+    sums both in one aggregation.
     """
     low, high = instant(since), instant(until)
     inner = ceil_to(low, GRAIN_SECONDS[grain]), floor_to(high, GRAIN_SECONDS[grain])
@@ -162,16 +175,17 @@ def _with_raw_edges(
         return bucket_counts(
             store.scan_logs(), low, high, bucket, group_by, service=service, level=level
         )
-    body = _rollup_part(store.scan_partials(grain), *inner, bucket, group_by, service, level)
+    amounts = _rollup_amounts(
+        store.scan_partials(grain), *inner, bucket, group_by, service, level
+    )
     edges = [edge for edge in ((low, inner[0]), (inner[1], high)) if edge[0] < edge[1]]
-    if not edges:
-        return in_order(body)
-    cut = F.lit(False)
-    for edge in edges:
-        cut = cut | by_time(*edge, day="dt")
-    raw = all_filters(store.scan_logs(), service=service, level=level).filter(cut)
-    both = body.unionByName(_counted(raw, "timestamp", bucket, group_by, F.count("*")))
-    return in_order(both.groupBy("start", "group").agg(F.sum("count").alias("count")))
+    if edges:
+        cut = F.lit(False)
+        for edge in edges:
+            cut = cut | by_time(*edge, day="dt")
+        raw = all_filters(store.scan_logs(), service=service, level=level).filter(cut)
+        amounts = amounts.unionByName(_raw_amounts(raw, bucket, group_by))
+    return in_order(_summed(amounts))
 
 
 def aggregate(

@@ -17,19 +17,14 @@ def rollup_drift(
 ) -> DataFrame:
     """(bucket, service, level, raw, rollup) wherever the two counts differ.
 
-    Both sides are counted before they meet and then summed side by side, which
-    needs one shuffle of counts and no join.  ``skip_day`` leaves out the
+    Raw rows count 1 on one side, partials their count on the other, and both are
+    summed side by side: one aggregation, folded per task first, and no join.  ``skip_day`` leaves out the
     retention cutoff day, where rollups are trimmed and raw rows are not yet.
     """
     keys = ["bucket", "service", "level"]
-    zero = F.lit(0).cast("bigint")
-    raw = (
-        logs.groupBy(
-            time_bucket(F.col("timestamp"), GRAINS[grain]).alias("bucket"), "service", "level"
-        )
-        .agg(F.count("*").alias("raw"))
-        .withColumn("rollup", zero)
-    )
+    one, zero = (F.lit(value).cast("bigint") for value in (1, 0))
+    start = time_bucket(F.col("timestamp"), GRAINS[grain]).alias("bucket")
+    raw = logs.select(start, "service", "level", one.alias("raw"), zero.alias("rollup"))
     rolled = partials.select(*keys, zero.alias("raw"), F.col("count").alias("rollup"))
     both = raw.unionByName(rolled)
     if skip_day is not None:

@@ -79,7 +79,6 @@ LIVE = T.StructType(
         T.StructField("service", T.StringType()),
         T.StructField("level", T.StringType()),
         T.StructField("count", T.LongType()),
-        T.StructField("hour_ms", T.LongType()),
         T.StructField("epoch", T.LongType()),
     ]
 )

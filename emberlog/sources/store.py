@@ -238,9 +238,9 @@ class LogStore:
     # -- day directories -----------------------------------------------------
 
     def days(self, path: str | None = None) -> list[date]:
-        """Days that have a directory, from the listing alone."""
-        found = folders.matching(self.spark, f"{path or self.logs_path}/dt=*")
-        return sorted(date.fromisoformat(folders.partition_values(p)["dt"]) for p in found)
+        """Days that hold a batch, from the listing alone."""
+        found = folders.matching(self.spark, f"{path or self.logs_path}/dt=*/batch_id=*")
+        return sorted({date.fromisoformat(folders.partition_values(p)["dt"]) for p in found})
 
     def drop_day(self, path: str, day: date) -> bool:
         return folders.remove(self.spark, f"{path}/dt={day.isoformat()}")

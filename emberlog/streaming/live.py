@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from emberlog.functions.time import floor_to, instant, millis, time_bucket
+from emberlog.functions.time import floor_to, instant, ts_lit
 from emberlog.schema import LIVE, LIVE_WINDOW_MINUTES
 from emberlog.sources import folders
 
@@ -29,12 +29,15 @@ def count_minutes(entries: DataFrame) -> DataFrame:
 
 
 def prune_live(spark: SparkSession, path: str, as_of: str | datetime) -> None:
-    """Remove the directories of hours that left the window."""
+    """Remove the epochs that hold nothing but minutes which left the window.
+
+    The table is as small as the window, and one row per epoch comes back.
+    """
     first = floor_to(instant(as_of), 60) - timedelta(minutes=LIVE_WINDOW_MINUTES - 1)
-    oldest = millis(floor_to(first, 3600))
-    for part in folders.matching(spark, f"{path}/hour_ms=*"):
-        if int(folders.partition_values(part)["hour_ms"]) < oldest:
-            folders.remove(spark, part)
+    epochs = spark.read.schema(LIVE).parquet(path).groupBy("epoch")
+    over = epochs.agg(F.max("bucket").alias("last")).filter(F.col("last") < ts_lit(first))
+    for row in over.collect():
+        folders.remove(spark, f"{path}/epoch={row.epoch}")
 
 
 def live_counts_stream(
@@ -48,20 +51,17 @@ def live_counts_stream(
     """Keep the live table: each epoch adds the new value of every minute it changed.
 
     Update mode is needed, since append mode holds back the newest minutes, which
-    are the ones wanted.  With ``clock`` hours outside the window are removed; one directory an hour
-    keeps the table to a handful of them.
+    are the ones wanted.  With ``clock`` the table is kept down to the window.
     """
     spark = entries.sparkSession
 
     def store_changes(changed: DataFrame, epoch: int) -> None:
         (
-            changed.withColumn("hour_ms", F.unix_millis(time_bucket(F.col("bucket"), "1h")))
-            .withColumn("epoch", F.lit(epoch).cast("bigint"))
+            changed.withColumn("epoch", F.lit(epoch).cast("bigint"))
             .select(LIVE.fieldNames())
-            .hint("rebalance", F.col("hour_ms"))
             .write.mode("overwrite")
             .option("partitionOverwriteMode", "dynamic")
-            .partitionBy("hour_ms", "epoch")
+            .partitionBy("epoch")
             .parquet(path)
         )
         if clock is not None:
