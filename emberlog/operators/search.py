@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping
-from datetime import datetime
+from datetime import date, datetime
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -104,6 +104,25 @@ def page_floor(
     )
 
 
+def matching_days(rows: DataFrame, days: list[date], limit: int) -> list[date]:
+    """The newest days that hold the first ``limit`` rows, or every day with a row.
+
+    Looks at the newest day, then at the two before it, then four, and stops once
+    enough rows are counted, so a common word costs one day of one column and a
+    rare one a single pass.  Only the counts come back.
+    """
+    newest = sorted(days, reverse=True)
+    chosen, missing, width = [], limit, 1
+    while newest and missing > 0:
+        window, newest = newest[:width], newest[width:]
+        inside = F.col("dt").between(F.lit(window[-1]), F.lit(window[0]))
+        found = rows.filter(inside).select(F.lit(1)).limit(missing).count()
+        if found:
+            chosen += window
+        missing, width = missing - found, width * 2
+    return chosen
+
+
 def search_store(
     store: LogStore,
     *,
@@ -116,26 +135,40 @@ def search_store(
     limit: int | None = None,
     cursor: str | None = None,
 ) -> DataFrame:
-    """``search_logs`` over the store, reading only the hours the page needs.
+    """``search_logs`` over the store, reading only what the page needs.
 
     A page asked for by service and level alone is known from the rollup to be
     full within the last few hours.  That hour becomes a scalar subquery in the
     plan, which prunes day directories and row groups when the query runs.  The
     page is the same: raw rows are stored before they are counted and removed
-    after, so the range holds at least as many rows as the rollup says.  Message
-    and attribute filters have no counts to go by and scan the given range.
+    after, so the range holds at least as many rows as the rollup says.
+
+    Messages and attributes have no counts to go by.  There the days are searched
+    from the newest on until the page is known to be full.
     """
     limit = DEFAULT_LIMIT if limit is None else min(limit, MAX_LIMIT)
-    filters = dict(service=service, level=level, since=since, until=until)
-    check_search(**filters, q=q, attr=attr, limit=limit, cursor=cursor)
+    keys = dict(service=service, level=level, since=since, until=until)
+    filters = dict(**keys, q=q, attr=attr)
+    check_search(**filters, limit=limit, cursor=cursor)
     logs = store.scan_logs()
-    if not q and not attr:
-        floor = page_floor(store, limit, **filters, cursor=cursor)
+    if q or attr:
+        rows = all_filters(logs, **filters)
+        days = store.days()
+        last = [instant(until).date()] if until else []
+        if cursor is not None:
+            rows = after_cursor(rows, *decode_cursor(cursor))
+            last.append(decode_cursor(cursor)[0].date())
+        if since:
+            days = [day for day in days if day >= instant(since).date()]
+        days = matching_days(rows, [day for day in days if day <= min(last, default=day)], limit)
+        logs = logs.filter(F.col("dt").isin(days))
+    else:
+        floor = page_floor(store, limit, **keys, cursor=cursor)
         logs = logs.filter(
             (F.col("timestamp") >= floor.scalar())
             & (F.col("dt") >= floor.select(F.to_date("floor")).scalar())
         )
-    return search_logs(logs, **filters, q=q, attr=attr, limit=limit, cursor=cursor)
+    return search_logs(logs, **filters, limit=limit, cursor=cursor)
 
 
 def next_cursor(page: DataFrame, limit: int) -> DataFrame:

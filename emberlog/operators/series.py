@@ -53,38 +53,42 @@ def dense_series(
     """(group, slot, start, count) with a row for every slot of every group.
 
     Slots outside the range are dropped.  All four levels appear when grouping
-    by level; a service appears when it has a bucket, in range or not.  The zero
-    rows are unioned with the counts and summed, so no grid is joined.
+    by level; a service appears when it has a bucket, in range or not.  A group's
+    filled slots (2000 at most) are gathered into one row, the missing ones added
+    and the row spread out again, so the buckets are computed once and no grid of
+    groups and slots is joined.
     """
     if group_by is not None and group_by not in GROUP_COLUMNS:
         raise ValueError("group_by must be 'service' or 'level'")
     slots = slot_count(since, until, bucket)
     step = BUCKET_SECONDS[bucket] * 1000
+    zero, last = (F.lit(value).cast("bigint") for value in (0, slots - 1))
+    place = half_up((F.unix_millis("start") - F.lit(millis(since))) / F.lit(step))
     name = F.col("group") if group_by else F.lit(ALL)
-    offset = (F.unix_millis("start") - F.lit(millis(since))) / F.lit(step)
     counts = buckets.select(
-        name.alias("group"), half_up(offset).alias("slot"), "count"
-    ).filter(F.col("slot").between(0, slots - 1))
-
-    if group_by == "service":
-        groups = buckets.filter(F.col("group").isNotNull()).select("group").distinct()
-    else:
-        fixed = LEVELS if group_by else (ALL,)
-        names = F.array(*[F.lit(value) for value in fixed])
-        groups = buckets.sparkSession.range(1).select(F.explode(names).alias("group"))
-    if group_by == "level":
-        counts = counts.filter(F.col("group").isin(*LEVELS))
-    zero = F.lit(0).cast("bigint")
-    zeros = groups.select(
-        "group",
-        F.explode(F.sequence(zero, F.lit(slots - 1).cast("bigint"))).alias("slot"),
-        zero.alias("count"),
+        name.alias("group"), F.when(place.between(zero, last), place).alias("slot"), "count"
+    ).filter(F.col("group").isNotNull())
+    if group_by != "service":
+        known = LEVELS if group_by else (ALL,)
+        empty = buckets.sparkSession.range(1).select(
+            F.explode(F.array(*[F.lit(value) for value in known])).alias("group"),
+            F.lit(None).cast("bigint").alias("slot"),
+            zero.alias("count"),
+        )
+        counts = counts.filter(F.col("group").isin(*known)).unionByName(empty)
+
+    filled = F.when(F.col("slot").isNotNull(), F.struct("slot", "count"))
+    groups = (
+        counts.groupBy("group", "slot")
+        .agg(F.sum("count").alias("count"))
+        .groupBy("group")
+        .agg(F.collect_list(filled).alias("filled"))
     )
+    missing = F.array_except(F.sequence(zero, last), F.col("filled.slot"))
+    zeros = F.transform(missing, lambda slot: F.struct(slot.alias("slot"), zero.alias("count")))
     start = F.timestamp_millis(F.unix_millis(ts_lit(since)) + F.col("slot") * step)
     return (
-        zeros.unionByName(counts)
-        .groupBy("group", "slot")
-        .agg(F.sum("count").alias("count"))
+        groups.select("group", F.inline(F.concat("filled", zeros)))
         .select("group", "slot", start.alias("start"), "count")
         .orderBy("group", "slot")
     )

@@ -49,37 +49,42 @@ def ingestion_rate(logs: DataFrame, as_of: str | datetime) -> DataFrame:
     ).withColumn("per_second_1m", per_second(F.col("last_1m")))
 
 
-def _sized(rows: DataFrame, name: Column) -> DataFrame:
-    """Rows and bytes per directory; a file's size is taken once, not per row."""
-    files = rows.groupBy(
-        name.alias("name"), F.col("_metadata.file_path").alias("file")
-    ).agg(F.count("*").alias("rows"), F.max("_metadata.file_size").alias("bytes"))
-    return files.groupBy("name").agg(F.sum("rows").alias("rows"), F.sum("bytes").alias("bytes"))
+def _files(rows: DataFrame, name: Column) -> DataFrame:
+    """Rows and bytes per file: its size is taken once, not per row."""
+    return rows.groupBy(name.alias("name"), F.col("_metadata.file_path").alias("file")).agg(
+        F.count("*").alias("rows"), F.max("_metadata.file_size").alias("bytes")
+    )
 
 
-def partition_stats(store: LogStore) -> DataFrame:
-    """Exact rows and bytes per day partition, and of the stray rows if there are any.
+def _sizes(store: LogStore, *groups: list[str]) -> DataFrame:
+    """(name, rows, bytes) per partition, or overall where ``groups`` has an empty list.
 
     Counting reads no data column.
     """
-    if not store.days():
-        return store.spark.createDataFrame(
-            [], "name STRING, from DATE, to DATE, rows BIGINT, bytes BIGINT"
-        )
-    days = _sized(store.scan_logs(), F.date_format("dt", PARTITION_NAME))
-    day = F.to_date("name", PARTITION_NAME)
-    days = days.select("name", day.alias("from"), F.date_add(day, 1).alias("to"), "rows", "bytes")
+    if not store.days() and not store.days(store.stray_path):
+        return store.spark.createDataFrame([], "name STRING, rows BIGINT, bytes BIGINT")
+    files = []
+    if store.days():
+        files.append(_files(store.scan_logs(), F.date_format("dt", PARTITION_NAME)))
     if store.days(store.stray_path):
-        nothing = F.lit(None).cast("date")
-        stray = _sized(store.scan_stray(), F.lit(STRAY_NAME)).select(
-            "name", nothing.alias("from"), nothing.alias("to"), "rows", "bytes"
-        )
-        days = days.unionByName(stray)
-    return days.orderBy("name")
+        files.append(_files(store.scan_stray(), F.lit(STRAY_NAME)))
+    both = files[0] if len(files) == 1 else files[0].unionByName(files[1])
+    return both.groupingSets(list(groups), "name").agg(
+        F.sum("rows").alias("rows"), F.sum("bytes").alias("bytes")
+    )
+
+
+def partition_stats(store: LogStore) -> DataFrame:
+    """Exact rows and bytes per day partition, and of the stray rows if there are any."""
+    sizes = _sizes(store, ["name"])
+    day = F.try_to_date("name", PARTITION_NAME)
+    return sizes.select(
+        "name", day.alias("from"), F.date_add(day, 1).alias("to"), "rows", "bytes"
+    ).orderBy("name")
 
 
 def store_bytes(store: LogStore) -> DataFrame:
-    return partition_stats(store).agg(F.coalesce(F.sum("bytes"), F.lit(0)).alias("bytes"))
+    return _sizes(store, ["name"]).agg(F.coalesce(F.sum("bytes"), F.lit(0)).alias("bytes"))
 
 
 def totals(logs: DataFrame, as_of: str | datetime) -> DataFrame:
@@ -145,17 +150,12 @@ def store_report(
     lookahead_days: int = DEFAULT_LOOKAHEAD_DAYS,
 ) -> DataFrame:
     """Everything known about the store, as (section, name, rows, text)."""
-    parts = partition_stats(store).select(
-        F.lit("partitions").alias("section"),
-        "name",
-        "rows",
-        F.col("bytes").cast("string").alias("text"),
-    )
-    size = store_bytes(store).select(
-        F.lit("store").alias("section"),
-        F.lit("bytes").alias("name"),
-        F.col("bytes").alias("rows"),
-        F.lit(None).cast("string").alias("text"),
+    whole = F.col("name").isNull()
+    sizes = _sizes(store, ["name"], []).select(
+        F.when(whole, F.lit("store")).otherwise(F.lit("partitions")).alias("section"),
+        F.coalesce("name", F.lit("bytes")).alias("name"),
+        F.when(whole, F.col("bytes")).otherwise(F.col("rows")).alias("rows"),
+        F.when(~whole, F.col("bytes").cast("string")).alias("text"),
     )
     config = store.spark.range(1).select(
         F.inline(
@@ -176,4 +176,4 @@ def store_report(
         )
     )
     report = totals(store.scan_logs(include_stray=True), as_of)
-    return report.unionByName(parts).unionByName(size).unionByName(config)
+    return report.unionByName(sizes).unionByName(config)

@@ -18,6 +18,7 @@ another one.
 from __future__ import annotations
 
 import re
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 from datetime import date, datetime
 
@@ -158,20 +159,16 @@ class LogStore:
         self._replace_parts(logs.select(LOGS.fieldNames()), self.stray_path, "service", "timestamp")
 
     def add_counts(self, entries: DataFrame, grain: str, batch_id: str | None = None) -> None:
-        """Add the counts of new entries to one rollup, as this batch's partial.
+        """Add the counts of new log rows to one rollup, as this batch's partial.
 
-        ``entries`` are log rows, or rows of a finer rollup (then their counts
-        are summed).  Repeating the batch replaces its partial.
+        Repeating the batch replaces its partial.
         """
         if batch_id is not None:
             entries = entries.withColumn("batch_id", F.lit(check_batch_id(batch_id)))
-        finer = "bucket" in entries.columns
-        instant, amount = ("bucket", F.sum("count")) if finer else ("timestamp", F.count("*"))
+        start = time_bucket(F.col("timestamp"), GRAINS[grain])
         counts = (
-            entries.withColumn("start", time_bucket(F.col(instant), GRAINS[grain]))
-            .groupBy("start", "service", "level", "batch_id")
-            .agg(amount.alias("count"))
-            .withColumnRenamed("start", "bucket")
+            entries.groupBy(start.alias("bucket"), "service", "level", "batch_id")
+            .agg(F.count("*").alias("count"))
             .withColumn("dt", F.to_date("bucket"))
             .select(ROLLUP.fieldNames())
         )
@@ -181,18 +178,17 @@ class LogStore:
         """Put back the partials of whole (dt, batch_id) directories."""
         self._replace_parts(partials, self.rollup_path(grain), "service", "level", "bucket")
 
+    def add_both_counts(self, entries: DataFrame, batch_id: str | None = None) -> None:
+        """Both rollups at once: two small independent jobs, side by side."""
+        with ThreadPoolExecutor(len(GRAINS)) as pool:
+            jobs = [pool.submit(self.add_counts, entries, grain, batch_id) for grain in GRAINS]
+        for job in jobs:
+            job.result()
+
     def load_rows(self, logs: DataFrame) -> None:
         """Raw rows and both rollups, for rows that carry their own ``batch_id``."""
         self.append_logs(logs)
-        self.add_counts(logs, "minute")
-        self.add_counts(logs, "hour")
-
-    def add_both_counts(self, entries: DataFrame, batch_id: str) -> None:
-        """Both rollups; the hours are summed from the minutes just written."""
-        self.add_counts(entries, "minute", batch_id)
-        path = self.rollup_path("minute")
-        parts = folders.matching(self.spark, f"{path}/dt=*/batch_id={batch_id}")
-        self.add_counts(self._read(path, ROLLUP, parts), "hour", batch_id)
+        self.add_both_counts(logs)
 
     def rebuild_rollup(self, grain: str) -> None:
         """Recompute one rollup from the raw rows, replacing whatever was there.
@@ -221,8 +217,8 @@ class LogStore:
     def load_batch(self, logs: DataFrame, batch_id: str) -> None:
         """Raw rows first, then both rollups counted from what was stored.
 
-        Reading back three narrow columns is much cheaper than parsing the
-        entries a second time.  Leftovers of an earlier attempt go first: a retry
+        Reading three narrow columns back is much cheaper than parsing the entries
+        a second time.  Leftovers of an earlier attempt go first: a retry
         may touch fewer days than the attempt it repeats.
         """
         self.discard_batch(batch_id)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 from datetime import UTC, datetime
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,9 +14,9 @@ from emberlog.operators.dead_letters import dead_letter_write, discard_dead
 from emberlog.operators.validation import derive_columns, split_batch, validate_entries
 from emberlog.schema import DEFAULT_RETENTION_DAYS, REJECTED
 from emberlog.sources.envelopes import (
-    entries_of,
     explode_envelopes,
     name_envelopes,
+    refused_envelopes,
     stream_batches,
 )
 from emberlog.sources.store import LogStore, check_batch_id
@@ -64,20 +65,28 @@ def ingest_bodies(
 ) -> None:
     """Validate request bodies and store the outcome as one batch.
 
+    A body refused as a whole is kept among the rejected with no index.
     ``keep_parsed`` caches the validated rows so that they are parsed once for
     both outcomes; it suits a micro-batch.  A large historical load parses twice
     instead of holding everything.
     """
     envelopes = name_envelopes(bodies, prefix=f"{batch_id}/")
     validated = validate_entries(
-        entries_of(explode_envelopes(envelopes)), as_of, retention_days=retention_days
+        explode_envelopes(envelopes), as_of, retention_days=retention_days
     )
     if keep_parsed:
         validated = validated.persist()
     try:
-        accepted, rejected = split_batch(validated)
-        flush_batch(store, accepted, batch_id, as_of)
-        write_rejected(store, rejected, batch_id)
+        accepted, rejected = split_batch(validated.filter(F.col("index").isNotNull()))
+        rejected = rejected.unionByName(
+            refused_envelopes(validated).select(
+                "envelope", F.lit(None).cast("int").alias("index"), F.col("error").alias("reason")
+            )
+        )
+        with ThreadPoolExecutor(1) as pool:
+            refused = pool.submit(write_rejected, store, rejected, batch_id)
+            flush_batch(store, accepted, batch_id, as_of)
+        refused.result()
     finally:
         if keep_parsed:
             validated.unpersist()

@@ -90,7 +90,7 @@ def spread(new_store, logs):
     """Four days, one busy hour and many quiet ones, in two batches."""
     store = new_store()
     rows = [
-        (str(BASE - timedelta(hours=5 * i)), ("info", "error")[i % 2], ("a", "b")[i % 3 == 0], "x")
+        (str(BASE - timedelta(hours=5 * i)), ("info", "error")[i % 2], ("a", "b")[i % 3 == 0], "x", {"odd": str(i % 2)})
         for i in range(16)
     ]
     rows += [(str(BASE - timedelta(seconds=i)), "info", "a", "busy") for i in range(20)]
@@ -109,6 +109,10 @@ def spread(new_store, logs):
         dict(level="error"),
         dict(service="a", level="info", since=BASE - timedelta(hours=33, minutes=7)),
         dict(until=BASE - timedelta(hours=9, minutes=30)),
+        dict(q="x"),
+        dict(q="busy", until=BASE),
+        dict(q="x", attr={"odd": "1"}, since=BASE - timedelta(hours=50)),
+        dict(q="nowhere"),
     ],
 )
 def test_store_search_equals_plain_search(spread, limit, options):
