@@ -38,10 +38,25 @@ def contains_pattern(q: str) -> str:
     return "%" + "".join(out) + "%"
 
 
+def shortest_text(value: Column) -> Column:
+    """The fewest digits that read back as the same DOUBLE.
+
+    The cast to text may give 17 digits where 15 or 16 do; such long texts are
+    tried again with fewer.
+    """
+    text = value.cast("string")
+    fewer = F.lit(None).cast("string")
+    for digits in (16, 15):
+        tried = F.format_string(f"%.{digits - 1}E", value)
+        fewer = F.when(tried.try_cast("double") == value, tried).otherwise(fewer)
+    tidy = F.regexp_replace(F.regexp_replace(fewer, r"\.?0*E\+?", "E"), r"E(-?)0+(\d)", "E$1$2")
+    return F.when(F.length(text) > 17, F.coalesce(tidy, text)).otherwise(text)
+
+
 def number_text(value: Column) -> Column:
     """A DOUBLE as JavaScript prints it: 3, 100, 0.00001, 1e+21, 1.5e-7."""
     size = F.abs(value)
-    shortest = value.cast("string")
+    shortest = shortest_text(value)
 
     def plain(scale: int) -> Column:
         digits = shortest.try_cast(f"decimal(38,{scale})").cast("string")

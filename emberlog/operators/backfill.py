@@ -33,10 +33,13 @@ def backfill(
 
     Parked rows of the days touched are moved into place first.
     """
-    to_insert, _, report, dates = backfill_plan(entries, as_of, days)
-    touched = sorted(row.dt for row in dates.collect())  # days within the retention window
+    to_insert, _, outcome = backfill_plan(entries, as_of, days)
+    counted = outcome.collect()  # one row per day of the window, at most
+    totals = dict.fromkeys(("accepted", "discarded", "rejected"), 0)
+    for row in counted:
+        totals[row.outcome] += row["count"]
+    touched = sorted(row.dt for row in counted if row.dt is not None)
     for day in touched:
         backfill_day(store, day)
     store.load_batch(derive_columns(to_insert), batch_id)
-    line = report.first()
-    return Backfilled(line.accepted, line.discarded, line.rejected, line.status, touched)
+    return Backfilled(**totals, status=200 if totals["accepted"] else 400, dates=touched)

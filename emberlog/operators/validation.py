@@ -182,22 +182,42 @@ def batch_report(validated: DataFrame) -> DataFrame:
 
 def backfill_plan(
     entries: DataFrame, as_of: str | datetime, days: int = DEFAULT_RETENTION_DAYS
-) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-    """Plan of a historical load: (to_insert, rejected, report, dates).
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Plan of a historical load: (to_insert, rejected, outcome).
 
     Old entries are valid here, but those beyond the retention window are
-    discarded: they would go again at the next retention run.
+    discarded: they would go again at the next retention run.  ``outcome`` counts
+    (outcome, dt) with the day of accepted entries only, at most one row per day
+    of the window and two more; report and dates both come from it.
     """
     now = instant(as_of)
     validated = validate_entries(entries, now, retention_days=days, allow_stale=True)
     stale = is_stale(F.col("timestamp"), now, days)
     accepted, rejected = split_batch(validated)
-    to_insert = accepted.filter(~stale)
-    valid = F.col("reason").isNull()
-    report = validated.agg(
-        F.count_if(valid & ~stale).alias("accepted"),
-        F.count_if(valid & stale).alias("discarded"),
-        F.count_if(~valid).alias("rejected"),
-    ).withColumn("status", F.when(F.col("accepted") > 0, 200).otherwise(400))
-    dates = to_insert.select(F.to_date("timestamp").alias("dt")).distinct()
-    return to_insert, rejected, report, dates
+    outcome = (
+        F.when(F.col("reason").isNotNull(), F.lit("rejected"))
+        .when(stale, F.lit("discarded"))
+        .otherwise(F.lit("accepted"))
+    )
+    counted = (
+        validated.select(outcome.alias("outcome"), "timestamp")
+        .withColumn("dt", F.when(F.col("outcome") == "accepted", F.to_date("timestamp")))
+        .groupBy("outcome", "dt")
+        .agg(F.count("*").alias("count"))
+    )
+    return accepted.filter(~stale), rejected, counted
+
+
+def backfill_report(outcome: DataFrame) -> DataFrame:
+    """(accepted, discarded, rejected, status) of a planned historical load."""
+    counts = [
+        F.coalesce(F.sum(F.when(F.col("outcome") == name, F.col("count"))), F.lit(0)).alias(name)
+        for name in ("accepted", "discarded", "rejected")
+    ]
+    status = F.when(F.col("accepted") > 0, 200).otherwise(400)
+    return outcome.agg(*counts).withColumn("status", status)
+
+
+def backfill_dates(outcome: DataFrame) -> DataFrame:
+    """The UTC days a planned historical load touches."""
+    return outcome.filter(F.col("dt").isNotNull()).select("dt")

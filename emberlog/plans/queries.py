@@ -222,16 +222,20 @@ def v5_stale_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return logs.select("id", is_stale(F.col("timestamp"), NOON, 7).alias("stale"))
 
 
+def backfill_outcome(spark: SparkSession, sf_dir: str) -> DataFrame:
+    entries = tables.raw_entries(spark, sf_dir)
+    return validation.backfill_plan(entries, AS_OF, RETENTION_DAYS)[2]
+
+
 @query
 def v6_backfill_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    entries = tables.raw_entries(spark, sf_dir)
-    report = validation.backfill_plan(entries, AS_OF, RETENTION_DAYS)[2]
+    report = validation.backfill_report(backfill_outcome(spark, sf_dir))
     return report.withColumn("status", F.col("status").cast("bigint"))
 
 
 @query
 def v6_backfill_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    dates = validation.backfill_plan(tables.raw_entries(spark, sf_dir), AS_OF, RETENTION_DAYS)[3]
+    dates = validation.backfill_dates(backfill_outcome(spark, sf_dir))
     return dates.select(F.col("dt").cast("string").alias("dt"))
 
 

@@ -30,6 +30,15 @@ def remove(spark: SparkSession, path: str) -> bool:
     return fs.delete(hadoop_path, True)
 
 
+def move(spark: SparkSession, source: str, target: str) -> None:
+    """Rename a directory within one file system; the target must not exist yet."""
+    from_path, fs = _path(spark, source)
+    to_path, _ = _path(spark, target)
+    fs.mkdirs(to_path.getParent())
+    if not fs.rename(from_path, to_path):
+        raise OSError(f"cannot move {source} to {target}")
+
+
 def partition_values(path: str) -> dict[str, str]:
     """``…/dt=2024-01-01/batch_id=x`` to ``{"dt": "2024-01-01", "batch_id": "x"}``."""
     parts = (part.split("=", 1) for part in path.split("/") if "=" in part)

@@ -47,6 +47,7 @@ def write_rejected(store: LogStore, rejected: DataFrame, batch_id: str) -> None:
     rows = rejected.withColumn("batch_id", F.lit(check_batch_id(batch_id)))
     (
         rows.select(REJECTED.fieldNames())
+        .hint("rebalance")  # a few files of fair size, however many tasks parsed the input
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
         .partitionBy("batch_id")

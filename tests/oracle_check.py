@@ -11,7 +11,7 @@ import time
 from pathlib import Path
 
 import duckdb
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 import __spark_entry__ as contract
 
@@ -55,8 +55,7 @@ def _sorted_rows(columns: list[str], rows: list[tuple]) -> list[tuple]:
     return sorted(plain, key=repr)
 
 
-def spark_rows(spark: SparkSession, name: str, sf_dir: str) -> tuple[list[str], list[tuple]]:
-    df = contract.queries()[name](spark, sf_dir)
+def rows_of(df: DataFrame) -> tuple[list[str], list[tuple]]:
     return sorted(df.columns), _sorted_rows(df.columns, [tuple(row) for row in df.collect()])
 
 
@@ -72,7 +71,7 @@ def main(sf_dir: str, chosen: list[str]) -> int:
     for name in chosen or contract.queries():
         began = time.perf_counter()
         try:
-            columns, rows = spark_rows(spark, name, sf_dir)
+            columns, rows = rows_of(contract.queries()[name](spark, sf_dir))
         except Exception as error:  # noqa: BLE001 - report and go on with the next query
             print(f"{name:34} ERROR {str(error)[:1500]}", flush=True)
             failed += 1

@@ -67,11 +67,10 @@ RANGES = [
 @pytest.mark.parametrize("bucket", ["1m", "5m", "1h", "1d"])
 def test_auto_always_equals_raw(filled, bucket):
     for since, until in RANGES:
-        for group_by in (None, "service"):
-            for keys in ({}, dict(service="hot", level="info")):
-                found = agg.aggregate(filled, since, until, bucket, group_by, **keys)
-                raw = agg.aggregate(filled, since, until, bucket, group_by, source="raw", **keys)
-                assert rows_of(found) == rows_of(raw), (since, until, group_by, keys)
+        for group_by, keys in ((None, dict(service="hot", level="info")), ("service", {})):
+            found = agg.aggregate(filled, since, until, bucket, group_by, **keys)
+            raw = agg.aggregate(filled, since, until, bucket, group_by, source="raw", **keys)
+            assert rows_of(found) == rows_of(raw), (since, until, group_by, keys)
 
 
 def test_rollups_test_the_start_of_their_bucket(filled):

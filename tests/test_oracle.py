@@ -5,7 +5,8 @@ from __future__ import annotations
 import pytest
 
 import __spark_entry__ as contract
-from tests.oracle_check import connect, oracle_rows, spark_rows
+from tests.conftest import plan_text
+from tests.oracle_check import connect, oracle_rows, rows_of
 
 SF_DIR = "/root/testdata/sf0.001"
 
@@ -17,7 +18,11 @@ def con():
 
 @pytest.mark.parametrize("name", sorted(contract.queries()))
 def test_query(spark, con, name):
-    found = spark_rows(spark, name, SF_DIR)
+    df = contract.queries()[name](spark, SF_DIR)
+    found = rows_of(df)
+    plan = plan_text(df)
+    for operator in ("CartesianProduct", "NestedLoopJoin", "EvalPython", "InPandas"):
+        assert operator not in plan
     if name in contract.oracle_sql():
         assert found == oracle_rows(con, name)
     else:

@@ -10,6 +10,7 @@ from emberlog.operators import retention, stats
 from emberlog.operators.backfill import backfill
 from emberlog.plans.queries import contents
 from emberlog.sources import folders
+from emberlog.sources.compaction import compact_day
 from emberlog.sources.store import LogStore
 from emberlog.streaming.ingest import flush_batch
 
@@ -58,6 +59,31 @@ def test_batch_names_stay_plain(store, logs):
         store.append_logs(logs([(day(0), "info", "a", "x")]), "a/b")
 
 
+def test_compaction_keeps_rows_and_counts_and_survives_a_crash(store, logs, monkeypatch):
+    for name in ("one", "two", "three"):
+        store.load_batch(logs([(day(0), "info", "a", name), (day(-1), "warn", "b", name)]), name)
+    before = sorted((r.message, r.dt) for r in store.scan_logs().collect())
+    real = folders.move
+
+    def dies(*_):
+        raise RuntimeError("driver lost")
+
+    monkeypatch.setattr(folders, "move", dies)
+    with pytest.raises(RuntimeError):
+        compact_day(store, date(2026, 7, 21))
+    monkeypatch.setattr(folders, "move", real)
+    compact_day(store, date(2026, 7, 21))
+    assert sorted((r.message, r.dt) for r in store.scan_logs().collect()) == before
+    assert sizes(store) == (6, 6, 6)
+    for path in (store.logs_path, store.rollup_path("hour"), store.rollup_path("minute")):
+        assert len(folders.matching(store.spark, f"{path}/dt=2026-07-21/batch_id=*")) == 1
+        assert len(folders.matching(store.spark, f"{path}/dt=2026-07-20/batch_id=*")) == 3
+    assert not compact_day(store, date(2026, 7, 21))
+    store.load_batch(logs([(day(0), "info", "a", "late")]), "late")
+    assert compact_day(store, date(2026, 7, 21))
+    assert sizes(store) == (7, 7, 7)
+
+
 def test_rebuild_repairs_a_rollup(store, logs):
     table = logs([(day(0), "info", "a", "x"), (day(0, 3), "info", "a", "x")])
     store.append_logs(table, "one")

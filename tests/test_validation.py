@@ -6,8 +6,10 @@ from datetime import datetime, timedelta
 import pytest
 
 from emberlog.operators.validation import (
-    batch_report,
+    backfill_dates,
     backfill_plan,
+    backfill_report,
+    batch_report,
     derive_columns,
     split_batch,
     validate_entries,
@@ -236,12 +238,12 @@ def test_backfill_discards_what_is_beyond_retention(spark):
     df = spark.createDataFrame(
         [("e", i, text) for i, text in enumerate(rows)], "envelope STRING, index INT, entry STRING"
     )
-    to_insert, rejected, report, dates = backfill_plan(df, AS_OF, 30)
+    to_insert, rejected, outcome = backfill_plan(df, AS_OF, 30)
     assert to_insert.count() == 1
     assert [(r["index"], r.reason) for r in rejected.collect()] == [(2, "Invalid level: no")]
-    line = report.first()
+    line = backfill_report(outcome).first()
     assert (line.accepted, line.discarded, line.rejected, line.status) == (1, 1, 1, 200)
-    assert [str(r.dt) for r in dates.collect()] == ["2026-07-19"]
+    assert [str(r.dt) for r in backfill_dates(outcome).collect()] == ["2026-07-19"]
 
 
 def test_filtering_on_the_reason_does_not_copy_the_parsing(spark):
