@@ -172,18 +172,17 @@ def _with_raw_edges(
     low, high = instant(since), instant(until)
     inner = ceil_to(low, GRAIN_SECONDS[grain]), floor_to(high, GRAIN_SECONDS[grain])
     if inner[0] >= inner[1]:
-        return bucket_counts(
-            store.scan_logs(), low, high, bucket, group_by, service=service, level=level
-        )
+        logs = store.scan_logs(low, high)
+        return bucket_counts(logs, low, high, bucket, group_by, service=service, level=level)
     amounts = _rollup_amounts(
-        store.scan_partials(grain), *inner, bucket, group_by, service, level
+        store.scan_partials(grain, *inner), *inner, bucket, group_by, service, level
     )
     edges = [edge for edge in ((low, inner[0]), (inner[1], high)) if edge[0] < edge[1]]
     if edges:
         cut = F.lit(False)
         for edge in edges:
             cut = cut | by_time(*edge, day="dt")
-        raw = all_filters(store.scan_logs(), service=service, level=level).filter(cut)
+        raw = all_filters(store.scan_logs(low, high), service=service, level=level).filter(cut)
         amounts = amounts.unionByName(_raw_amounts(raw, bucket, group_by))
     return in_order(_summed(amounts))
 
@@ -222,7 +221,8 @@ def aggregate(
     if source == "raw" or not countable:
         if source in ("rollup", "live"):
             raise ValueError(f"{source} holds no counts by message or attribute")
-        return bucket_counts(store.scan_logs(), since, until, bucket, group_by, **filters)
+        logs = store.scan_logs(since, until)
+        return bucket_counts(logs, since, until, bucket, group_by, **filters)
 
     if source == "live" or (source == "auto" and bucket == "1m" and live is not None and as_of):
         whole = all(floor_to(instant(t), 60) == instant(t) for t in (since, until))
@@ -239,7 +239,8 @@ def aggregate(
 
     grain = GRAIN_OF[bucket]
     if source == "rollup":
-        return rollup_counts(store.scan_partials(grain), since, until, bucket, group_by, **keys)
+        partials = store.scan_partials(grain, since, until)
+        return rollup_counts(partials, since, until, bucket, group_by, **keys)
     return _with_raw_edges(store, grain, since, until, bucket, group_by, service, level)
 
 

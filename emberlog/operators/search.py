@@ -85,13 +85,11 @@ def page_floor(
     ends = [floor_to(instant(until), HOUR)] if until else []
     if cursor is not None:
         ends.append(floor_to(decode_cursor(cursor)[0], HOUR))
+    since = ceil_to(instant(since), HOUR) if since else None
+    partials = store.scan_partials("hour", since, min(ends) if ends else None)
     hours = (
         all_filters(
-            store.scan_partials("hour").withColumnRenamed("bucket", "timestamp"),
-            service=service,
-            level=level,
-            since=ceil_to(instant(since), HOUR) if since else None,
-            until=min(ends) if ends else None,
+            partials.withColumnRenamed("bucket", "timestamp"), service=service, level=level
         )
         .groupBy("timestamp")
         .agg(F.sum("count").alias("count"))
@@ -150,18 +148,19 @@ def search_store(
     keys = dict(service=service, level=level, since=since, until=until)
     filters = dict(**keys, q=q, attr=attr)
     check_search(**filters, limit=limit, cursor=cursor)
-    logs = store.scan_logs()
+    logs = store.scan_logs(since, until)
     if q or attr:
         rows = all_filters(logs, **filters)
         days = store.days()
-        last = [instant(until).date()] if until else []
-        if cursor is not None:
-            rows = after_cursor(rows, *decode_cursor(cursor))
-            last.append(decode_cursor(cursor)[0].date())
         if since:
             days = [day for day in days if day >= instant(since).date()]
-        days = matching_days(rows, [day for day in days if day <= min(last, default=day)], limit)
-        logs = logs.filter(F.col("dt").isin(days))
+        if until:
+            days = [day for day in days if day <= instant(until).date()]
+        if cursor is not None:
+            at = decode_cursor(cursor)
+            rows = after_cursor(rows, *at)
+            days = [day for day in days if day <= at[0].date()]
+        logs = logs.filter(F.col("dt").isin(matching_days(rows, days, limit)))
     else:
         floor = page_floor(store, limit, **keys, cursor=cursor)
         logs = logs.filter(

@@ -498,7 +498,7 @@ ROUTED_COUNTS = {
 
 def _raw(options: dict) -> Query:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        logs = tables.main_store(spark, sf_dir).scan_logs()
+        logs = tables.main_store(spark, sf_dir).scan_logs(SINCE, UNTIL)
         return bucket_rows(agg.bucket_counts(logs, SINCE, UNTIL, **options))
 
     return run
@@ -506,7 +506,7 @@ def _raw(options: dict) -> Query:
 
 def _rolled(grain: str, options: dict) -> Query:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        partials = tables.main_store(spark, sf_dir).scan_partials(grain)
+        partials = tables.main_store(spark, sf_dir).scan_partials(grain, SINCE, UNTIL)
         return bucket_rows(agg.rollup_counts(partials, SINCE, UNTIL, **options))
 
     return run
@@ -721,19 +721,18 @@ def st1_ingest_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def in_time_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The events as a stream of files in time order, one a week."""
+    """The events as a stream of three files in time order."""
     logs = tables.event_logs(spark, sf_dir).drop("event_id")
-    path = scratch(spark, "weeks")
-    for week in range(5):
-        low = datetime(2024, 1, 1) + timedelta(days=7 * week)
-        part = logs.filter(
-            (F.col("dt") >= F.lit(low.date()))
-            & (F.col("dt") < F.lit((low + timedelta(days=7)).date()))
-        )
+    path = scratch(spark, "in-order")
+    limits = [None, date(2024, 1, 11), date(2024, 1, 21), None]
+    for low, high in zip(limits, limits[1:], strict=False):
+        part = logs
+        if low:
+            part = part.filter(F.col("dt") >= F.lit(low))
+        if high:
+            part = part.filter(F.col("dt") < F.lit(high))
         part.coalesce(1).write.mode("append").parquet(path)
-    return (
-        spark.readStream.schema(logs.schema).option("maxFilesPerTrigger", 1).parquet(path)
-    )
+    return spark.readStream.schema(logs.schema).option("maxFilesPerTrigger", 1).parquet(path)
 
 
 @query

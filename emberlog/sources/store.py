@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from emberlog.functions.predicates import by_time
-from emberlog.functions.time import time_bucket
+from emberlog.functions.time import instant, time_bucket
 from emberlog.schema import DEAD_ENTRIES, LOGS, REJECTED, ROLLUP
 from emberlog.sources import folders
 
@@ -80,6 +80,25 @@ class LogStore:
             return self.spark.createDataFrame([], schema)
         return self.spark.read.schema(schema).parquet(path)
 
+    def _read_days(
+        self,
+        path: str,
+        schema: T.StructType,
+        since: str | datetime | None,
+        until: str | datetime | None,
+    ) -> DataFrame:
+        """Rows of the days a range touches; directories of other days are not even listed."""
+        if not since and not until:
+            return self._read(path, schema)
+        low = instant(since).date() if since else date.min
+        high = instant(until).date() if until else date.max
+        parts = [
+            part
+            for part in folders.matching(self.spark, f"{path}/dt=*")
+            if low <= date.fromisoformat(folders.partition_values(part)["dt"]) <= high
+        ]
+        return self._read(path, schema, parts)
+
     def scan_logs(
         self,
         since: str | datetime | None = None,
@@ -88,7 +107,7 @@ class LogStore:
         include_stray: bool = False,
     ) -> DataFrame:
         """Stored rows in ``[since, until)``; the bounds also prune day directories."""
-        rows = self._read(self.logs_path, LOGS)
+        rows = self._read_days(self.logs_path, LOGS, since, until)
         if include_stray:
             rows = rows.unionByName(self.scan_stray())
         return rows.filter(by_time(since, until, day="dt"))
@@ -99,9 +118,15 @@ class LogStore:
     def read_stray(self, parts: list[str]) -> DataFrame:
         return self._read(self.stray_path, LOGS, parts)
 
-    def scan_partials(self, grain: str) -> DataFrame:
-        """The per-batch partial counts of one grain, not yet summed."""
-        return self._read(self.rollup_path(grain), ROLLUP)
+    def scan_partials(
+        self,
+        grain: str,
+        since: str | datetime | None = None,
+        until: str | datetime | None = None,
+    ) -> DataFrame:
+        """The per-batch partial counts whose bucket starts in the range, not yet summed."""
+        rows = self._read_days(self.rollup_path(grain), ROLLUP, since, until)
+        return rows.filter(by_time(since, until, column="bucket", day="dt"))
 
     def scan_rollup(
         self,
@@ -111,8 +136,7 @@ class LogStore:
     ) -> DataFrame:
         """True counts per (bucket, service, level)."""
         return (
-            self.scan_partials(grain)
-            .filter(by_time(since, until, column="bucket", day="dt"))
+            self.scan_partials(grain, since, until)
             .groupBy("bucket", "service", "level")
             .agg(F.sum("count").alias("count"))
         )
