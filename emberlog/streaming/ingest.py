@@ -99,7 +99,6 @@ def ingest_stream(
     store: LogStore,
     checkpoint: str,
     *,
-    name: str = "ingest",
     clock: Callable[[], datetime] = lambda: datetime.now(UTC),
     retention_days: int = DEFAULT_RETENTION_DAYS,
     max_files_per_trigger: int | None = 1000,
@@ -108,14 +107,16 @@ def ingest_stream(
     """Start ingestion from a folder that request bodies arrive in.
 
     Without ``every`` the stream takes what is there and stops.  The batch name
-    follows from the epoch, so an epoch that runs again replaces its own rows.
+    follows from the checkpoint's own id and the epoch, so an epoch that runs again
+    replaces its own rows and never those of another stream.
     """
 
     def load(bodies: DataFrame, epoch: int) -> None:
+        stream = spark.sparkContext.getLocalProperty("sql.streaming.queryId")
         ingest_bodies(
             store,
             bodies,
-            f"{name}-{epoch:010d}",
+            f"{stream}-{epoch:010d}",
             clock(),
             retention_days=retention_days,
             keep_parsed=True,

@@ -60,6 +60,12 @@ def test_ingest_picks_up_where_it_stopped(spark, inbox, store):
         (None, "Malformed JSON"),
     }
     assert store.scan_logs().select("id").distinct().count() == 3
+    batches = {r.batch_id for r in store.scan_logs().select("batch_id").distinct().collect()}
+    assert len(batches) == 2 and not any(name.startswith("None") for name in batches)
+    other = scratch(spark, "inbox")
+    drop(spark, other, body(("2026-07-21T11:00:00Z", "info", "c")))
+    run(spark, other, store, scratch(spark, "checkpoint"))
+    assert sizes(store) == (4, 4, 4)
 
 
 def test_a_batch_that_runs_twice_changes_nothing(spark, inbox, store):
