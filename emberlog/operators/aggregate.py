@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from emberlog.functions.arguments import check_aggregate
-from emberlog.functions.predicates import all_filters, by_time
+from emberlog.functions.predicates import all_filters
 from emberlog.functions.time import ceil_to, floor_to, instant, time_bucket
 from emberlog.schema import LIVE_WINDOW_MINUTES
 from emberlog.sources.store import LogStore
@@ -177,13 +177,10 @@ def _with_raw_edges(
     amounts = _rollup_amounts(
         store.scan_partials(grain, *inner), *inner, bucket, group_by, service, level
     )
-    edges = [edge for edge in ((low, inner[0]), (inner[1], high)) if edge[0] < edge[1]]
-    if edges:
-        cut = F.lit(False)
-        for edge in edges:
-            cut = cut | by_time(*edge, day="dt")
-        raw = all_filters(store.scan_logs(low, high), service=service, level=level).filter(cut)
-        amounts = amounts.unionByName(_raw_amounts(raw, bucket, group_by))
+    for edge in ((low, inner[0]), (inner[1], high)):
+        if edge[0] < edge[1]:
+            raw = all_filters(store.scan_logs(*edge), service=service, level=level)
+            amounts = amounts.unionByName(_raw_amounts(raw, bucket, group_by))
     return in_order(_summed(amounts))
 
 
