@@ -5,6 +5,7 @@ from __future__ import annotations
 import pytest
 
 import __spark_entry__ as contract
+from emberlog.plans.queries import QUERIES
 from tests.conftest import plan_text
 from tests.oracle_check import connect, oracle_rows, rows_of
 
@@ -16,7 +17,7 @@ def con():
     return connect(SF_DIR)
 
 
-@pytest.mark.parametrize("name", sorted(contract.queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query(spark, con, name):
     df = contract.queries()[name](spark, SF_DIR)
     found = rows_of(df)
@@ -36,4 +37,4 @@ def test_entry_has_rows(spark):
 
 
 def test_only_store_bytes_lacks_sql():
-    assert set(contract.queries()) - set(contract.oracle_sql()) == {"t7_store_bytes"}
+    assert set(QUERIES) - set(contract.oracle_sql()) == {"t7_store_bytes"}
