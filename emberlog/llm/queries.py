@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from emberlog.llm import lines, substring, suffixes
+from emberlog.llm import lines, ngrams, substring, suffixes
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -16,6 +16,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    return ngrams.similarity_classes(documents, width=4, percent=85)
+
+
 def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixes.digest(suffixes.remove_repeated_strings(table(spark, sf_dir, "documents")))
 
@@ -31,6 +36,7 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 LLM_QUERIES: dict[str, Query] = {
+    "op2_ngram_jaccard": op2_ngram_jaccard,
     "op5_suffix_dedup": op5_suffix_dedup,
     "op8_substring_dedup": op8_substring_dedup,
     "op10_line_dedup": op10_line_dedup,
