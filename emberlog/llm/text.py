@@ -102,8 +102,8 @@ class Chunk:
     edges: np.ndarray
 
 
-def chunks(texts: pa.Array, limit: int = CHUNK_BYTES) -> Iterator[Chunk]:
-    """Whole texts, about ``limit`` bytes at a time; a longer text comes alone."""
+def chunks(texts: pa.Array, limit: int = CHUNK_BYTES, rows: int = 1 << 16) -> Iterator[Chunk]:
+    """Whole texts, about ``limit`` bytes and at most ``rows`` at a time; a longer text comes alone."""
     if texts.null_count:
         texts = texts.fill_null("")
     wide = pa.types.is_large_string(texts.type) or pa.types.is_large_binary(texts.type)
@@ -114,7 +114,7 @@ def chunks(texts: pa.Array, limit: int = CHUNK_BYTES) -> Iterator[Chunk]:
     first = 0
     while first < len(texts):
         last = int(np.searchsorted(edges, edges[first] + limit, "right")) - 1
-        last = min(max(last, first + 1), len(texts))
+        last = min(max(last, first + 1), first + rows, len(texts))
         own = edges[first : last + 1]
         yield Chunk(first, last, data[own[0] : own[-1]], own - own[0])
         first = last
