@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from emberlog.llm import language, lines, mixing, ngrams, substring, suffixes
+from emberlog.llm import language, lengths, lines, mixing, ngrams, substring, suffixes
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -25,6 +25,10 @@ def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixes.digest(suffixes.remove_repeated_strings(table(spark, sf_dir, "documents")))
 
 
+def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lengths.length_report(lengths.encoded_lengths(table(spark, sf_dir, "documents")))
+
+
 def op7_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     taken = mixing.taken_words(table(spark, sf_dir, "documents"))
     return taken.select("doc_id", "size", "source_size", "target", "taken")
@@ -48,6 +52,7 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 LLM_QUERIES: dict[str, Query] = {
     "op2_ngram_jaccard": op2_ngram_jaccard,
     "op5_suffix_dedup": op5_suffix_dedup,
+    "op6_token_counts": op6_token_counts,
     "op7_source_mixing": op7_source_mixing,
     "op8_substring_dedup": op8_substring_dedup,
     "op9_language_id": op9_language_id,
