@@ -19,6 +19,7 @@ from xxhash import xxh3_64_intdigest
 
 from emberlog.llm.sketches import SeenTwice, merged, sketch_rows
 from emberlog.llm.text import BLANKS, CHUNK_BYTES, keyed, null_id
+from emberlog.session import scratch
 
 #: A shorter key never counts as repeated.
 KEY_CHARS = 10
@@ -94,23 +95,32 @@ def remove_repeated_lines(
     text_col: str = "text",
     shortest: int = KEY_CHARS,
     filter_bits: int = 1 << 27,
+    carry: tuple[str, ...] = (),
 ) -> DataFrame:
     """Drop every line whose key occurs in a document with a smaller id.
 
     The key is the line without white space at its ends and with A-Z lower-cased; keys
     below ``shortest`` code points never count.  In the smallest document all lines with the key
-    stay, repeats included.  Returns per row ``id_col, text, n_lines, n_dropped``.
-    Other columns are not read, whatever their names.  A null or empty text is one empty line; a null id counts as the largest id, and rows with
+    stay, repeats included.  Returns per row ``id_col, text, n_lines, n_dropped`` and
+    the columns of ``docs`` named in ``carry``.  Other columns are not read, whatever their names.  A null or empty text is one empty line; a null id counts as the largest id, and rows with
     one id are one document.  Identical rows get identical results; an empty table gives
     an empty table.  A larger filter (``filter_bits``) lets fewer unrepeated lines into the
     shuffle and changes no result.
     """
+    spark = docs.sparkSession
     texts = keyed(docs, id_col, text_col)
-    lines = suspected_lines(texts, shortest, filter_bits)
-    # A very common line is one row per partition here, and the join below can split it.
-    firsts = lines.groupBy("key").agg(F.min("doc").alias("least"))
+    path = scratch(spark, "lines")
+    suspected_lines(texts, shortest, filter_bits).write.parquet(path)
+    lines = spark.read.parquet(path)
+    path = scratch(spark, "firsts")
+    lines.groupBy("key").agg(F.min("doc").alias("least")).write.parquet(path)
+    firsts = spark.read.parquet(path)
+    # Both sides come from tables, so adaptive execution can split a very common line.
     later = lines.join(firsts, "key").where(F.col("doc") > F.col("least"))
     drops = later.groupBy("doc", "fp").agg(F.collect_set("at").alias("drops"))
+    carried = F.struct(*(F.col(f"`{c}`") for c in carry)) if carry else F.lit(None).cast("boolean")
+    whole = keyed(docs, id_col, text_col, carried.alias("carried"))
+    kind = whole.schema["carried"].dataType.simpleString()
 
     def rewrite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -126,14 +136,21 @@ def remove_repeated_lines(
             yield pa.RecordBatch.from_arrays(
                 [
                     batch["doc"],
+                    batch["carried"],
                     pa.array(kept, pa.binary()).cast(pa.string()),
                     pa.array(counts, pa.int64()),
                     pa.array(dropped, pa.int64()),
                 ],
-                names=["doc", "text", "n_lines", "n_dropped"],
+                names=["doc", "carried", "text", "n_lines", "n_dropped"],
             )
 
-    done = texts.join(drops, ["doc", "fp"], "left").mapInArrow(
-        rewrite, "doc long, text string, n_lines long, n_dropped long"
+    done = whole.join(drops, ["doc", "fp"], "left").mapInArrow(
+        rewrite, f"doc long, carried {kind}, text string, n_lines long, n_dropped long"
+    )
+    return done.select(
+        null_id("doc").alias(id_col),
+        *(F.col(f"carried.`{c}`").alias(c) for c in carry),
+        "text",
+        "n_lines",
+        "n_dropped",
     )
-    return done.select(null_id("doc").alias(id_col), "text", "n_lines", "n_dropped")

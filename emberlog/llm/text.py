@@ -48,12 +48,14 @@ def null_id(column: Column | str) -> Column:
     return F.when(column != NO_ID, column)
 
 
-def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def keyed(docs: DataFrame, id_col: str, text_col: str, *more: Column) -> DataFrame:
     """(doc, fp, text): the id and a fingerprint of the text name a row, so that two
     texts under one id are kept apart and identical rows share one result."""
     bounded_batches(docs.sparkSession)
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    return docs.select(id_of(id_col).alias("doc"), F.xxhash64(text).alias("fp"), text.alias("text"))
+    return docs.select(
+        id_of(id_col).alias("doc"), F.xxhash64(text).alias("fp"), text.alias("text"), *more
+    )
 
 
 def mix(h: np.ndarray, seed: int = 0) -> np.ndarray:
