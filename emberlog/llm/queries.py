@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from emberlog.llm import decontamination, language, lengths, lines, mixing, ngrams, pii, pivots, substring, suffixes
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -75,6 +76,9 @@ LLM_QUERIES: dict[str, Query] = {
     "op8_substring_dedup": op8_substring_dedup,
     "op9_language_id": op9_language_id,
     "op10_line_dedup": op10_line_dedup,
+    "pipeline": corpus_pipeline.run,
 }
 
 LLM_ORACLE: dict[str, str] = {}
+if corpus_pipeline.ORACLE_SQL is not None:
+    LLM_ORACLE["pipeline"] = corpus_pipeline.ORACLE_SQL
