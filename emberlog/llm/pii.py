@@ -23,7 +23,8 @@ from emberlog.llm.text import bounded_batches
 
 KINDS = ("email", "ip", "card", "phone")
 LABELERS = ("pattern", "checksum", "gazetteer", "context", "borders", "variety")
-#: A candidate that is no base span is added from this probability on.
+CHECKSUM = LABELERS.index("checksum")
+#: A candidate that is no base span is added from this probability on, unless it fails its checksum.
 SURE = 0.9
 #: Characters before and after a candidate that the context labeler reads.
 CONTEXT_CHARS = 40
@@ -265,8 +266,8 @@ def find(
     """``id_col, spans``: an array of (kind, start, end, base, probability), by kind in the order of
     ``KINDS``, then start; places are code points, ``end`` exclusive.
 
-    Base spans are always there; others are added from a probability of ``SURE`` on and never
-    touch a base span.  A null text is empty.  Ids play no part, so null and repeated ones are
+    Base spans are always there; others are added from a probability of ``SURE`` on, never with a
+    failed checksum and never touching a base span.  A null text is empty.  Ids play no part, so null and repeated ones are
     answered row by row; other columns are not read; an empty table gives an empty table.
     """
 
@@ -285,8 +286,8 @@ def find(
                 sure = 1 / (1 + np.exp(-np.clip(span_features(kinds, cast) @ classifier, -30, 30)))
                 kept = [
                     {"kind": k, "start": a, "end": b, "base": base, "probability": float(p)}
-                    for (k, a, b, base), p in zip(spans, sure, strict=True)
-                    if base or p >= SURE
+                    for (k, a, b, base), v, p in zip(spans, cast, sure, strict=True)
+                    if base or (p >= SURE and v[CHECKSUM] >= 0)
                 ]
                 out.append(sorted(kept, key=lambda s: (order[s["kind"]], s["start"], s["end"])))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, kind_of)], names=["row", "spans"])
