@@ -1,9 +1,12 @@
-"""Packing a closed day's batches together, for stores fed by many small batches.
-
-Safe to run again at any point: the packed copy is written outside the tables,
-together with the list of batches in it, and only a finished copy is swapped in.
-Run it on days no batch is still being written to; a query running during the
-swap may have to be repeated.
+"""Packing a day's batches together, for stores fed by many small batches.
+
+Raw rows and both rollups of a day are packed under one name and published by creating
+one small file that names the packed batches (``sources.packs``).  Before that file exists
+readers ignore the copy, afterwards they ignore what it replaces, so every reader sees
+each row once at any moment.  Only batches that are complete in all three tables
+when a run begins are packed; one that arrives meanwhile stays as it is.  The replaced
+directories are removed by the next run (or ``remove_replaced``), so queries that
+listed them before can finish.
 """
 
 from __future__ import annotations
@@ -11,64 +14,67 @@ from __future__ import annotations
 import uuid
 from datetime import date
 
-from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from emberlog.schema import LOGS, ROLLUP
-from emberlog.sources import folders
-from emberlog.sources.store import LogStore
+from emberlog.sources import folders, packs
+from emberlog.sources.store import GRAINS, LogStore
 
 
-def _staging(store: LogStore, table: str, day: date) -> tuple[str, str]:
-    base = f"{store.root}/compacting/{table.rsplit('/', 1)[1]}"
-    return f"{base}/rows/day={day.isoformat()}", f"{base}/sources/day={day.isoformat()}"
+def _tables(store: LogStore) -> list[str]:
+    return [store.logs_path, *(store.rollup_path(grain) for grain in GRAINS)]
 
 
-def _swap(store: LogStore, table: str, day: date) -> None:
-    """Remove the batches a finished copy holds, then move the copy into their place."""
-    rows, sources = _staging(store, table, day)
-    place = f"{table}/dt={day.isoformat()}"
-    for line in store.spark.read.text(sources).collect():  # one line per batch directory
-        folders.remove(store.spark, f"{place}/batch_id={line.value}")
-    folders.move(store.spark, rows, f"{place}/batch_id=compacted-{uuid.uuid4().hex}")
-    folders.remove(store.spark, sources)
+def _batches(store: LogStore, table: str, day: date) -> set[str]:
+    found = folders.matching(store.spark, f"{table}/dt={day.isoformat()}/batch_id=*")
+    return {folders.partition_values(part)["batch_id"] for part in found}
 
 
-def _pack(store: LogStore, table: str, day: date, packed: DataFrame, order: list[str]) -> bool:
-    spark = store.spark
-    rows, sources = _staging(store, table, day)
-    if folders.exists(spark, f"{rows}/_SUCCESS"):
-        _swap(store, table, day)
-    parts = folders.matching(spark, f"{table}/dt={day.isoformat()}/batch_id=*")
-    if len(parts) < 2:
-        return False
-    names = [(folders.partition_values(part)["batch_id"],) for part in parts]
-    spark.createDataFrame(names, "value STRING").write.mode("overwrite").text(sources)
-    packed.hint("rebalance").sortWithinPartitions(*order).write.mode("overwrite").parquet(rows)
-    _swap(store, table, day)
-    return True
+def remove_replaced(store: LogStore, day: date) -> None:
+    """Remove what a published copy of the day replaces, and copies that were never published."""
+    published = packs.of_day(store.spark, store.root, day)
+    visible = published[-1:]  # the newest names everything the older ones do
+    gone = set(visible[0].batches) if visible else set()
+    keep = {pack.name for pack in visible}
+    for table in _tables(store):
+        for name in _batches(store, table, day):
+            if name in gone or (packs.is_pack(name) and name not in keep):
+                folders.remove(store.spark, f"{table}/dt={day.isoformat()}/batch_id={name}")
+    for pack in published[:-1]:
+        folders.remove(store.spark, pack.path)
 
 
 def compact_day(store: LogStore, day: date) -> bool:
     """Pack raw rows and both rollups of one day; False when there was nothing to pack.
 
-    Rollup partials are summed.  The rebalance hint sizes the files, so a day
-    of any size is rewritten by as many tasks as it needs.
+    Rollup partials are summed.  The rebalance hint sizes the files, so a day of any size
+    is rewritten by as many tasks as it needs.  One run per day at a time; a run that
+    died before publishing leaves an ignored copy, which the next run removes.
     """
-    here = F.col("dt") == F.lit(day)
-    logs = store.scan_logs().filter(here).select(*stored(LOGS))
-    done = [_pack(store, store.logs_path, day, logs, ["service", "timestamp"])]
-    for grain in ("minute", "hour"):
-        counts = (
-            store.scan_partials(grain)
-            .filter(here)
-            .groupBy("bucket", "service", "level")
-            .agg(F.sum("count").alias("count"))
-            .select(*stored(ROLLUP))
+    remove_replaced(store, day)
+    listed = [_batches(store, table, day) for table in _tables(store)]
+    replaced = set.intersection(*listed)
+    if len(replaced) < 2:
+        return False
+    name = packs.new_name(uuid.uuid4().hex)
+    # Exactly the listed directories are read: what arrives later is not in the copy.
+    for table, schema, order in (
+        (store.logs_path, LOGS, ["service", "timestamp"]),
+        *((store.rollup_path(grain), ROLLUP, ["service", "level", "bucket"]) for grain in GRAINS),
+    ):
+        parts = [f"{table}/dt={day.isoformat()}/batch_id={batch}" for batch in sorted(replaced)]
+        rows = store.read_parts(table, schema, parts)
+        if schema is ROLLUP:
+            rows = rows.groupBy("bucket", "service", "level").agg(F.sum("count").alias("count"))
+        (
+            rows.select(*stored(schema))
+            .hint("rebalance")
+            .sortWithinPartitions(*order)
+            .write.parquet(f"{table}/dt={day.isoformat()}/batch_id={name}")
         )
-        path = store.rollup_path(grain)
-        done.append(_pack(store, path, day, counts, ["service", "level", "bucket"]))
-    return any(done)
+    before = {batch for pack in packs.of_day(store.spark, store.root, day) for batch in pack.batches}
+    packs.publish(store.spark, store.root, day, name, sorted(before | replaced))
+    return True
 
 
 def stored(schema) -> list[str]:

@@ -5,6 +5,8 @@ Only partition directory names pass through the driver, never rows.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import SparkSession
 
 
@@ -39,6 +41,31 @@ def move(spark: SparkSession, source: str, target: str) -> None:
         raise OSError(f"cannot move {source} to {target}")
 
 
+def read_text(spark: SparkSession, path: str) -> str:
+    """Content of one small file."""
+    hadoop_path, fs = _path(spark, path)
+    stream = fs.open(hadoop_path)
+    try:
+        return spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    finally:
+        stream.close()
+
+
+def create(spark: SparkSession, path: str, text: str) -> bool:
+    """Create a small file in one step; False when it is there already."""
+    target, fs = _path(spark, path)
+    if fs.exists(target):
+        return False
+    draft, _ = _path(spark, f"{path.rsplit('/', 1)[0]}/.draft-{uuid.uuid4().hex}")
+    stream = fs.create(draft)
+    stream.write(bytearray(text.encode()))
+    stream.close()
+    done = fs.rename(draft, target)
+    if not done:
+        fs.delete(draft, False)
+    return done
+
+
 def partition_values(path: str) -> dict[str, str]:
     """``…/dt=2024-01-01/batch_id=x`` to ``{"dt": "2024-01-01", "batch_id": "x"}``."""
     parts = (part.split("=", 1) for part in path.split("/") if "=" in part)

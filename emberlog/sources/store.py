@@ -8,11 +8,12 @@ Layout below ``root`` (all Parquet)::
     stray/dt=…/batch_id=…           rows waiting to be moved into their day
     rejected/batch_id=…             what ingestion refused, and why
     dead_letters/failed_ms=…/dead_id=…  entries of batches that failed to load
+    packs/dt=…/…                    what each packed copy of a day replaces
 
 Every write replaces exactly the ``(dt, batch_id)`` directories of its own batch,
 so repeating a batch after a lost executor or driver changes nothing.  Counts are
 kept as one partial per batch and summed on read: adding a batch never rewrites
-another one.
+another one.  A batch that a packed copy of its day already holds is not stored again.
 """
 
 from __future__ import annotations
@@ -22,6 +23,7 @@ from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 from datetime import date, datetime
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -29,7 +31,7 @@ from pyspark.sql import types as T
 from emberlog.functions.predicates import by_time
 from emberlog.functions.time import instant, time_bucket
 from emberlog.schema import DEAD_ENTRIES, LOGS, REJECTED, ROLLUP
-from emberlog.sources import folders
+from emberlog.sources import folders, packs
 
 GRAINS = {"minute": "1m", "hour": "1h"}
 
@@ -87,9 +89,12 @@ class LogStore:
         since: str | datetime | None,
         until: str | datetime | None,
     ) -> DataFrame:
-        """Rows of the days a range touches; directories of other days are not even listed."""
+        """Rows of the days a range touches; directories of other days are not even listed.
+
+        Whatever is being packed, each row shows once.
+        """
         if not since and not until:
-            return self._read(path, schema)
+            return packs.visible(self._read(path, schema), path, self.root)
         low = instant(since).date() if since else date.min
         high = instant(until).date() if until else date.max
         parts = [
@@ -97,6 +102,10 @@ class LogStore:
             for part in folders.matching(self.spark, f"{path}/dt=*")
             if low <= date.fromisoformat(folders.partition_values(part)["dt"]) <= high
         ]
+        return packs.visible(self._read(path, schema, parts), path, self.root)
+
+    def read_parts(self, path: str, schema: T.StructType, parts: list[str]) -> DataFrame:
+        """Rows of exactly these batch directories."""
         return self._read(path, schema, parts)
 
     def scan_logs(
@@ -205,46 +214,63 @@ class LogStore:
     def add_both_counts(self, entries: DataFrame, batch_id: str | None = None) -> None:
         """Both rollups at once: two small independent jobs, side by side."""
         with ThreadPoolExecutor(len(GRAINS)) as pool:
-            jobs = [pool.submit(self.add_counts, entries, grain, batch_id) for grain in GRAINS]
+            jobs = [
+                pool.submit(
+                    inheritable_thread_target(self.spark)(self.add_counts), entries, grain, batch_id
+                )
+                for grain in GRAINS
+            ]
         for job in jobs:
             job.result()
 
     def load_rows(self, logs: DataFrame) -> None:
         """Raw rows and both rollups, for rows that carry their own ``batch_id``."""
+        held = None
+        for day, pack in packs.published(self.spark, self.root).items():
+            names = [name for name in pack.batches if name.startswith(("stray-", "replay-"))]
+            if names:
+                own = (F.col("dt") == F.lit(day)) & F.col("batch_id").isin(names)
+                held = own if held is None else held | own
+        logs = logs if held is None else logs.filter(~held)
         self.append_logs(logs)
         self.add_both_counts(logs)
 
     def rebuild_rollup(self, grain: str) -> None:
-        """Recompute one rollup from the raw rows, replacing whatever was there.
+        """Recompute the partial of every batch of one rollup from its raw rows.
 
-        Repeatable.  The result is a single partial per day, so this is also how
-        the partials of many small batches are packed together.
+        Each partial is a function of its batch alone, so this may run beside loads and
+        readers: a batch that is counted meanwhile gets the same numbers.  Partials
+        that were there before and have no raw rows are removed.
         """
+        path = self.rollup_path(grain)
+        listed = folders.matching(self.spark, f"{path}/dt=*/batch_id=*")
+        start = time_bucket(F.col("timestamp"), GRAINS[grain]).alias("bucket")
         counts = (
             self.scan_logs()
-            .groupBy(
-                time_bucket(F.col("timestamp"), GRAINS[grain]).alias("bucket"), "service", "level"
-            )
+            .groupBy(start, "service", "level", "batch_id")
             .agg(F.count("*").alias("count"))
             .withColumn("dt", F.to_date("bucket"))
-            .withColumn("batch_id", F.lit("rebuilt"))
-        )
-        (
-            counts.hint("rebalance", F.col("dt"), F.col("batch_id"))
-            .sortWithinPartitions("dt", "batch_id", "service", "level", "bucket")
-            .write.mode("overwrite")
-            .option("partitionOverwriteMode", "static")
-            .partitionBy("dt", "batch_id")
-            .parquet(self.rollup_path(grain))
         )
+        self.replace_counts(counts.select(ROLLUP.fieldNames()), grain)
+        raw = {
+            tuple(sorted(folders.partition_values(part).items()))
+            for part in folders.matching(self.spark, f"{self.logs_path}/dt=*/batch_id=*")
+        }
+        for part in listed:
+            if tuple(sorted(folders.partition_values(part).items())) not in raw:
+                folders.remove(self.spark, part)
 
     def load_batch(self, logs: DataFrame, batch_id: str) -> None:
         """Raw rows first, then both rollups counted from what was stored.
 
         Reading three narrow columns back is much cheaper than parsing the entries
         a second time.  Leftovers of an earlier attempt go first: a retry
-        may touch fewer days than the attempt it repeats.
+        may touch fewer days than the attempt it repeats.  Days whose packed copy
+        already holds the batch are left alone.
         """
+        held = packs.days_holding(self.spark, self.root, batch_id)
+        if held:
+            logs = logs.filter(~F.col("dt").isin(held))
         self.discard_batch(batch_id)
         self.append_logs(logs, batch_id)
         self.add_both_counts(self.scan_batch(batch_id), batch_id)
@@ -262,5 +288,14 @@ class LogStore:
         found = folders.matching(self.spark, f"{path or self.logs_path}/dt=*/batch_id=*")
         return sorted({date.fromisoformat(folders.partition_values(p)["dt"]) for p in found})
 
+    def newest_days(self, since: date | None = None, until: date | None = None) -> list[date]:
+        """Days of the raw rows in a range, newest first; their batches are not listed."""
+        found = folders.matching(self.spark, f"{self.logs_path}/dt=*")
+        days = [date.fromisoformat(folders.partition_values(part)["dt"]) for part in found]
+        low, high = since or date.min, until or date.max
+        return sorted((day for day in days if low <= day <= high), reverse=True)
+
     def drop_day(self, path: str, day: date) -> bool:
+        if path == self.logs_path:
+            folders.remove(self.spark, f"{self.root}/packs/dt={day.isoformat()}")
         return folders.remove(self.spark, f"{path}/dt={day.isoformat()}")

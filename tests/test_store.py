@@ -9,8 +9,8 @@ from emberlog.operators import dead_letters as dead
 from emberlog.operators import retention, stats
 from emberlog.operators.backfill import backfill
 from emberlog.plans.queries import contents
-from emberlog.sources import folders
-from emberlog.sources.compaction import compact_day
+from emberlog.sources import folders, packs
+from emberlog.sources.compaction import compact_day, remove_replaced
 from emberlog.sources.store import LogStore
 from emberlog.streaming.ingest import flush_batch
 
@@ -59,28 +59,102 @@ def test_batch_names_stay_plain(store, logs):
         store.append_logs(logs([(day(0), "info", "a", "x")]), "a/b")
 
 
-def test_compaction_keeps_rows_and_counts_and_survives_a_crash(store, logs, monkeypatch):
+def pack_store(store, logs):
     for name in ("one", "two", "three"):
         store.load_batch(logs([(day(0), "info", "a", name), (day(-1), "warn", "b", name)]), name)
-    before = sorted((r.message, r.dt) for r in store.scan_logs().collect())
-    real = folders.move
+    return sorted((r.message, r.dt) for r in store.scan_logs().collect())
 
-    def dies(*_):
-        raise RuntimeError("driver lost")
 
-    monkeypatch.setattr(folders, "move", dies)
-    with pytest.raises(RuntimeError):
-        compact_day(store, date(2026, 7, 21))
-    monkeypatch.setattr(folders, "move", real)
-    compact_day(store, date(2026, 7, 21))
+TODAY = date(2026, 7, 21)
+
+
+def test_compaction_keeps_rows_and_counts(store, logs):
+    before = pack_store(store, logs)
+    assert compact_day(store, TODAY)
     assert sorted((r.message, r.dt) for r in store.scan_logs().collect()) == before
     assert sizes(store) == (6, 6, 6)
+    remove_replaced(store, TODAY)
+    assert sizes(store) == (6, 6, 6)
     for path in (store.logs_path, store.rollup_path("hour"), store.rollup_path("minute")):
         assert len(folders.matching(store.spark, f"{path}/dt=2026-07-21/batch_id=*")) == 1
         assert len(folders.matching(store.spark, f"{path}/dt=2026-07-20/batch_id=*")) == 3
-    assert not compact_day(store, date(2026, 7, 21))
+    assert not compact_day(store, TODAY)
     store.load_batch(logs([(day(0), "info", "a", "late")]), "late")
-    assert compact_day(store, date(2026, 7, 21))
+    assert compact_day(store, TODAY)
+    assert sizes(store) == (7, 7, 7)
+
+
+def test_a_batch_arriving_while_a_day_is_packed_stays(store, logs, monkeypatch):
+    pack_store(store, logs)
+    real = packs.publish
+
+    def late(*args):
+        store.load_batch(logs([(day(0), "info", "a", "late")]), "late")
+        assert sizes(store) == (7, 7, 7)  # a reader during the run sees every row once
+        real(*args)
+        assert sizes(store) == (7, 7, 7)
+
+    monkeypatch.setattr(packs, "publish", late)
+    assert compact_day(store, TODAY)
+    monkeypatch.setattr(packs, "publish", real)
+    assert sizes(store) == (7, 7, 7)
+    assert compact_day(store, TODAY)
+    remove_replaced(store, TODAY)
+    assert sizes(store) == (7, 7, 7)
+
+
+@pytest.mark.parametrize("published", [False, True])
+def test_compaction_survives_a_crash_and_new_batches(store, logs, monkeypatch, published):
+    pack_store(store, logs)
+    real = packs.publish
+
+    def dies(*args):
+        if published:
+            real(*args)
+        raise RuntimeError("driver lost")
+
+    monkeypatch.setattr(packs, "publish", dies)
+    with pytest.raises(RuntimeError):
+        compact_day(store, TODAY)
+    monkeypatch.setattr(packs, "publish", real)
+    assert sizes(store) == (6, 6, 6)
+    for name in ("four", "five"):
+        store.load_batch(logs([(day(0), "info", "a", name)]), name)
+    assert sizes(store) == (8, 8, 8)
+    assert compact_day(store, TODAY)
+    assert sizes(store) == (8, 8, 8)
+    remove_replaced(store, TODAY)
+    assert sizes(store) == (8, 8, 8)
+
+
+def test_a_packed_batch_that_runs_again_changes_nothing(store, logs):
+    pack_store(store, logs)
+    again = logs([(day(0), "info", "a", "two"), (day(-1), "warn", "b", "two")])
+    compact_day(store, TODAY)
+    store.load_batch(again, "two")
+    assert sizes(store) == (6, 6, 6)
+    remove_replaced(store, TODAY)
+    store.load_batch(again, "two")
+    assert sizes(store) == (6, 6, 6)
+
+
+def test_a_batch_without_its_counts_is_not_packed(store, logs):
+    pack_store(store, logs)
+    store.append_logs(logs([(day(0), "info", "a", "half")]), "half")
+    compact_day(store, TODAY)
+    assert sizes(store) == (7, 6, 6)
+    store.add_both_counts(store.scan_batch("half"), "half")
+    assert sizes(store) == (7, 7, 7)
+
+
+def test_a_rebuild_beside_a_load_counts_once(store, logs):
+    pack_store(store, logs)
+    table = logs([(day(0), "info", "a", "new")])
+    store.append_logs(table, "new")
+    for grain in ("hour", "minute"):
+        store.rebuild_rollup(grain)
+    assert sizes(store) == (7, 7, 7)
+    store.add_both_counts(store.scan_batch("new"), "new")
     assert sizes(store) == (7, 7, 7)
 
 
