@@ -10,6 +10,7 @@ from __future__ import annotations
 import json
 import os
 import statistics
+import tempfile
 import time
 from collections.abc import Callable
 
@@ -36,6 +37,7 @@ def session() -> SparkSession:
         .appName("emberlog-bench")
         .config("spark.sql.shuffle.partitions", CPUS)
         .config("spark.driver.memory", os.environ.get("BENCH_MEMORY", "8g"))
+        .config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="emberlog-bench-"))
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
@@ -84,7 +86,7 @@ def main() -> None:
 
     work: dict[str, Callable[[], None]] = {
         "raw_counts_message": lambda: drain(
-            agg.bucket_counts(logs(), SINCE, UNTIL, "1h", q="declined")
+            agg.bucket_counts(logs(), SINCE, UNTIL, "1h", q="closed")
         ),
         "raw_counts_by_service": lambda: drain(
             agg.bucket_counts(logs(), SINCE, UNTIL, "1m", "service")
@@ -95,9 +97,9 @@ def main() -> None:
         "aggregate_cut_range": lambda: drain(
             agg.aggregate(store, SINCE, UNTIL, "5m", "level")
         ),
-        "search_newest": lambda: drain(search.search_store(store, service="auth", limit=100)),
+        "search_newest": lambda: drain(search.search_store(store, service="switches", limit=100)),
         "search_message": lambda: drain(
-            search.search_store(store, q="cache", attr={"region": "us-west"}, until=UNTIL)
+            search.search_store(store, q="sensor", attr={"region": "coast"}, until=UNTIL)
         ),
         "search_documents": lambda: drain(search.search_logs(documents, q="ation", limit=100)),
         "validate": lambda: drain(validate()),

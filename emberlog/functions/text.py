@@ -18,24 +18,32 @@ def has_text(text: Column) -> Column:
     return text.rlike(NOT_BLANK)
 
 
+def entry_id(*names: Column) -> Column:
+    """A name-based UUID of an entry: the same names give the same id, in any attempt."""
+    return F.regexp_replace(
+        F.md5(F.concat_ws("/", *names)), r"^(.{8})(.{4})(.{4})(.{4})(.{12})$", "$1-$2-$3-$4-$5"
+    )
+
+
 def contains_pattern(q: str) -> str:
     """The LIKE pattern of a message search.
 
     ``%`` and ``_`` in ``q`` are wildcards; an escaped one is literal.  Spark
     raises on a backslash before any other character, where the search treats
-    the pair as that character, so such a backslash is dropped.
+    the pair as that character, so such a backslash is dropped.  One at the very end
+    makes the last wildcard of the pattern a literal percent sign.
     """
-    text, out, i = q.lower(), [], 0
+    text, out, i = q.lower() + "%", [], 0
     while i < len(text):
         char = text[i]
         if char == "\\":
             i += 1
-            char = text[i] if i < len(text) else "%"
+            char = text[i]
             if char in "%_\\":
                 char = "\\" + char
         out.append(char)
         i += 1
-    return "%" + "".join(out) + "%"
+    return "%" + "".join(out)
 
 
 def shortest_text(value: Column) -> Column:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 from datetime import datetime, timedelta
+from typing import Protocol
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -20,6 +21,14 @@ GRAIN_SECONDS = {"minute": 60, "hour": 3600}
 MINUTE = timedelta(minutes=1)
 
 
+class LiveSource(Protocol):
+    """A live table: its minute counts, and whether they are complete for a range."""
+
+    def counts(self) -> DataFrame: ...
+
+    def covers(self, since: str | datetime, until: str | datetime) -> bool: ...
+
+
 def _group(group_by: str | None) -> Column:
     return (F.col(group_by) if group_by else F.lit(None).cast("string")).alias("group")
 
@@ -197,16 +206,16 @@ def aggregate(
     attr: Mapping[str, str] | None = None,
     source: str = "auto",
     as_of: str | datetime | None = None,
-    live: DataFrame | None = None,
-    live_since: str | datetime | None = None,
+    live: LiveSource | None = None,
 ) -> DataFrame:
     """Bucket counts from the cheapest source that can answer.
 
     ``auto`` always equals the count of raw rows.  Message and attribute filters
     need raw rows; anything else is read from a rollup, with raw rows only for
     grains the range cuts.  Minute buckets of the last 15 minutes come from
-    ``live`` if it is given and the range is whole minutes.  ``rollup``, ``raw`` and
-    ``live`` force a source with its own way of treating a cut bucket.
+    ``live`` if it is given, the range is whole minutes and the live table has counted every
+    committed batch of its days.  ``rollup``, ``raw`` and ``live`` force a source with its
+    own way of treating a cut bucket; a live table that lags refuses.
     """
     filters = dict(service=service, level=level, q=q, attr=attr)
     check_aggregate(bucket=bucket, group_by=group_by, since=since, until=until, **filters)
@@ -225,10 +234,8 @@ def aggregate(
         whole = all(floor_to(instant(t), 60) == instant(t) for t in (since, until))
         if source == "live" and bucket != "1m":
             raise ValueError("the live window holds minute buckets only")
-        if live is not None and as_of and (whole or source == "live"):
-            found = live_counts(
-                live, as_of, since, until, group_by, started_at=live_since, **keys
-            )
+        if live is not None and as_of and (whole or source == "live") and live.covers(since, until):
+            found = live_counts(live.counts(), as_of, since, until, group_by, **keys)
             if found is not None:
                 return found
         if source == "live":

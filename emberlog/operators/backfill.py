@@ -8,8 +8,9 @@ from datetime import date, datetime
 from pyspark.sql import DataFrame
 
 from emberlog.operators.retention import backfill_day
-from emberlog.operators.validation import backfill_plan, derive_columns
+from emberlog.operators.validation import derive_columns, split_backfill, validate_entries
 from emberlog.schema import DEFAULT_RETENTION_DAYS
+from emberlog.session import scratch
 from emberlog.sources.store import LogStore
 
 
@@ -20,6 +21,7 @@ class Backfilled:
     rejected: int
     status: int
     dates: list[date]
+    rejected_rows: DataFrame  # envelope, index, reason of every refused entry
 
 
 def backfill(
@@ -31,9 +33,13 @@ def backfill(
 ) -> Backfilled:
     """Load old entries that are still within retention, in raw rows and rollups.
 
-    Parked rows of the days touched are moved into place first.
+    Entries are parsed once, into the shared folder; counts, refused rows and the load
+    come from there.  Parked rows of the days touched are moved into place first.
     """
-    to_insert, _, outcome = backfill_plan(entries, as_of, days)
+    staged = scratch(store.spark, "backfill")
+    validated = validate_entries(entries, as_of, retention_days=days, allow_stale=True)
+    validated.write.parquet(staged)
+    to_insert, rejected, outcome = split_backfill(store.spark.read.parquet(staged), as_of, days)
     counted = outcome.collect()  # one row per day of the window, at most
     totals = dict.fromkeys(("accepted", "discarded", "rejected"), 0)
     for row in counted:
@@ -41,5 +47,6 @@ def backfill(
     touched = sorted(row.dt for row in counted if row.dt is not None)
     for day in touched:
         backfill_day(store, day)
-    store.load_batch(derive_columns(to_insert), batch_id)
-    return Backfilled(**totals, status=200 if totals["accepted"] else 400, dates=touched)
+    store.load_batch(derive_columns(to_insert, batch_id), batch_id)
+    status = 200 if totals["accepted"] else 400
+    return Backfilled(**totals, status=status, dates=touched, rejected_rows=rejected)

@@ -15,11 +15,15 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from emberlog.functions.text import entry_id
 from emberlog.functions.time import millis, parse_iso
 from emberlog.schema import DEAD_ENTRIES, DEAD_LETTER_LIMIT, LEVELS
 from emberlog.sources import folders
 from emberlog.sources.store import LogStore, check_batch_id
 
+#: Dead letters decided and loaded together.
+REPLAY_PAGE = 1000
+
 
 def dead_letter_write(
     store: LogStore,
@@ -31,9 +35,16 @@ def dead_letter_write(
     """Queue a failed batch; returns its id, or None for an empty batch.
 
     ``entries`` need timestamp text (``timestamp_text`` or a text ``timestamp``),
-    level, service, message and attributes.  Repeating an id replaces it.
+    level, service, message and attributes, and keep the id they would have been stored
+    under (from ``envelope`` and ``index``).  Repeating an id replaces it.
     """
     dead_id = check_batch_id(dead_id or str(uuid.uuid4()))
+    if "id" not in entries.columns or "envelope" in entries.columns:
+        place = ("envelope", "index") if "envelope" in entries.columns else ()
+        name = [F.lit(dead_id), *(F.col(c).cast("string") for c in place)]
+        if not place:
+            name.append(F.monotonically_increasing_id().cast("string"))
+        entries = entries.withColumn("id", entry_id(*name))
     if "timestamp_text" in entries.columns:
         entries = entries.withColumn("timestamp", F.col("timestamp_text"))
     write_dead(
@@ -64,20 +75,31 @@ def discard_dead(store: LogStore, dead_id: str) -> None:
         folders.remove(store.spark, part)
 
 
-def oldest_dead(store: LogStore, limit: int = DEAD_LETTER_LIMIT) -> list[str]:
-    """Directories of the oldest dead letters, at most ``limit``."""
+def position(part: str) -> tuple[int, str]:
+    """Place of a dead letter in the queue: time of failure in milliseconds, and id."""
+    values = folders.partition_values(part)
+    return int(values["failed_ms"]), values["dead_id"]
 
-    def age(part: str) -> tuple[int, str]:
-        values = folders.partition_values(part)
-        return int(values["failed_ms"]), values["dead_id"]
 
+def oldest_dead(
+    store: LogStore, limit: int | None = None, after: tuple[int, str] | None = None
+) -> list[str]:
+    """Directories of dead letters behind a position, oldest first; a page or all of them."""
     found = folders.matching(store.spark, f"{store.dead_path}/failed_ms=*/dead_id=*")
-    return sorted(found, key=age)[:limit]
+    queue = sorted(found, key=position)
+    if after is not None:
+        queue = [part for part in queue if position(part) > tuple(after)]
+    return queue[:limit]
+
 
+def dead_letter_list(
+    store: LogStore, limit: int | None = DEAD_LETTER_LIMIT, after: tuple[int, str] | None = None
+) -> DataFrame:
+    """A page of the queue, oldest first: (id, failed_at, reason, n_entries).
 
-def dead_letter_list(store: LogStore, limit: int = DEAD_LETTER_LIMIT) -> DataFrame:
-    """Oldest first: (id, failed_at, reason, n_entries)."""
-    rows = store.scan_dead(oldest_dead(store, limit))
+    The next page lies behind the last row's (``unix_millis(failed_at)``, id).
+    """
+    rows = store.scan_dead(oldest_dead(store, limit, after))
     return (
         rows.groupBy(F.col("dead_id").alias("id"), F.timestamp_millis("failed_ms").alias("failed_at"))
         .agg(F.max("reason").alias("reason"), F.count("*").alias("n_entries"))
@@ -85,10 +107,12 @@ def dead_letter_list(store: LogStore, limit: int = DEAD_LETTER_LIMIT) -> DataFra
     )
 
 
-def dead_letter_entries(store: LogStore, limit: int = DEAD_LETTER_LIMIT) -> DataFrame:
-    """The entries of the listed dead letters, one row each."""
-    rows = store.scan_dead(oldest_dead(store, limit))
-    return rows.withColumnsRenamed({"dead_id": "id"}).withColumn(
+def dead_letter_entries(
+    store: LogStore, limit: int | None = DEAD_LETTER_LIMIT, after: tuple[int, str] | None = None
+) -> DataFrame:
+    """The entries of a page of dead letters, one row each; ``entry_id`` is the entry's own."""
+    rows = store.scan_dead(oldest_dead(store, limit, after))
+    return rows.withColumnsRenamed({"id": "entry_id", "dead_id": "id"}).withColumn(
         "failed_at", F.timestamp_millis("failed_ms")
     ).drop("failed_ms")
 
@@ -110,34 +134,37 @@ class Replayed:
     still_failed: int
 
 
-def dead_letter_replay(store: LogStore, limit: int = DEAD_LETTER_LIMIT) -> Replayed:
-    """Load the oldest dead letters, each on its own: whole or not at all.
+def dead_letter_replay(store: LogStore, limit: int | None = None) -> Replayed:
+    """Load dead letters, each on its own, whole or not at all: the oldest ``limit``, or all.
 
-    One job decides for all of them and one per table loads those that can go.
-    The loaded rows are named after the dead letter, and it leaves the queue only
-    afterwards, so a replay that dies half way can simply be run again.
+    They are taken ``REPLAY_PAGE`` at a time: one job decides for a page and one per table
+    loads those that can go.  One that cannot is passed over.  The loaded rows are named
+    after the dead letter, and it leaves the queue only afterwards, so a replay that
+    dies half way can simply be run again.
     """
-    parts = {folders.partition_values(p)["dead_id"]: p for p in oldest_dead(store, limit)}
-    if not parts:
-        return Replayed(0, 0)
-    verdicts = (
-        store.scan_dead(list(parts.values()))
-        .groupBy("dead_id")
-        .agg(F.bool_and(storable()).alias("whole"))
-        .collect()  # one row per directory listed above
-    )
-    good = [row.dead_id for row in verdicts if row.whole]
-    if good:
-        load_dead(store, [parts[dead_id] for dead_id in good])
-        for dead_id in good:
-            folders.remove(store.spark, parts[dead_id])
-    return Replayed(len(good), len(parts) - len(good))
+    queue = oldest_dead(store, limit)
+    replayed = 0
+    for at in range(0, len(queue), REPLAY_PAGE):
+        parts = {folders.partition_values(p)["dead_id"]: p for p in queue[at : at + REPLAY_PAGE]}
+        verdicts = (
+            store.scan_dead(list(parts.values()))
+            .groupBy("dead_id")
+            .agg(F.bool_and(storable()).alias("whole"))
+            .collect()  # one row per directory of the page
+        )
+        good = [row.dead_id for row in verdicts if row.whole]
+        if good:
+            load_dead(store, [parts[dead_id] for dead_id in good])
+            for dead_id in good:
+                folders.remove(store.spark, parts[dead_id])
+        replayed += len(good)
+    return Replayed(replayed, len(queue) - replayed)
 
 
 def load_dead(store: LogStore, parts: list[str]) -> None:
     entries = store.scan_dead(parts)
     logs = entries.select(
-        F.uuid().alias("id"),
+        "id",
         parse_iso(F.col("timestamp")).alias("timestamp"),
         "level",
         "service",

@@ -3,19 +3,21 @@
 from __future__ import annotations
 
 from collections.abc import Mapping
-from datetime import date, datetime
+from datetime import UTC, date, datetime, timedelta
 
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from emberlog.functions.arguments import check_search
+from emberlog.functions.arguments import check_limit, check_search
 from emberlog.functions.cursors import decode_cursor, encode_cursor
 from emberlog.functions.predicates import all_filters
 from emberlog.functions.time import ceil_to, floor_to, instant, ts_lit
 from emberlog.schema import (
     DEFAULT_LIMIT,
     LOG_COLUMNS,
-    MAX_LIMIT,
+    LOGS,
     TABLE_ROWS_SHOWN,
     TAIL_ROWS_KEPT,
 )
@@ -57,7 +59,7 @@ def search_logs(
     cursor: str | None = None,
 ) -> DataFrame:
     """One page of the newest rows meeting all filters, after ``cursor`` if given."""
-    limit = DEFAULT_LIMIT if limit is None else min(limit, MAX_LIMIT)
+    limit = DEFAULT_LIMIT if limit is None else limit
     filters = dict(service=service, level=level, since=since, until=until, q=q, attr=attr)
     check_search(**filters, limit=limit, cursor=cursor)
     rows = all_filters(logs, **filters)
@@ -75,50 +77,44 @@ def page_floor(
     since: str | datetime | None = None,
     until: str | datetime | None = None,
     cursor: str | None = None,
-) -> DataFrame:
-    """One row: an hour from which on at least ``limit`` matching rows exist.
+) -> datetime | None:
+    """An hour from which on at least ``limit`` matching rows are counted, or None.
 
-    Counted from the hourly rollup, over hours that lie wholly inside the range
-    and wholly after the cursor.  The window runs over one row per hour, so its
-    size is the number of hours kept, whatever the number of log rows.
+    Read from the hourly rollup, over hours that lie wholly inside the range and
+    wholly after the cursor: the newest day first, then twice as many each time.  One
+    count per hour of the days needed comes back, the newest hours first.
     """
     ends = [floor_to(instant(until), HOUR)] if until else []
     if cursor is not None:
         ends.append(floor_to(decode_cursor(cursor)[0], HOUR))
-    since = ceil_to(instant(since), HOUR) if since else None
-    partials = store.scan_partials("hour", since, min(ends) if ends else None)
-    hours = (
-        all_filters(
-            partials.withColumnRenamed("bucket", "timestamp"), service=service, level=level
+    low = ceil_to(instant(since), HOUR) if since else None
+    high = min(ends) if ends else None
+    days, seen, width = store.newest_days(low and low.date(), high and high.date()), 0, 1
+    while days:
+        window, days = days[:width], days[width:]
+        partials = store.scan_partials("hour", *_of_days(window, low, high))
+        hours = (
+            all_filters(
+                partials.withColumnRenamed("bucket", "timestamp"), service=service, level=level
+            )
+            .groupBy(F.unix_seconds("timestamp").alias("hour"))
+            .agg(F.sum("count").alias("count"))
+            .collect()  # at most 24 rows per listed day
         )
-        .groupBy("timestamp")
-        .agg(F.sum("count").alias("count"))
-    )
-    newer = Window.orderBy(F.desc("timestamp")).rowsBetween(Window.unboundedPreceding, 0)
-    return (
-        hours.withColumn("seen", F.sum("count").over(newer))
-        .filter(F.col("seen") >= limit)
-        .agg(F.coalesce(F.max("timestamp"), F.timestamp_millis(F.lit(0))).alias("floor"))
-    )
-
+        for row in sorted(hours, key=lambda row: -row.hour):
+            seen += row["count"]
+            if seen >= limit:
+                return datetime.fromtimestamp(row.hour, UTC)
+        width *= 2
+    return None
 
-def matching_days(rows: DataFrame, days: list[date], limit: int) -> list[date]:
-    """The newest days that hold the first ``limit`` rows, or every day with a row.
 
-    Looks at the newest day, then at the two before it, then four, and stops once
-    enough rows are counted, so a common word costs one day of one column and a
-    rare one a single pass.  Only the counts come back.
-    """
-    newest = sorted(days, reverse=True)
-    chosen, missing, width = [], limit, 1
-    while newest and missing > 0:
-        window, newest = newest[:width], newest[width:]
-        inside = F.col("dt").between(F.lit(window[-1]), F.lit(window[0]))
-        found = rows.filter(inside).select(F.lit(1)).limit(missing).count()
-        if found:
-            chosen += window
-        missing, width = missing - found, width * 2
-    return chosen
+def _of_days(
+    window: list[date], low: datetime | None, high: datetime | None
+) -> tuple[datetime, datetime]:
+    """The part of a range that lies in a window of days (newest first)."""
+    first, last = instant(window[-1]), instant(window[0]) + timedelta(days=1)
+    return max(first, low) if low else first, min(last, high) if high else last
 
 
 def search_store(
@@ -135,39 +131,54 @@ def search_store(
 ) -> DataFrame:
     """``search_logs`` over the store, reading only what the page needs.
 
-    A page asked for by service and level alone is known from the rollup to be
-    full within the last few hours.  That hour becomes a scalar subquery in the
-    plan, which prunes day directories and row groups when the query runs.  The
-    page is the same: raw rows are stored before they are counted and removed
-    after, so the range holds at least as many rows as the rollup says.
-
-    Messages and attributes have no counts to go by.  There the days are searched
-    from the newest on until the page is known to be full.
+    For a page asked for by service and level alone the rollup tells an hour from which
+    it should be full; messages and attributes have no counts to go by.  From that
+    hour, or the newest day, on the days are searched backwards, each time twice as many,
+    until the page is full: no day is read twice and no other day is listed.  The
+    rows of the page itself, at most ``limit``, are what passes through the driver.
     """
-    limit = DEFAULT_LIMIT if limit is None else min(limit, MAX_LIMIT)
+    limit = DEFAULT_LIMIT if limit is None else limit
     keys = dict(service=service, level=level, since=since, until=until)
     filters = dict(**keys, q=q, attr=attr)
     check_search(**filters, limit=limit, cursor=cursor)
-    logs = store.scan_logs(since, until)
-    if q or attr:
-        rows = all_filters(logs, **filters)
-        days = store.days()
-        if since:
-            days = [day for day in days if day >= instant(since).date()]
-        if until:
-            days = [day for day in days if day <= instant(until).date()]
-        if cursor is not None:
-            at = decode_cursor(cursor)
-            rows = after_cursor(rows, *at)
-            days = [day for day in days if day <= at[0].date()]
-        logs = logs.filter(F.col("dt").isin(matching_days(rows, days, limit)))
-    else:
-        floor = page_floor(store, limit, **keys, cursor=cursor)
-        logs = logs.filter(
-            (F.col("timestamp") >= floor.scalar())
-            & (F.col("dt") >= floor.select(F.to_date("floor")).scalar())
+    low = instant(since) if since else None
+    high = instant(until) if until else None
+    at = decode_cursor(cursor) if cursor is not None else None
+    if at is not None:
+        after = instant(at[0]) + timedelta(milliseconds=1)
+        high = min(high, after) if high else after
+    floor = None if q or attr else page_floor(store, limit, **keys, cursor=cursor)
+
+    spans: list[tuple[datetime, datetime | None]] = []
+    days = store.newest_days(low and low.date(), high and high.date())
+    if floor is not None:
+        spans.append((max(floor, low) if low else floor, high))
+        days = [day for day in days if day <= floor.date()]
+        high = floor
+    width = 1
+    while days:
+        window, days = days[:width], days[width:]
+        spans.append(_of_days(window, low, high))
+        width *= 2
+
+    pages: list[pa.Table] = []
+    missing = limit
+    for first, last in spans:
+        rows = all_filters(
+            store.scan_logs(first, last), **{**filters, "since": first, "until": last}
         )
-    return search_logs(logs, **filters, limit=limit, cursor=cursor)
+        if at is not None:
+            rows = after_cursor(rows, *at)
+        page = newest_first(rows, missing).toArrow()
+        if page.num_rows:
+            pages.append(page)
+        missing -= page.num_rows
+        if not missing:
+            break
+    schema = T.StructType([LOGS[name] for name in LOG_COLUMNS])
+    if not pages:
+        return store.spark.createDataFrame([], schema)
+    return store.spark.createDataFrame(pa.concat_tables(pages).combine_chunks(), schema)
 
 
 def next_cursor(page: DataFrame, limit: int) -> DataFrame:
@@ -176,7 +187,7 @@ def next_cursor(page: DataFrame, limit: int) -> DataFrame:
     A page ending exactly at the last row still gives a cursor; the page after
     it is empty.
     """
-    limit = min(limit, MAX_LIMIT)
+    check_limit(limit)
     last = page.agg(
         F.min(F.struct("timestamp", "id")).alias("last"), F.count("*").alias("rows")
     ).filter(F.col("rows") == limit)

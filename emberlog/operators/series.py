@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from datetime import datetime, timedelta
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from emberlog.functions.time import instant, millis, ts_lit
@@ -25,7 +25,7 @@ def half_up(value: Column) -> Column:
 
 
 def slot_count(since: str | datetime, until: str | datetime, bucket: str) -> int:
-    """Number of slots of a series; ValueError outside 1 … 2000."""
+    """Number of slots of a series; ValueError for less than one."""
     step = BUCKET_SECONDS[bucket] * 1000
     span = millis(until) - millis(since)
     if span < 0:
@@ -33,6 +33,12 @@ def slot_count(since: str | datetime, until: str | datetime, bucket: str) -> int
     slots = (2 * span + step) // (2 * step)
     if slots <= 0:
         raise ValueError("range must span at least one bucket")
+    return slots
+
+
+def check_view(since: str | datetime, until: str | datetime, bucket: str) -> int:
+    """``slot_count`` of a range a dashboard may ask for; ValueError beyond 2000."""
+    slots = slot_count(since, until, bucket)
     if slots > MAX_SERIES_BUCKETS:
         raise ValueError(f"range too wide for {bucket} buckets ({slots} buckets)")
     return slots
@@ -53,10 +59,10 @@ def dense_series(
     """(group, slot, start, count) with a row for every slot of every group.
 
     Slots outside the range are dropped.  All four levels appear when grouping
-    by level; a service appears when it has a bucket, in range or not.  A group's
-    filled slots (2000 at most) are gathered into one row, the missing ones added
-    and the row spread out again, so the buckets are computed once and no grid of
-    groups and slots is joined.
+    by level; a service appears when it has a bucket, in range or not.  Each filled
+    slot writes the empty ones up to the next one of its group, and a mark before the
+    first slot those in front: nothing is gathered and no grid of groups and slots is
+    joined, so a series may have any number of slots.
     """
     if group_by is not None and group_by not in GROUP_COLUMNS:
         raise ValueError("group_by must be 'service' or 'level'")
@@ -68,27 +74,32 @@ def dense_series(
     counts = buckets.select(
         name.alias("group"), F.when(place.between(zero, last), place).alias("slot"), "count"
     ).filter(F.col("group").isNotNull())
-    if group_by != "service":
-        known = LEVELS if group_by else (ALL,)
-        empty = buckets.sparkSession.range(1).select(
-            F.explode(F.array(*[F.lit(value) for value in known])).alias("group"),
-            F.lit(None).cast("bigint").alias("slot"),
-            zero.alias("count"),
+    known = None if group_by == "service" else LEVELS if group_by else (ALL,)
+    if known is not None:
+        counts = counts.filter(F.col("group").isin(*known))
+        groups = buckets.sparkSession.range(1).select(
+            F.explode(F.array(*[F.lit(value) for value in known])).alias("group")
         )
-        counts = counts.filter(F.col("group").isin(*known)).unionByName(empty)
-
-    filled = F.when(F.col("slot").isNotNull(), F.struct("slot", "count"))
-    groups = (
-        counts.groupBy("group", "slot")
+    else:
+        groups = counts.select("group").distinct()
+    before = F.lit(-1).cast("bigint")
+    marks = groups.select("group", before.alias("slot"), zero.alias("count"))
+    filled = (
+        counts.filter(F.col("slot").isNotNull())
+        .groupBy("group", "slot")
         .agg(F.sum("count").alias("count"))
-        .groupBy("group")
-        .agg(F.collect_list(filled).alias("filled"))
+        .unionByName(marks)
+    )
+    in_turn = Window.partitionBy("group").orderBy("slot")
+    following = F.lead("slot", 1, slots).over(in_turn)
+    run = F.sequence(F.col("slot"), following.cast("bigint") - 1)
+    spread = filled.withColumn("run", run).select(
+        "group", F.col("slot").alias("at"), "count", F.explode("run").alias("slot")
     )
-    missing = F.array_except(F.sequence(zero, last), F.col("filled.slot"))
-    zeros = F.transform(missing, lambda slot: F.struct(slot.alias("slot"), zero.alias("count")))
     start = F.timestamp_millis(F.unix_millis(ts_lit(since)) + F.col("slot") * step)
     return (
-        groups.select("group", F.inline(F.concat("filled", zeros)))
+        spread.filter(F.col("slot") >= 0)
+        .withColumn("count", F.when(F.col("slot") == F.col("at"), F.col("count")).otherwise(zero))
         .select("group", "slot", start.alias("start"), "count")
         .orderBy("group", "slot")
     )

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from emberlog.functions import variants
-from emberlog.functions.text import has_text
+from emberlog.functions.text import entry_id, has_text
 from emberlog.functions.time import instant, is_stale, parse_iso, ts_lit
 from emberlog.schema import DEFAULT_RETENTION_DAYS, FUTURE_TOLERANCE_MINUTES, LEVELS
 
@@ -137,17 +137,15 @@ def split_batch(validated: DataFrame) -> tuple[DataFrame, DataFrame]:
     return accepted, rejected
 
 
-def derive_columns(accepted: DataFrame) -> DataFrame:
+def derive_columns(accepted: DataFrame, batch_id: str | None = None) -> DataFrame:
     """Add the stored columns: id, lower-cased message and day.
 
-    The id is a name-based UUID of the envelope and the position in it.  Unlike
-    a random one it survives a task that has to run again.
+    The id is a name-based UUID of the batch, the envelope and the position in it.
+    Unlike a random one it survives a task that has to run again.
     """
-    name = F.md5(F.concat_ws("/", "envelope", "index"))
+    batch = [] if batch_id is None else [F.lit(batch_id)]
     return accepted.select(
-        F.regexp_replace(
-            name, r"^(.{8})(.{4})(.{4})(.{4})(.{12})$", "$1-$2-$3-$4-$5"
-        ).alias("id"),
+        entry_id(*batch, F.col("envelope"), F.col("index").cast("string")).alias("id"),
         "timestamp",
         "level",
         "service",
@@ -190,8 +188,15 @@ def backfill_plan(
     (outcome, dt) with the day of accepted entries only, at most one row per day
     of the window and two more; report and dates both come from it.
     """
+    validated = validate_entries(entries, as_of, retention_days=days, allow_stale=True)
+    return split_backfill(validated, as_of, days)
+
+
+def split_backfill(
+    validated: DataFrame, as_of: str | datetime, days: int = DEFAULT_RETENTION_DAYS
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The three parts of ``backfill_plan`` from entries that were validated before."""
     now = instant(as_of)
-    validated = validate_entries(entries, now, retention_days=days, allow_stale=True)
     stale = is_stale(F.col("timestamp"), now, days)
     accepted, rejected = split_batch(validated)
     outcome = (

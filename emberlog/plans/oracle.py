@@ -4,7 +4,18 @@ from __future__ import annotations
 
 from datetime import datetime, timedelta
 
-from emberlog.plans.queries import CUT, LIVE_NOW, NOON, PAGE, SINCE, UNTIL
+from emberlog.plans.queries import (
+    CUT,
+    FIRST,
+    LAST,
+    LIVE_NOW,
+    LIVE_SINCE,
+    LIVE_UNTIL,
+    NOON,
+    PAGE,
+    SINCE,
+    UNTIL,
+)
 from emberlog.schema import BUCKET_SECONDS, DEFAULT_LOOKBACK
 
 
@@ -23,17 +34,18 @@ logs AS (
          date_trunc('milliseconds', ts) AS timestamp,
          CASE event_type WHEN 'error' THEN 'error' WHEN 'purchase' THEN 'warn'
                          WHEN 'view' THEN 'debug' ELSE 'info' END AS level,
-         (['checkout', 'auth', 'catalog', 'payments', 'shipping', 'search'])[user_id % 6 + 1]
-           AS service,
+         (['signals', 'switches', 'ticketing', 'platforms', 'rolling-stock', 'power',
+           'timetable'])[user_id % 7 + 1] AS service,
          CASE WHEN event_id % 3 = 0 THEN upper(text) ELSE text END AS message,
          lower(text) AS message_lower,
          CAST(user_id AS VARCHAR) AS user_id,
-         (['us-east', 'us-west', 'eu-west', 'eu-central', 'ap-south'])[user_id % 5 + 1] AS region,
+         (['north', 'coast', 'valley', 'summit'])[user_id % 4 + 1] AS region,
          CAST(event_id % 5 AS VARCHAR) AS retries,
          json_extract_string(props, '$.k') AS k
-  FROM (SELECT *, (['request completed', 'payment declined', 'cache miss',
-                    'retrying upstream call', 'connection reset', 'user session expired',
-                    'rate limit exceeded', 'database query slow'])[event_id % 8 + 1] AS text
+  FROM (SELECT *, (['train departed', 'door sensor stuck', 'fare gate closed',
+                    'axle counter reset', 'platform display stale', 'brake test passed',
+                    'signal lamp replaced', 'timetable reloaded',
+                    'overhead line voltage low'])[event_id % 9 + 1] AS text
         FROM events)
 )"""
 
@@ -196,7 +208,7 @@ DEAD = f"""{LOGS}, dead AS (
          max(CASE WHEN (event_id // 100) % 3 = 0 AND event_id % 100 = 7 THEN 1 ELSE 0 END)
            AS spoiled
   FROM logs GROUP BY 1
-), oldest AS (SELECT * FROM dead ORDER BY number DESC LIMIT 50)"""
+)"""
 
 DRIFT = """
 SELECT {bucket} AS bucket, service, level, count(*) AS raw,
@@ -292,9 +304,17 @@ ORACLE: dict[str, str] = {
     ),
     "v6_backfill_dates": q(f"SELECT DISTINCT CAST({DAY} AS VARCHAR) AS dt FROM accepted", CHECKED),
     "v6_backfill": q(
-        'SELECT count(*) AS "rows", count(*) AS hour_count, count(*) AS minute_count FROM accepted',
+        'SELECT count(*) AS "rows", count(*) AS hour_count, count(*) AS minute_count, '
+        "count(*) AS ids FROM accepted",
         CHECKED,
     ),
+    "v6_backfill_rejected": q(
+        """
+        SELECT CAST(event_id // 100 AS VARCHAR) AS envelope,
+               CAST(event_id % 100 AS INTEGER) AS index, reason
+        FROM checked WHERE reason IS NOT NULL""",
+        STALE_OK,
+    ),
     "v7_derive_columns": q(
         f"""
         SELECT substr(h, 1, 8) || '-' || substr(h, 9, 4) || '-' || substr(h, 13, 4) || '-' ||
@@ -316,9 +336,17 @@ ORACLE: dict[str, str] = {
         SELECT 'dead-' || lpad(CAST(number AS VARCHAR), 8, '0') AS id,
                {iso(f"{CLOCK} - INTERVAL (number) MINUTE")} AS failed_at,
                'simulated failure' AS reason, entries AS n_entries
-        FROM oldest""",
+        FROM dead""",
         DEAD,
     ),
+    "w6_dead_letter_entries": q(
+        f"""
+        SELECT 'dead-' || lpad(CAST(event_id // 100 AS VARCHAR), 8, '0') AS id, id AS entry_id,
+               {iso('timestamp')} AS timestamp,
+               CASE WHEN (event_id // 100) % 3 = 0 AND event_id % 100 = 7 THEN 'not-a-real-level'
+                    ELSE level END AS level, service, message
+        FROM logs"""
+    ),
     "w7_dead_letter_replay": q(
         """
         SELECT count(*) FILTER (spoiled = 0) AS replayed,
@@ -326,24 +354,31 @@ ORACLE: dict[str, str] = {
                (SELECT count(*) FROM dead) - count(*) FILTER (spoiled = 0) AS waiting,
                CAST(coalesce(sum(entries) FILTER (spoiled = 0), 0) AS BIGINT) AS "rows",
                CAST(coalesce(sum(entries) FILTER (spoiled = 0), 0) AS BIGINT) AS hour_count,
-               CAST(coalesce(sum(entries) FILTER (spoiled = 0), 0) AS BIGINT) AS minute_count
-        FROM oldest""",
+               CAST(coalesce(sum(entries) FILTER (spoiled = 0), 0) AS BIGINT) AS minute_count,
+               CAST(coalesce(sum(entries) FILTER (spoiled = 0), 0) AS BIGINT) AS ids
+        FROM dead""",
         DEAD,
     ),
     "w8_flush_batch": q(
         """SELECT 2 * count(*) AS "rows", 2 * count(*) AS hour_count,
-                  2 * count(*) AS minute_count FROM accepted""",
+                  2 * count(*) AS minute_count, 2 * count(*) AS ids FROM accepted""",
         CHECKED,
     ),
-    "f1_by_service": q(f"SELECT {LOG_ROW} FROM logs WHERE service = 'checkout'"),
+    "w9_compact_day": q(
+        f"""
+        SELECT id, {iso('timestamp')} AS timestamp, level, service,
+               CAST(NULL AS VARCHAR) AS grain, CAST(1 AS BIGINT) AS count FROM logs
+        UNION ALL SELECT NULL, bucket, level, service, 'hour', count FROM ({rollup('hour')})"""
+    ),
+    "f1_by_service": q(f"SELECT {LOG_ROW} FROM logs WHERE service = 'signals'"),
     "f2_by_level": q(f"SELECT {LOG_ROW} FROM logs WHERE level = 'error'"),
     "f3_by_time": q(f"SELECT {LOG_ROW} FROM logs WHERE {IN_RANGE}"),
-    "f4_by_message": q(f"SELECT {LOG_ROW} FROM logs WHERE message ILIKE '%re%call%'"),
+    "f4_by_message": q(f"SELECT {LOG_ROW} FROM logs WHERE message ILIKE '%si%ced%'"),
     "f5_by_attribute": q(
-        f"SELECT {LOG_ROW} FROM logs WHERE region = 'eu-west' AND retries = '3'"
+        f"SELECT {LOG_ROW} FROM logs WHERE region = 'valley' AND retries = '3'"
     ),
     "f6_all_filters": q(
-        f"SELECT {LOG_ROW} FROM logs WHERE service = 'payments' AND level = 'info' "
+        f"SELECT {LOG_ROW} FROM logs WHERE service = 'platforms' AND level = 'info' "
         f"AND {IN_RANGE} AND message ILIKE '%re%' AND retries = '2'"
     ),
     "f6_no_filters": q(f"SELECT {LOG_ROW} FROM logs"),
@@ -359,11 +394,11 @@ ORACLE: dict[str, str] = {
     "f7_project_log": q(f"SELECT {LOG_ROW} FROM logs"),
     "q1_search_logs": q(newest("true", 100)),
     "q1_search_service_level": q(
-        newest(f"service = 'auth' AND level = 'error' AND {IN_RANGE}", 40)
+        newest(f"service = 'switches' AND level = 'error' AND {IN_RANGE}", 40)
     ),
     "q1_search_message_attribute": q(
         newest(
-            f"message ILIKE '%cache%' AND region = 'us-west' AND timestamp < {ts(UNTIL)}", 50
+            f"message ILIKE '%sensor%' AND region = 'coast' AND timestamp < {ts(UNTIL)}", 50
         )
     ),
     "q1_search_documents": f"""
@@ -371,7 +406,7 @@ ORACLE: dict[str, str] = {
                source AS service
         FROM (SELECT * FROM documents WHERE lower(text) LIKE '%ation%' AND doc_id % 4 = 2
               ORDER BY doc_id DESC LIMIT 25)""",
-    "q2_search_page": q(newest("service = 'search'", PAGE, 2 * PAGE)),
+    "q2_search_page": q(newest("service = 'timetable'", PAGE, 2 * PAGE)),
     "q3_next_cursor": q(
         f"""
         SELECT timestamp, id,
@@ -385,7 +420,7 @@ ORACLE: dict[str, str] = {
     "q5_tail_last": q(
         f"""
         SELECT {iso('timestamp')} AS timestamp, level, service, message
-        FROM (SELECT * FROM logs WHERE service = 'payments' AND level = 'warn'
+        FROM (SELECT * FROM logs WHERE service = 'rolling-stock' AND level = 'warn'
               ORDER BY timestamp DESC, message DESC LIMIT 120)"""
     ),
     "a1_time_bucket": q(
@@ -395,24 +430,24 @@ ORACLE: dict[str, str] = {
         FROM logs"""
     ),
     "a2_bucket_counts_1m": q(counts("1m")),
-    "a2_bucket_counts_5m": q(counts("5m", None, f"{IN_RANGE} AND service = 'catalog'")),
-    "a2_bucket_counts_1h": q(counts("1h", None, f"{IN_RANGE} AND message ILIKE '%declined%'")),
-    "a2_bucket_counts_1d": q(counts("1d", None, f"{IN_RANGE} AND region = 'ap-south'")),
+    "a2_bucket_counts_5m": q(counts("5m", None, f"{IN_RANGE} AND service = 'ticketing'")),
+    "a2_bucket_counts_1h": q(counts("1h", None, f"{IN_RANGE} AND message ILIKE '%closed%'")),
+    "a2_bucket_counts_1d": q(counts("1d", None, f"{IN_RANGE} AND region = 'summit'")),
     "a3_bucket_counts_by_service": q(counts("1h", "service")),
     "a3_bucket_counts_by_level": q(
-        counts("5m", "level", f"{IN_RANGE} AND message ILIKE '%limit%'")
+        counts("5m", "level", f"{IN_RANGE} AND message ILIKE '%stale%'")
     ),
     "a4_hourly_rollup_1h": q(rolled("hour", "1h", "service")),
     "a4_hourly_rollup_1h_level": q(rolled("hour", "1h", None, "level = 'error'")),
     "a5_hourly_rollup_1d": q(rolled("hour", "1d", "level")),
-    "a6_minute_rollup_1m": q(rolled("minute", "1m", "level", "service = 'auth'")),
+    "a6_minute_rollup_1m": q(rolled("minute", "1m", "level", "service = 'switches'")),
     "a7_minute_rollup_5m": q(rolled("minute", "5m", "service")),
     "a8_aggregate_1m": q(counts("1m", "level")),
-    "a8_aggregate_5m": q(counts("5m", None, f"{IN_RANGE} AND service = 'shipping'")),
+    "a8_aggregate_5m": q(counts("5m", None, f"{IN_RANGE} AND service = 'power'")),
     "a8_aggregate_1h": q(counts("1h", "service")),
     "a8_aggregate_1d": q(counts("1d", None, f"{IN_RANGE} AND level = 'warn'")),
     "a8_aggregate_message": q(
-        counts("1d", "service", f"{IN_RANGE} AND message ILIKE '%limit_%'")
+        counts("1d", "service", f"{IN_RANGE} AND message ILIKE '%sensor_%'")
     ),
     "a8_aggregate_attribute": q(counts("1h", None, f"{IN_RANGE} AND retries = '4'")),
     "a9_live_window": q(
@@ -423,6 +458,9 @@ ORACLE: dict[str, str] = {
             f" AND date_trunc('minute', timestamp) < {ts(LIVE_NOW)}",
         )
     ),
+    "a8_aggregate_live": q(
+        counts("1m", "service", f"timestamp >= {ts(LIVE_SINCE)} AND timestamp < {ts(LIVE_UNTIL)}")
+    ),
     "t1_count_by_level": q("SELECT level, count(*) AS count FROM logs GROUP BY level"),
     "t2_count_by_service": q("SELECT service, count(*) AS count FROM logs GROUP BY service"),
     "t3_total_rows": q('SELECT count(*) AS "rows" FROM logs'),
@@ -442,6 +480,7 @@ ORACLE: dict[str, str] = {
                CAST({DAY} + 1 AS VARCHAR) AS "to", count(*) AS "rows", true AS has_bytes
         FROM logs GROUP BY {DAY}"""
     ),
+    "t7_store_bytes": "SELECT true AS agrees",
     "t8_store_report": q(REPORT),
     "r1_drop_expired": q(
         f"""
@@ -500,11 +539,12 @@ ORACLE: dict[str, str] = {
     "st3_live_tail": q(
         f"""
         SELECT {iso('timestamp')} AS timestamp, level, service, message, user_id
-        FROM logs WHERE service = 'payments' AND level = 'warn'"""
+        FROM logs WHERE service = 'rolling-stock' AND level = 'warn'"""
     ),
     "d1_dense_series": q(dense("1h", None, SINCE, UNTIL)),
     "d1_dense_series_by_level": q(dense("1h", "level", SINCE, UNTIL)),
     "d1_dense_series_by_service": q(dense("1h", "service", SINCE, UNTIL)),
+    "d1_dense_series_many_slots": q(dense("5m", "level", FIRST, LAST)),
     "d2_group_ranking": q(
         f'SELECT service AS "group", count(*) AS count FROM logs WHERE {IN_RANGE} GROUP BY 1'
     ),
@@ -513,7 +553,7 @@ ORACLE: dict[str, str] = {
         f"{dense('1h', 'level', SINCE, UNTIL)})"
     ),
     "d4_share_of_max_level": q(
-        share("level", "SELECT unnest(['debug', 'info', 'warn', 'error']) AS name", "level <> 'debug'")
+        share("level", "SELECT unnest(['debug', 'info', 'warn', 'error']) AS name", "true")
     ),
     "d4_share_of_max_service": q(
         share("service", "SELECT DISTINCT service AS name FROM logs", "true")
@@ -527,3 +567,4 @@ ORACLE: dict[str, str] = {
     ),
     "flagship": q(counts("1h", "service", "true")),
 }
+ORACLE["a9_live_counts"] = ORACLE["a9_live_window"]

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from datetime import date, datetime, timedelta
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,8 +18,11 @@ from emberlog.operators import quality, retention, search, series, stats, valida
 from emberlog.operators.backfill import backfill
 from emberlog.plans import tables
 from emberlog.plans.tables import AS_OF, RETENTION_DAYS
+from emberlog.schema import DEAD_LETTER_LIMIT
 from emberlog.session import configure, scratch
 from emberlog.sources import envelopes as env
+from emberlog.sources import folders
+from emberlog.sources.compaction import compact_days, remove_replaced
 from emberlog.sources.store import LogStore
 from emberlog.streaming import ingest, live, tail
 
@@ -62,15 +66,6 @@ def rollup_rows(counts: DataFrame) -> DataFrame:
     return counts.select(iso_text(F.col("bucket")).alias("bucket"), "service", "level", "count")
 
 
-def one_row(spark: SparkSession, **values: int | str | None) -> DataFrame:
-    """The outcome of a job that changed a store, as a one-row table."""
-    columns = []
-    for name, value in values.items():
-        literal = F.lit(value) if isinstance(value, str) else F.lit(value).cast("bigint")
-        columns.append(literal.alias(name))
-    return spark.range(1).select(*columns)
-
-
 def names(spark: SparkSession, values: list[str]) -> DataFrame:
     return spark.createDataFrame([(value,) for value in values], "name STRING")
 
@@ -91,6 +86,12 @@ def contents(store: LogStore) -> DataFrame:
     )
 
 
+def with_ids(store: LogStore) -> DataFrame:
+    """``contents`` and the number of distinct ids."""
+    ids = store.scan_logs().agg(F.count_distinct("id").alias("ids"))
+    return contents(store).withColumn("ids", ids.scalar())
+
+
 # -- sources -----------------------------------------------------------------
 
 
@@ -243,7 +244,15 @@ def v6_backfill_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
 def v6_backfill(spark: SparkSession, sf_dir: str) -> DataFrame:
     store = tables.new_store(spark, "backfill")
     backfill(store, tables.raw_entries(spark, sf_dir), "history", AS_OF, RETENTION_DAYS)
-    return contents(store)
+    return with_ids(store)
+
+
+@query
+def v6_backfill_rejected(spark: SparkSession, sf_dir: str) -> DataFrame:
+    store = tables.new_store(spark, "backfill")
+    entries = tables.raw_entries(spark, sf_dir)
+    done = backfill(store, entries, "history", AS_OF, RETENTION_DAYS)
+    return done.rejected_rows.select("envelope", "index", "reason")
 
 
 @query
@@ -313,22 +322,34 @@ def dead_store(spark: SparkSession, sf_dir: str) -> LogStore:
 
 @query
 def w6_dead_letter_list(spark: SparkSession, sf_dir: str) -> DataFrame:
-    listed = dead.dead_letter_list(dead_store(spark, sf_dir))
+    """All pages of the queue."""
+    store, after, pages = dead_store(spark, sf_dir), None, []
+    while parts := dead.oldest_dead(store, DEAD_LETTER_LIMIT, after):
+        pages.append(dead.dead_letter_list(store, after=after))
+        after = dead.position(parts[-1])
+    listed = reduce(DataFrame.unionByName, pages)
     return listed.withColumn("failed_at", iso_text(F.col("failed_at")))
 
 
+@query
+def w6_dead_letter_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    entries = dead.dead_letter_entries(dead_store(spark, sf_dir), limit=None)
+    return entries.select("id", "entry_id", "timestamp", "level", "service", "message")
+
+
 @query
 def w7_dead_letter_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
     store = dead_store(spark, sf_dir)
     done = dead.dead_letter_replay(store)
-    waiting = len(dead.oldest_dead(store, limit=10**9))
-    return contents(store).select(
+    waiting = len(dead.oldest_dead(store))
+    return with_ids(store).select(
         F.lit(done.replayed).cast("bigint").alias("replayed"),
         F.lit(done.still_failed).cast("bigint").alias("still_failed"),
         F.lit(waiting).cast("bigint").alias("waiting"),
         "rows",
         "hour_count",
         "minute_count",
+        "ids",
     )
 
 
@@ -338,19 +359,44 @@ def w8_flush_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     accepted, _ = validation.split_batch(validated(spark, sf_dir))
     for name in ("first", "second", "second"):
         ingest.flush_batch(store, accepted, name, AS_OF)
-    return contents(store)
+    return with_ids(store)
+
+
+@query
+def w9_compact_day(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every day packed, new batches and one that is packed already, every day packed again, one
+    more batch, and what was replaced removed."""
+    store = tables.new_store(spark, "compact")
+    logs = tables.event_logs(spark, sf_dir)
+    part = F.pmod("event_id", F.lit(6))
+    for number in (0, 1, 2):
+        store.load_batch(logs.filter(part == number), f"part-{number}")
+    days = store.days()
+    compact_days(store, days)
+    for number in (3, 4, 1):  # the last of these is packed already
+        store.load_batch(logs.filter(part == number), f"part-{number}")
+    compact_days(store, days)
+    store.load_batch(logs.filter(part == 5), "part-5")
+    for day in days:
+        remove_replaced(store, day)
+    rows = log_rows(store.scan_logs())
+    hours = rollup_rows(store.scan_rollup("hour"))
+    nothing = F.lit(None).cast("string")
+    return rows.select("id", "timestamp", "level", "service", nothing.alias("grain"), F.lit(1).alias("count")).union(
+        hours.select(nothing, "bucket", "level", "service", F.lit("hour"), "count")
+    )
 
 
 # -- filters -------------------------------------------------------------------
 
 FILTERS = {
-    "f1_by_service": dict(service="checkout"),
+    "f1_by_service": dict(service="signals"),
     "f2_by_level": dict(level="error"),
     "f3_by_time": dict(since=SINCE, until=UNTIL),
-    "f4_by_message": dict(q="Re%Call"),
-    "f5_by_attribute": dict(attr={"region": "eu-west", "retries": "3"}),
+    "f4_by_message": dict(q="Si%Ced"),
+    "f5_by_attribute": dict(attr={"region": "valley", "retries": "3"}),
     "f6_all_filters": dict(
-        service="payments",
+        service="platforms",
         level="info",
         since=SINCE,
         until=UNTIL,
@@ -402,7 +448,7 @@ def q1_search_service_level(spark: SparkSession, sf_dir: str) -> DataFrame:
     store = tables.main_store(spark, sf_dir)
     return log_rows(
         search.search_store(
-            store, service="auth", level="error", since=SINCE, until=UNTIL, limit=40
+            store, service="switches", level="error", since=SINCE, until=UNTIL, limit=40
         )
     )
 
@@ -411,7 +457,7 @@ def q1_search_service_level(spark: SparkSession, sf_dir: str) -> DataFrame:
 def q1_search_message_attribute(spark: SparkSession, sf_dir: str) -> DataFrame:
     store = tables.main_store(spark, sf_dir)
     return log_rows(
-        search.search_store(store, q="cache", attr={"region": "us-west"}, until=UNTIL, limit=50)
+        search.search_store(store, q="sensor", attr={"region": "coast"}, until=UNTIL, limit=50)
     )
 
 
@@ -435,9 +481,9 @@ def q2_search_page(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The third page, reached by following cursors."""
     store, token = tables.main_store(spark, sf_dir), None
     for _ in range(2):
-        page = search.search_store(store, service="search", limit=PAGE, cursor=token)
+        page = search.search_store(store, service="timetable", limit=PAGE, cursor=token)
         token = _next_token(store, page)
-    return log_rows(search.search_store(store, service="search", limit=PAGE, cursor=token))
+    return log_rows(search.search_store(store, service="timetable", limit=PAGE, cursor=token))
 
 
 @query
@@ -471,27 +517,27 @@ def a1_time_bucket(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 RAW_COUNTS = {
     "a2_bucket_counts_1m": dict(bucket="1m"),
-    "a2_bucket_counts_5m": dict(bucket="5m", service="catalog"),
-    "a2_bucket_counts_1h": dict(bucket="1h", q="declined"),
-    "a2_bucket_counts_1d": dict(bucket="1d", attr={"region": "ap-south"}),
+    "a2_bucket_counts_5m": dict(bucket="5m", service="ticketing"),
+    "a2_bucket_counts_1h": dict(bucket="1h", q="closed"),
+    "a2_bucket_counts_1d": dict(bucket="1d", attr={"region": "summit"}),
     "a3_bucket_counts_by_service": dict(bucket="1h", group_by="service"),
-    "a3_bucket_counts_by_level": dict(bucket="5m", group_by="level", q="limit"),
+    "a3_bucket_counts_by_level": dict(bucket="5m", group_by="level", q="stale"),
 }
 
 ROLLUP_COUNTS = {
     "a4_hourly_rollup_1h": ("hour", dict(bucket="1h", group_by="service")),
     "a4_hourly_rollup_1h_level": ("hour", dict(bucket="1h", level="error")),
     "a5_hourly_rollup_1d": ("hour", dict(bucket="1d", group_by="level")),
-    "a6_minute_rollup_1m": ("minute", dict(bucket="1m", service="auth", group_by="level")),
+    "a6_minute_rollup_1m": ("minute", dict(bucket="1m", service="switches", group_by="level")),
     "a7_minute_rollup_5m": ("minute", dict(bucket="5m", group_by="service")),
 }
 
 ROUTED_COUNTS = {
     "a8_aggregate_1m": dict(bucket="1m", group_by="level"),
-    "a8_aggregate_5m": dict(bucket="5m", service="shipping"),
+    "a8_aggregate_5m": dict(bucket="5m", service="power"),
     "a8_aggregate_1h": dict(bucket="1h", group_by="service"),
     "a8_aggregate_1d": dict(bucket="1d", level="warn"),
-    "a8_aggregate_message": dict(bucket="1d", group_by="service", q="limit_"),
+    "a8_aggregate_message": dict(bucket="1d", group_by="service", q="sensor_"),
     "a8_aggregate_attribute": dict(bucket="1h", attr={"retries": "4"}),
 }
 
@@ -538,6 +584,38 @@ def a9_live_window(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bucket_rows(found)
 
 
+def live_table(spark: SparkSession, sf_dir: str) -> live.LiveTable:
+    """A live table begun late: everything was committed before its stream started."""
+    store, path = tables.main_store(spark, sf_dir), scratch(spark, "live")
+    live.live_counts_stream(
+        tail.committed_entries(store), path, scratch(spark, "checkpoint"), clock=lambda: LIVE_NOW
+    ).awaitTermination()
+    return live.LiveTable(store, path)
+
+
+LIVE_SINCE, LIVE_UNTIL = datetime(2024, 1, 30, 23, 46), datetime(2024, 1, 30, 23, 59)
+
+
+@query
+def a8_aggregate_live(spark: SparkSession, sf_dir: str) -> DataFrame:
+    table = live_table(spark, sf_dir)
+    assert table.covers(LIVE_SINCE, LIVE_UNTIL)
+    return bucket_rows(
+        agg.aggregate(
+            table.store, LIVE_SINCE, LIVE_UNTIL, "1m", "service", as_of=LIVE_NOW, live=table
+        )
+    )
+
+
+@query
+def a9_live_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = agg.live_counts(
+        live_table(spark, sf_dir).counts(), LIVE_NOW, LIVE_NOW - timedelta(minutes=13), LIVE_NOW,
+        group_by="service",
+    )
+    return bucket_rows(found)
+
+
 # -- statistics --------------------------------------------------------------------
 
 
@@ -576,7 +654,12 @@ def t6_partition_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def t7_store_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return stats.store_bytes(tables.main_store(spark, sf_dir))
+    """Equal to the sum over the partitions and to the sizes in the listing?"""
+    store = tables.main_store(spark, sf_dir)
+    listed = folders.size(spark, store.logs_path, ".parquet")
+    parts = stats.partition_stats(store).agg(F.sum("bytes").alias("parts"))
+    same = (F.col("bytes") == parts.scalar()) & (F.col("bytes") == F.lit(listed))
+    return stats.store_bytes(store).select(same.alias("agrees"))
 
 
 @query
@@ -721,7 +804,7 @@ def st1_ingest_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def in_time_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The events as a stream of three files in time order."""
+    """The events as a stream of parts in time order, several files each."""
     logs = tables.event_logs(spark, sf_dir).drop("event_id")
     path = scratch(spark, "in-order")
     limits = [None, date(2024, 1, 11), date(2024, 1, 21), None]
@@ -731,8 +814,9 @@ def in_time_order(spark: SparkSession, sf_dir: str) -> DataFrame:
             part = part.filter(F.col("dt") >= F.lit(low))
         if high:
             part = part.filter(F.col("dt") < F.lit(high))
-        part.coalesce(1).write.mode("append").parquet(path)
-    return spark.readStream.schema(logs.schema).option("maxFilesPerTrigger", 1).parquet(path)
+        # Files of one part share their time, so a trigger may mix them; parts stay in order.
+        part.repartitionByRange(4, "timestamp").write.mode("append").parquet(path)
+    return spark.readStream.schema(logs.schema).option("maxFilesPerTrigger", 4).parquet(path)
 
 
 @query
@@ -759,7 +843,7 @@ def run_tail(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = scratch(spark, "tail")
     rows = tail.live_tail(
         tables.main_store(spark, sf_dir),
-        service="payments",
+        service="rolling-stock",
         level="warn",
         started_at="2000-01-01",
         max_files_per_trigger=200,
@@ -807,6 +891,13 @@ named("d1_dense_series_by_level", _dense("level"))
 named("d1_dense_series_by_service", _dense("service"))
 
 
+@query
+def d1_dense_series_many_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Five-minute slots of the whole month: more than the dashboard would show."""
+    counts = counts_for(spark, sf_dir, "level", FIRST, LAST, "5m")
+    return series_rows(series.dense_series(counts, FIRST, LAST, "5m", "level"))
+
+
 @query
 def d2_group_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
     return series.group_ranking(counts_for(spark, sf_dir, "service"))
@@ -820,7 +911,7 @@ def d3_peak(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def d4_share_of_max_level(spark: SparkSession, sf_dir: str) -> DataFrame:
-    logs = tables.main_store(spark, sf_dir).scan_logs().filter(F.col("level") != "debug")
+    logs = tables.main_store(spark, sf_dir).scan_logs()
     return series.share_of_max(stats.count_by_level(logs), "level")
 
 
@@ -846,12 +937,15 @@ def d5_default_range(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _drift(grain: str) -> Query:
-    """Drift between the whole table and a rollup that missed one part of it."""
+    """Drift of a store whose last batch was stored and never counted."""
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        store = tables.main_store(spark, sf_dir)
-        partials = store.scan_partials(grain).filter(F.col("batch_id") != "part-2")
-        found = quality.rollup_drift(store.scan_logs(), partials, grain)
+        store = tables.new_store(spark, "drift")
+        logs = tables.event_logs(spark, sf_dir)
+        last = F.pmod("event_id", F.lit(3)) == 2
+        store.load_batch(logs.filter(~last), "counted")
+        store.append_logs(logs.filter(last), "uncounted")
+        found = quality.rollup_drift(store.scan_logs(), store.scan_partials(grain), grain)
         return found.withColumn("bucket", iso_text(F.col("bucket")))
 
     return run

@@ -50,9 +50,10 @@ ROLLUP = T.StructType(
 )
 
 #: One entry of a dead-lettered batch. The timestamp stays text because a
-#: dead entry may hold one that cannot be parsed.
+#: dead entry may hold one that cannot be parsed.  ``id`` is the one the entry keeps.
 DEAD_ENTRIES = T.StructType(
     [
+        T.StructField("id", T.StringType()),
         T.StructField("reason", T.StringType()),
         T.StructField("timestamp", T.StringType()),
         T.StructField("level", T.StringType()),
@@ -83,4 +84,13 @@ LIVE = T.StructType(
     ]
 )
 
+#: The batches a live table has counted.
+COUNTED = T.StructType(
+    [
+        T.StructField("batch_id", T.StringType()),
+        T.StructField("dt", T.DateType()),
+        T.StructField("epoch", T.LongType()),
+    ]
+)
+
 LOG_COLUMNS = ("id", "timestamp", "level", "service", "message", "attributes")

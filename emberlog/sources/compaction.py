@@ -12,8 +12,10 @@ listed them before can finish.
 from __future__ import annotations
 
 import uuid
+from concurrent.futures import ThreadPoolExecutor
 from datetime import date
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import functions as F
 
 from emberlog.schema import LOGS, ROLLUP
@@ -77,6 +79,14 @@ def compact_day(store: LogStore, day: date) -> bool:
     return True
 
 
+def compact_days(store: LogStore, days: list[date], at_once: int = 4) -> list[date]:
+    """Pack several days, a few side by side; the days that had something to pack."""
+    run = inheritable_thread_target(store.spark)(compact_day)
+    with ThreadPoolExecutor(at_once) as pool:
+        done = list(pool.map(lambda day: run(store, day), days))
+    return [day for day, packed in zip(days, done, strict=True) if packed]
+
+
 def stored(schema) -> list[str]:
     """Columns kept in the files: all but the two partition columns."""
     return [name for name in schema.fieldNames() if name not in ("dt", "batch_id")]

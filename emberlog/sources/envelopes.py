@@ -14,8 +14,9 @@ BODY_SCHEMA = "value STRING"
 
 
 def read_bodies(spark: SparkSession, path: str) -> DataFrame:
-    """Lines of the files below ``path`` with the file they came from."""
-    return spark.read.text(path).select("value", F.col("_metadata.file_name").alias("file"))
+    """Lines of the files below ``path`` with the full path of their file: bare names may
+    be the same in two folders."""
+    return spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"))
 
 
 def stream_batches(
@@ -25,7 +26,7 @@ def stream_batches(
     reader = spark.readStream.schema(BODY_SCHEMA)
     if max_files_per_trigger is not None:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
-    return reader.text(path).select("value", F.col("_metadata.file_name").alias("file"))
+    return reader.text(path).select("value", F.col("_metadata.file_path").alias("file"))
 
 
 def name_envelopes(bodies: DataFrame, prefix: str = "") -> DataFrame:

@@ -32,13 +32,20 @@ def remove(spark: SparkSession, path: str) -> bool:
     return fs.delete(hadoop_path, True)
 
 
-def move(spark: SparkSession, source: str, target: str) -> None:
-    """Rename a directory within one file system; the target must not exist yet."""
-    from_path, fs = _path(spark, source)
-    to_path, _ = _path(spark, target)
-    fs.mkdirs(to_path.getParent())
-    if not fs.rename(from_path, to_path):
-        raise OSError(f"cannot move {source} to {target}")
+def size(spark: SparkSession, path: str, suffix: str) -> int:
+    """Bytes of all files below ``path`` with this ending, from the listing."""
+    hadoop_path, fs = _path(spark, path)
+    files, total = fs.listFiles(hadoop_path, True), 0
+    while files.hasNext():
+        status = files.next()
+        if status.getPath().getName().endswith(suffix):
+            total += status.getLen()
+    return total
+
+
+def make(spark: SparkSession, path: str) -> None:
+    hadoop_path, fs = _path(spark, path)
+    fs.mkdirs(hadoop_path)
 
 
 def read_text(spark: SparkSession, path: str) -> str:

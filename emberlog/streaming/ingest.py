@@ -6,13 +6,16 @@ from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
 from datetime import UTC, datetime
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from emberlog.functions.time import instant
 from emberlog.operators.dead_letters import dead_letter_write, discard_dead
 from emberlog.operators.validation import derive_columns, split_batch, validate_entries
 from emberlog.schema import DEFAULT_RETENTION_DAYS, REJECTED
+from emberlog.sources import folders
 from emberlog.sources.envelopes import (
     explode_envelopes,
     name_envelopes,
@@ -34,7 +37,7 @@ def flush_batch(
     """
     discard_dead(store, batch_id)
     try:
-        store.load_batch(derive_columns(accepted), batch_id)
+        store.load_batch(derive_columns(accepted, batch_id), batch_id)
     except Exception as error:  # noqa: BLE001 - any failure at all sends the batch to the queue
         store.discard_batch(batch_id)
         reason = str(error).strip().split("\n", 1)[0] or type(error).__name__
@@ -44,7 +47,9 @@ def flush_batch(
 
 
 def write_rejected(store: LogStore, rejected: DataFrame, batch_id: str) -> None:
+    """Keep what a batch refused, in place of what an earlier attempt refused."""
     rows = rejected.withColumn("batch_id", F.lit(check_batch_id(batch_id)))
+    folders.remove(store.spark, f"{store.rejected_path}/batch_id={batch_id}")
     (
         rows.select(REJECTED.fieldNames())
         .hint("rebalance")  # a few files of fair size, however many tasks parsed the input
@@ -85,7 +90,8 @@ def ingest_bodies(
             )
         )
         with ThreadPoolExecutor(1) as pool:
-            refused = pool.submit(write_rejected, store, rejected, batch_id)
+            run = inheritable_thread_target(store.spark)(write_rejected)
+            refused = pool.submit(run, store, rejected, batch_id)
             flush_batch(store, accepted, batch_id, as_of)
         refused.result()
     finally:
@@ -93,6 +99,16 @@ def ingest_bodies(
             validated.unpersist()
 
 
+def epoch_time(
+    spark: SparkSession, checkpoint: str, epoch: int, clock: Callable[[], datetime]
+) -> str:
+    """The time an epoch is judged by, fixed beside the checkpoint on its first attempt, so that
+    a retry accepts and refuses the same entries."""
+    path = f"{checkpoint}/times/{epoch:010d}"
+    folders.create(spark, path, instant(clock()).isoformat())
+    return folders.read_text(spark, path)
+
+
 def ingest_stream(
     spark: SparkSession,
     path: str,
@@ -117,7 +133,7 @@ def ingest_stream(
             store,
             bodies,
             f"{stream}-{epoch:010d}",
-            clock(),
+            epoch_time(spark, checkpoint, epoch, clock),
             retention_days=retention_days,
             keep_parsed=True,
         )

@@ -149,11 +149,11 @@ def live_logs(logs):
 
     return logs(
         [
-            minutes_ago(1, "checkout"),
-            minutes_ago(1, "checkout", "error"),
-            minutes_ago(1, "billing"),
-            minutes_ago(14, "checkout"),
-            minutes_ago(15, "checkout"),
+            minutes_ago(1, "brakes"),
+            minutes_ago(1, "brakes", "error"),
+            minutes_ago(1, "fares"),
+            minutes_ago(14, "brakes"),
+            minutes_ago(15, "brakes"),
         ]
     )
 
@@ -162,8 +162,8 @@ def test_live_window_groups_and_filters(live_logs):
     since = NOW - timedelta(minutes=5)
     minute = datetime(2026, 7, 20, 12, 29)
     assert rows_of(agg.live_window(live_logs, NOW, since, NOW, "service")) == [
-        (minute, "billing", 1),
-        (minute, "checkout", 2),
+        (minute, "brakes", 2),
+        (minute, "fares", 1),
     ]
     assert rows_of(agg.live_window(live_logs, NOW, since, NOW, level="error")) == [
         (minute, None, 1)
@@ -192,10 +192,18 @@ def test_live_window_counts_whole_minutes(live_logs):
 
 def test_aggregate_takes_the_live_table_for_whole_recent_minutes(filled, spark):
     start = datetime(2026, 7, 20, 12, 29)
-    live = spark.createDataFrame(
-        [(start, "a", "info", 7)], "bucket TIMESTAMP, service STRING, level STRING, count BIGINT"
-    )
-    until = start + timedelta(minutes=1)
+
+    class Live:
+        complete = True
+
+        def counts(self):
+            schema = "bucket TIMESTAMP, service STRING, level STRING, count BIGINT"
+            return spark.createDataFrame([(start, "a", "info", 7)], schema)
+
+        def covers(self, since, until):
+            return self.complete
+
+    until, live = start + timedelta(minutes=1), Live()
     options = dict(as_of=NOW, live=live)
     assert rows_of(agg.aggregate(filled, start, until, "1m", **options)) == [(start, None, 7)]
     cut = agg.aggregate(filled, start + timedelta(seconds=1), until, "1m", **options)
@@ -206,3 +214,8 @@ def test_aggregate_takes_the_live_table_for_whole_recent_minutes(filled, spark):
     assert rows_of(forced) == [(start, None, 7)]
     with pytest.raises(ValueError, match="cannot answer"):
         agg.aggregate(filled, BASE, until, "1m", source="live", **options)
+    live.complete = False
+    raw = agg.aggregate(filled, start, until, "1m", source="raw")
+    assert rows_of(agg.aggregate(filled, start, until, "1m", **options)) == rows_of(raw)
+    with pytest.raises(ValueError, match="cannot answer"):
+        agg.aggregate(filled, start, until, "1m", source="live", **options)

@@ -80,6 +80,7 @@ def test_message_pattern_keeps_wildcards_and_drops_plain_backslashes():
     assert contains_pattern("Payment") == "%payment%"
     assert contains_pattern("50%_x") == "%50%_x%"
     assert contains_pattern(r"a\b") == "%ab%"
+    assert contains_pattern("abc\\") == r"%abc\%"
     assert contains_pattern(r"100\%") == r"%100\%%"
     assert contains_pattern("a\\\\b") == "%a\\\\b%"
 

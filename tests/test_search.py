@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from emberlog.functions.predicates import all_filters
 from emberlog.operators import search
+from emberlog.operators.backfill import backfill
+from emberlog.session import scratch
+from emberlog.sources import envelopes as env
 from tests.conftest import plan_text
 
 BASE = datetime(2026, 7, 20, 10, 0, 0)
@@ -20,9 +23,9 @@ def ids(df) -> list[str]:
 def three(logs):
     return logs(
         [
-            (str(BASE), "error", "checkout", "Oldest one", {"user": "1", "n": "3"}),
-            (str(BASE + timedelta(seconds=1)), "info", "auth", "MIDDLE 100% a_b", {"user": ""}),
-            (str(BASE + timedelta(seconds=2)), "warn", "checkout", "newest\\one", {}),
+            (str(BASE), "error", "brakes", "Oldest one", {"user": "1", "n": "3"}),
+            (str(BASE + timedelta(seconds=1)), "info", "doors", "MIDDLE 100% a_b", {"user": ""}),
+            (str(BASE + timedelta(seconds=2)), "warn", "brakes", "newest\\one", {}),
         ]
     )
 
@@ -36,7 +39,7 @@ def test_newest_first_and_limit(three):
 @pytest.mark.parametrize(
     ("options", "expected"),
     [
-        (dict(service="checkout"), ["0000", "0002"]),
+        (dict(service="brakes"), ["0000", "0002"]),
         (dict(service=""), ["0000", "0001", "0002"]),
         (dict(level="info"), ["0001"]),
         (dict(q="middle"), ["0001"]),
@@ -128,11 +131,60 @@ def test_store_search_equals_plain_search(spread, limit, options):
     assert pages[0] == pages[1]
 
 
-def test_store_search_skips_days(spread):
-    page = search.search_store(spread, service="a", limit=5)
-    plan = plan_text(page)
-    assert "TakeOrderedAndProject" in plan
-    assert "(dt" in plan.split("PartitionFilters:")[1] and "Subquery" in plan
+def test_store_search_reads_each_day_once_and_no_more_than_needed(spread, monkeypatch):
+    read = []
+    real = type(spread).scan_logs
+
+    def noted(self, since=None, until=None, **options):
+        read.append((since, until))
+        return real(self, since, until, **options)
+
+    monkeypatch.setattr(type(spread), "scan_logs", noted)
+    search.search_store(spread, service="a", limit=5)
+    assert len(read) == 1 and read[0][0].replace(tzinfo=None) == BASE - timedelta(hours=1)
+    read.clear()
+    search.search_store(spread, q="nowhere")
+    ends = sorted((low, high) for low, high in read)
+    assert all(a[1] <= b[0] for a, b in zip(ends, ends[1:], strict=False))
+    read.clear()
+    search.search_store(spread, q="busy", limit=20)
+    assert len(read) <= 2
+
+
+def test_a_page_is_full_even_if_the_rollup_counts_too_much(new_store, logs):
+    store = new_store()
+    table = logs([(str(BASE - timedelta(hours=h)), "info", "a", "m", {}) for h in (0, 5, 30)])
+    store.load_batch(table, "one")
+    store.add_counts(table, "hour", "again")
+    assert len(ids(search.search_store(store, service="a", limit=3))) == 3
+
+
+def test_limits_are_refused_not_cut(spread):
+    for limit in (5000, 0, "5", True):
+        with pytest.raises(ValueError, match="limit must"):
+            search.search_store(spread, limit=limit)
+        with pytest.raises(ValueError, match="limit must"):
+            search.search_logs(spread.scan_logs(), limit=limit)
+        with pytest.raises(ValueError, match="limit must"):
+            search.next_cursor(spread.scan_logs(), limit)
+
+
+def test_paging_walks_over_batches_with_equal_file_names(spark, new_store):
+    store = new_store()
+    for number in (1, 2):
+        folder = scratch(spark, f"inbox-{number}")
+        body = '{"logs":[{"timestamp":"2026-07-20T10:00:00Z","level":"info","service":"a","message":"m"}]}'
+        spark.createDataFrame([(body,)], "value STRING").coalesce(1).write.text(folder)
+        renamed = env.read_bodies(spark, folder)
+        entries = env.entries_of(env.explode_envelopes(env.name_envelopes(renamed)))
+        backfill(store, entries, f"batch-{number}", "2026-07-21")
+    first = search.search_store(store, limit=1)
+    token = search.next_cursor(first, 1).first().cursor
+    second = search.search_store(store, limit=1, cursor=token)
+    assert len({*ids(first), *ids(second)}) == 2
+
+
+def test_plain_search_pushes_its_filters(spread):
     pushed = plan_text(search.search_logs(spread.scan_logs("2026-07-20"), level="info", q="bus"))
     assert "EqualTo(level,info)" in pushed
     assert "StringContains(message_lower,bus)" in pushed

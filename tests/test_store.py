@@ -247,13 +247,30 @@ def test_replay_takes_each_dead_letter_whole_or_not_at_all(spark, store):
         "stale-and-blank",
         "fine",
     ]
+    first = dead.dead_letter_list(store, limit=2).collect()
+    after = dead.position(dead.oldest_dead(store, limit=2)[-1])
+    rest = dead.dead_letter_list(store, limit=2, after=after).collect()
+    assert [r.id for r in first + rest] == ["mixed", "undated", "stale-and-blank", "fine"]
+    kept = {r.entry_id for r in dead.dead_letter_entries(store).collect() if r.id == "fine"}
+    assert len(kept) == 2
     assert dead.dead_letter_replay(store, limit=3) == dead.Replayed(1, 2)
     assert sizes(store) == (1, 1, 1)
     assert dead.dead_letter_replay(store) == dead.Replayed(1, 2)
     assert sizes(store) == (3, 3, 3)
+    assert kept < {r.id for r in store.scan_logs().collect()}
     assert dead.dead_letter_entries(store).count() == 3
 
 
+def test_a_long_queue_is_replayed_behind_its_bad_letters(spark, store, monkeypatch):
+    monkeypatch.setattr(dead, "REPLAY_PAGE", 3)
+    for number in range(8):
+        level = "no-level" if number < 5 else "info"
+        row = ("2026-07-20T10:00:00Z", level, "a", "x", {})
+        at = AS_OF + timedelta(minutes=number)
+        dead.dead_letter_write(store, dead_entries(spark, row), "broken", at, f"d{number}")
+    assert dead.dead_letter_replay(store) == dead.Replayed(3, 5)
+
+
 def test_retention_cuts_raw_rows_by_day_and_rollups_by_instant(store, logs):
     table = logs(
         [(day(-60), "info", "a", "x"), (day(-30, 3), "info", "a", "x"), (day(-30, 12), "info", "a", "x"), (day(0), "info", "a", "x")]
@@ -320,5 +337,6 @@ def test_backfill_fills_raw_rows_and_rollups(spark, store, logs):
     done = backfill(store, entries, "history", AS_OF, 30)
     assert (done.accepted, done.discarded, done.rejected, done.status) == (1, 1, 1, 200)
     assert done.dates == [date(2026, 7, 19)]
+    assert [tuple(r) for r in done.rejected_rows.collect()] == [("e", 2, "invalid timestamp")]
     assert sizes(store) == (2, 2, 2)
     assert store.days(store.stray_path) == [] or store.scan_stray().count() == 0

@@ -6,13 +6,16 @@ from datetime import UTC, datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
-from emberlog.operators.aggregate import live_counts
+from emberlog.operators.aggregate import aggregate, live_counts
+from emberlog.operators.retention import backfill_day
 from emberlog.plans.queries import contents
 from emberlog.session import scratch
 from emberlog.sources import folders
+from emberlog.sources.compaction import compact_day
+from emberlog.streaming import ingest
 from emberlog.streaming.ingest import ingest_bodies, ingest_stream
-from emberlog.streaming.live import live_counts_stream, prune_live, read_live
-from emberlog.streaming.tail import live_tail
+from emberlog.streaming.live import LiveTable, live_counts_stream, prune_live, read_live
+from emberlog.streaming.tail import committed_entries, live_tail
 
 AS_OF = datetime(2026, 7, 21, 12, tzinfo=UTC)
 
@@ -79,33 +82,76 @@ def test_a_batch_that_runs_twice_changes_nothing(spark, inbox, store):
     assert outcomes[0][0] == (1, 1, 1)
 
 
-def test_live_counts_follow_the_stream(spark, inbox, logs):
+def follow(store, path, checkpoint, **options):
+    stream = committed_entries(store)
+    live_counts_stream(stream, path, checkpoint, clock=lambda: AS_OF, **options).awaitTermination()
+    return LiveTable(store, path)
+
+
+def test_live_counts_follow_the_stream(spark, store, logs):
     path, checkpoint = scratch(spark, "live"), scratch(spark, "checkpoint")
     first = datetime(2026, 7, 21, 11, 50)
 
-    def arrive(*rows):
-        table = logs([(str(ts), level, service, "m") for ts, level, service in rows])
-        table.coalesce(1).write.mode("append").parquet(inbox)
-        stream = spark.readStream.schema(table.schema).parquet(inbox)
-        live_counts_stream(stream, path, checkpoint, clock=lambda: AS_OF).awaitTermination()
-
-    arrive((first, "info", "a"), (first, "info", "a"), (first, "warn", "b"))
-    arrive((first, "info", "a"), (first + timedelta(minutes=1), "info", "a"))
-    table = read_live(spark, path)
-    found = live_counts(table, AS_OF, first, AS_OF, "service").collect()
-    assert [(r.start, r.group, r["count"]) for r in found] == [
-        (first, "a", 3),
-        (first, "b", 1),
-        (first + timedelta(minutes=1), "a", 1),
-    ]
-    assert live_counts(table, AS_OF, first - timedelta(minutes=10), AS_OF) is None
+    def arrive(name, *rows):
+        store.load_batch(logs([(str(ts), level, service, "m") for ts, level, service in rows]), name)
+
+    # One entry is ahead of the clock, and the stream begins after the first batch.
+    arrive("one", (first, "info", "a"), (first, "info", "a"), (AS_OF + timedelta(minutes=4), "info", "a"))
+    live = follow(store, path, checkpoint)
+    until = first + timedelta(minutes=5)
+    assert live.covers(first, until)
+    arrive("two", (first, "info", "a"), (first - timedelta(minutes=2), "warn", "b"))
+    assert not live.covers(first, until)
+    options = dict(as_of=AS_OF, live=live)
+    for _ in range(2):
+        found = aggregate(store, first, until, "1m", "service", **options).collect()
+        assert [(r.start, r.group, r["count"]) for r in found] == [(first, "a", 3)]
+        live = follow(store, path, checkpoint)
+    assert live.covers(first, until)
+    compact_day(store, AS_OF.date())
+    live = follow(store, path, checkpoint)
+    assert live.covers(first, until)
+    found = live_counts(live.counts(), AS_OF, first - timedelta(minutes=3), AS_OF, "service").collect()
+    assert [(r.group, r["count"]) for r in found] == [("b", 1), ("a", 3)]
+    assert live_counts(live.counts(), AS_OF, first - timedelta(minutes=10), AS_OF) is None
     prune_live(spark, path, AS_OF)
     assert read_live(spark, path).count() == 3
-    prune_live(spark, path, AS_OF + timedelta(hours=1))
-    assert folders.matching(spark, f"{path}/epoch=*") == []
+    prune_live(spark, path, AS_OF + timedelta(days=2))
+    assert folders.matching(spark, f"{path}/*/*=*") == []
+
+
+def test_a_batch_loaded_twice_is_not_answered_live(spark, store, logs):
+    path, checkpoint = scratch(spark, "live"), scratch(spark, "checkpoint")
+    first = datetime(2026, 7, 21, 11, 50)
+    rows = logs([(str(first), "info", "a", "m")])
+    for _ in range(2):
+        store.load_batch(rows, "same")
+        live = follow(store, path, checkpoint)
+    found = aggregate(store, first, first + timedelta(minutes=1), "1m", as_of=AS_OF, live=live)
+    assert [r["count"] for r in found.collect()] == [1]
+
+
+def test_a_retried_epoch_is_judged_by_its_first_time(spark, inbox, store, monkeypatch):
+    ahead = (AS_OF + timedelta(minutes=8)).isoformat()
+    drop(spark, inbox, body((ahead, "info", "a"), ("2026-07-21T10:00:00Z", "info", "a")))
+    checkpoint, times = scratch(spark, "checkpoint"), [AS_OF, AS_OF + timedelta(minutes=10)]
+    real = ingest.ingest_bodies
+
+    def dies(*args, **options):
+        real(*args, **options)
+        raise RuntimeError("driver lost")
+
+    monkeypatch.setattr(ingest, "ingest_bodies", dies)
+    with pytest.raises(Exception, match="driver lost"):
+        ingest_stream(spark, inbox, store, checkpoint, clock=lambda: times[0]).awaitTermination()
+    monkeypatch.setattr(ingest, "ingest_bodies", real)
+    ingest_stream(spark, inbox, store, checkpoint, clock=lambda: times[1]).awaitTermination()
+    assert sizes(store) == (1, 1, 1)
+    assert store.scan_rejected().count() == 1
 
 
 def test_tail_shows_committed_rows_of_one_service(spark, store, logs):
+    assert live_tail(store).isStreaming  # an empty store can be tailed
     store.load_batch(
         logs([("2026-07-21 10:00:00", "info", "svc-a", "x"), ("2026-07-21 10:00:00", "warn", "svc-b", "y")]),
         "one",
@@ -128,6 +174,11 @@ def test_tail_shows_committed_rows_of_one_service(spark, store, logs):
     assert "id" not in rows.columns
     assert [r.message for r in rows.collect()] == ["x"]
     assert tailed(level="warn").count() == 1
+    store.load_batch(logs([("2026-07-21 10:00:00", "warn", "svc-b", "z")]), "two")
+    compact_day(store, AS_OF.date())
+    store.park_stray(logs([("2026-07-21 11:00:00", "warn", "svc-b", "moved")]), "late")
+    backfill_day(store, AS_OF.date())
+    assert sorted(r.message for r in tailed(level="warn").collect()) == ["y", "z"]
     assert tailed(started_at=datetime.now(UTC) + timedelta(hours=1)).count() == 0
     with pytest.raises(ValueError, match="invalid level: 'loud'"):
         live_tail(store, level="loud")

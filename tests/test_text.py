@@ -57,7 +57,7 @@ def test_buckets_start_at_multiples_counted_from_2000(spark):
 @settings(max_examples=300, deadline=None)
 @given(st.text(alphabet="aB%_\\ .", max_size=8))
 def test_message_patterns_never_hold_a_stray_backslash(q):
-    inner = contains_pattern(q)[1:-1]
+    inner = contains_pattern(q)[1:]
     i = 0
     while i < len(inner):
         if inner[i] == "\\":
