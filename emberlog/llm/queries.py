@@ -8,7 +8,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from emberlog.llm import decontamination, language, lengths, lines, mixing, ngrams, pii, pivots, substring, suffixes
+from emberlog.llm import (
+    decontamination,
+    language,
+    lengths,
+    lines,
+    mixing,
+    ngrams,
+    oracle,
+    pii,
+    pivots,
+    substring,
+    suffixes,
+)
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -79,6 +91,6 @@ LLM_QUERIES: dict[str, Query] = {
     "pipeline": corpus_pipeline.run,
 }
 
-LLM_ORACLE: dict[str, str] = {}
-if corpus_pipeline.ORACLE_SQL is not None:
-    LLM_ORACLE["pipeline"] = corpus_pipeline.ORACLE_SQL
+LLM_ORACLE: dict[str, str] = oracle.LLM_ORACLE | (
+    {} if corpus_pipeline.ORACLE_SQL is None else {"pipeline": corpus_pipeline.ORACLE_SQL}
+)
