@@ -34,20 +34,22 @@ QUOTED_KEY = r"`([^`]|``)*`"
 NESTED = r"<.*(OBJECT|ARRAY)<|: VOID"
 
 
-def _only_text(value: Column) -> Column:
-    return F.when(variants.kind(value) == "STRING", variants.get(value, "string"))
-
-
 def normalize_attributes(value: Column, shape: Column) -> Column:
     """Attributes as MAP<STRING,STRING>; missing or null gives an empty map.
 
     NULL means the value is not a flat object, which its type text ``shape`` tells.
     """
     types = F.when(shape.contains("`"), F.regexp_replace(shape, QUOTED_KEY, "x")).otherwise(shape)
+    # Strings, booleans and whole numbers of up to 15 digits read alike everywhere; only
+    # other numbers need the slower rule, value by value.
+    plain = variants.get(value, "map<string,string>")
+    long = F.exists(F.map_values(plain), lambda text: F.length(text) > 15)
+    odd_numbers = shape.rlike("DOUBLE|DECIMAL") | (shape.contains("BIGINT") & long)
     values = variants.get(value, "map<string,variant>")
     return (
         F.when(shape.isNull() | (shape == "VOID"), F.create_map().cast("map<string,string>"))
         .when(~shape.startswith("OBJECT") | types.rlike(NESTED), F.lit(None))
+        .when(~odd_numbers, plain)
         .otherwise(F.transform_values(values, lambda _, item: variants.scalar_text(item)))
     )
 
@@ -79,18 +81,17 @@ def validate_entries(
     typed = fields.select(
         *kept,
         (F.col("f").isNotNull() | F.col("is_array")).alias("is_object"),
-        _only_text(F.col("f.timestamp")).alias("timestamp_text"),
+        variants.only_text(F.col("f.timestamp")).alias("timestamp_text"),
         F.col("f.level").alias("level_value"),
-        _only_text(F.col("f.level")).alias("level"),
-        _only_text(F.col("f.service")).alias("service"),
-        _only_text(F.col("f.message")).alias("message"),
+        variants.only_text(F.col("f.level")).alias("level"),
+        variants.only_text(F.col("f.service")).alias("service"),
+        variants.only_text(F.col("f.message")).alias("message"),
         F.col("f.attributes").alias("attributes_value"),
         variants.kind(F.col("f.attributes")).alias("attributes_shape"),
     )
     parsed = typed.withColumns(
         {
             "timestamp": parse_iso(F.col("timestamp_text")),
-            "level_text": variants.any_text(F.col("level_value")),
             "attributes": normalize_attributes(
                 F.col("attributes_value"), F.col("attributes_shape")
             ),
@@ -110,7 +111,7 @@ def validate_entries(
         )
     known = F.coalesce(F.col("level").isin(*LEVELS), F.lit(False))
     reason = (
-        rules.when(~known, F.concat(F.lit(BAD_LEVEL), F.col("level_text")))
+        rules.when(~known, F.concat(F.lit(BAD_LEVEL), variants.any_text(F.col("level_value"))))
         .when(~F.coalesce(has_text(F.col("service")), F.lit(False)), F.lit(BAD_SERVICE))
         .when(~F.coalesce(has_text(F.col("message")), F.lit(False)), F.lit(BAD_MESSAGE))
         .when(F.col("attributes").isNull(), F.lit(BAD_ATTRIBUTES))
