@@ -139,6 +139,12 @@ def pieces(where: DataFrame, block_words: int) -> DataFrame:
     )
 
 
+def _merged(left: DataFrame, right: DataFrame, same: Column, how: str = "inner") -> DataFrame:
+    """A join that never broadcasts: slots are numbered from a few rows, and the planner would
+    take them for as few."""
+    return left.hint("merge").join(right.hint("merge"), same, how)
+
+
 def _same_source(a: str, b: str) -> Column:
     return F.col(f"{a}.source").eqNullSafe(F.col(f"{b}.source"))
 
@@ -166,7 +172,8 @@ def mix(
     where, wanted = _plan(docs, id_col, text_col, source_col, weights, share, most, seed)
     taken = slots(wanted, block_words, shard_words, seed).alias("s")
     parts = pieces(where, block_words).alias("p")
-    both = taken.join(parts, _same_source("s", "p") & (F.col("s.block") == F.col("p.block")))
+    same = _same_source("s", "p") & (F.col("s.block") == F.col("p.block"))
+    both = _merged(taken, parts, same)
     part = (F.col("p.start") + F.col("p.at")) % block_words
     return both.select(
         "s.shard", "s.source", "s.slot", part.alias("part"),
@@ -216,7 +223,7 @@ def taken_words(
     taken = slots(wanted, block_words, SHARD_WORDS, seed)
     times = taken.groupBy("source", "block").agg(F.count("*").alias("times")).alias("t")
     parts = pieces(where, block_words).alias("p")
-    met = parts.join(times, _same_source("p", "t") & (F.col("p.block") == F.col("t.block")))
+    met = _merged(parts, times, _same_source("p", "t") & (F.col("p.block") == F.col("t.block")))
     # A document is known by its place in its source's stream.
     drawn = met.groupBy("p.source", "p.start", "p.doc").agg(
         F.sum(F.col("p.words") * F.col("t.times")).alias("taken")
@@ -226,7 +233,7 @@ def taken_words(
         _same_source("d", "g") & (F.col("d.start") == F.col("g.start"))
         & (F.col("d.doc") == F.col("g.doc")) & (F.col("d.size") > 0)
     )
-    return d.join(drawn, same, "left").join(w, _same_source("d", "w")).select(
+    return _merged(d, drawn, same, "left").join(w, _same_source("d", "w")).select(
         null_id(F.col("d.doc")).alias(id_col), "d.size", "d.source", "w.source_size", "w.target",
         F.coalesce(F.col("g.taken"), F.lit(0)).cast("long").alias("taken"),
     )
