@@ -108,9 +108,13 @@ class _Segments:
         self.size = size
         self.rows: list[tuple] = []  # (key, doc, fp, start, bytes, already decided)
         self.seen: dict[bytes, tuple[int, int]] = {}
-        self.bytes = 0
+        self.bytes = self.carried = 0
         self.key: int | None = None
 
+    def full(self) -> bool:
+        """Enough new bytes to be worth ranking what is carried again."""
+        return self.bytes >= max(RANK_BYTES, self.carried)
+
     def add(self, key, doc, fp, start, segment: bytes) -> tuple | None:
         """A removed range if the whole segment occurred before."""
         if key != self.key:
@@ -139,6 +143,7 @@ class _Segments:
         found &= ~done[row]
         begin, count = runs(at[found], row[found])
         self.rows, self.bytes = stay, 0
+        self.carried = sum(len(r[4]) for r in stay)
         self.seen = {r[4]: (r[1], r[3]) for r in stay}
         if not len(begin):
             return None
@@ -148,7 +153,7 @@ class _Segments:
 
 def _decide(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
     """Removed byte ranges from segments sorted by key and position."""
-    held, limit = _Segments(size), RANK_BYTES
+    held = _Segments(size)
     for whole in batches:
         known, batch = R.passed_on(whole)
         if known is not None:
@@ -158,7 +163,7 @@ def _decide(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordB
         for row in zip(*columns, strict=True):
             if (cut := held.add(*row)) is not None:
                 gone.append(cut)
-            if held.bytes >= limit:
+            if held.full():
                 if (cuts := held.flush()) is not None:
                     yield cuts
         if gone:
