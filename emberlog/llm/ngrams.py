@@ -10,9 +10,10 @@ additional one in the partner breaks one, and the extension outweighs both.
 
 Equal sets are one class and compared once.  Candidates go through an exact bound (parity
 bitmaps never differ in more bits than the sets in tokens) before sets are shipped.  The
-first pass compares every indexed list with its smallest document only; the second compares the
-rest of a list, but only documents that are not connected yet.  So a family of thousands of near
-copies costs a pass over its lists, not its pairs.
+first pass compares every indexed list with its smallest document only, the second the closest
+members of components that meet in a list, the third all the rest of a list, but only documents
+that are not connected yet.  So a family of thousands of near copies costs passes over its
+lists, not its pairs.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from emberlog.llm.components import components
-from emberlog.llm.sketches import CountMin, SeenTwice, merged, sketch_rows
+from emberlog.llm.sketches import Classes, members, merged, sketch_rows
 from emberlog.llm.text import keyed, mix, null_id, shingle_sets
 from emberlog.session import scratch
 
@@ -38,43 +39,6 @@ STAR_ROWS = 1024
 _SETS = "doc long, fp long, n long, d1 long, d2 long, sigs array<long>, bits binary, items binary"
 
 
-class Classes:
-    """Which tokens occur once, and which in more than ``often`` documents."""
-
-    schema = SeenTwice.schema
-
-    def __init__(self, bits: int, width: int, often: int):
-        self.bits = bits
-        self.seen, self.counts = SeenTwice(bits), CountMin(width, 2, min(often + 1, 255))
-        self.cells = bits + 2 * width
-
-    def add(self, values: np.ndarray) -> None:
-        self.seen.add(values)
-        self.counts.add(values)
-
-    def blocks(self) -> Iterator[dict]:
-        yield from self.seen.blocks()
-        for row in self.counts.blocks():
-            yield {"block": row["block"] + (self.bits >> 15), "once": row["counts"], "twice": None}
-
-    @staticmethod
-    def fold(state, row: dict):
-        if row["twice"] is None:
-            return CountMin.fold(state, {"counts": row["once"]})
-        return SeenTwice.fold(state, row)
-
-    def bitmap(self, state) -> np.ndarray:
-        return state[1] if isinstance(state, list) else self.counts.bitmap(state)
-
-    def of(self, table: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(occurs once, is frequent)."""
-        once = ~self.seen.test(table[: self.bits // 8], values)
-        frequent = np.zeros(len(values), bool)
-        left = np.flatnonzero(~once)
-        frequent[left] = self.counts.test(table[self.bits // 8 :], values[left])
-        return once, frequent
-
-
 def most_missing(n: int, percent: int) -> int:
     """Tokens of a set of ``n`` that a linked set may lack."""
     return n - -(-percent * n // 100)
@@ -111,8 +75,8 @@ def signatures(
 
 
 def parity(tokens: np.ndarray) -> bytes:
-    """A bitmap of about one bit per token; each token flips its bit."""
-    size = 1 << max(6, (max(len(tokens), 1) - 1).bit_length())
+    """A bitmap of about eight bits per token; each token flips its bit."""
+    size = 1 << max(9, (8 * max(len(tokens), 1) - 1).bit_length())
     at = (mix(tokens, 44) & np.uint64(size - 1)).astype(np.int64)
     return np.packbits(np.bincount(at, minlength=size) & 1, bitorder="little").tobytes()
 
@@ -208,7 +172,11 @@ def _links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     path = scratch(spark, "pairs")
     _close_bitmaps(pairs, sets, percent).write.parquet(path)
     pairs = spark.read.parquet(path)
-    items = sets.select("doc", "fp", "items")
+    # Only the sets of these pairs travel; the filter's size is fixed.
+    row = F.xxhash64("doc", "fp").alias("row")
+    ends = pairs.select(F.col("a").alias("doc"), F.col("fa").alias("fp")).union(pairs.select("b", "fb"))
+    keep = members(ends.select(row), 1 << 24)
+    items = keep(sets.where("items is not null").select("doc", "fp", "items", row), "row").drop("row")
     sizes = pairs.groupBy("a", "fa").agg(F.count("*").alias("size"))
     split = F.pmod(F.xxhash64("b", "fb"), F.ceil(F.col("size") / STAR_ROWS))
     others = pairs.join(sizes, ["a", "fa"]).withColumn("part", split.cast("long"))
@@ -248,12 +216,16 @@ def _links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return dealt.mapInArrow(verify, "a long, b long")
 
 
-def _rest_of_lists(rows: DataFrame, percent: int) -> DataFrame:
+def _rest_of_lists(rows: DataFrame, percent: int, one_each: bool) -> DataFrame:
     """Pairs of one list that are in different components, close in size and by bitmap.  Rows
-    come sorted by list and size, so only those of comparable size are held."""
+    come sorted by list and size, so only those of comparable size are held.
+
+    With ``one_each`` a row is paired with the closest member of each other component only,
+    and counts as joined to it from then on: at most about one pair per row and list.
+    """
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        current, held = None, {}
+        current, held = None, {}  # of the list: the rows of each component
         for batch in batches:
             found = []
             names = ("sig", "doc", "fp", "n", "component", "bits")
@@ -261,17 +233,30 @@ def _rest_of_lists(rows: DataFrame, percent: int) -> DataFrame:
                 *[batch[c].to_pylist() for c in names], strict=True
             ):
                 if sig != current:
-                    current, held = sig, {}
+                    current, held, now_in = sig, {}, {}
+                while component in now_in:
+                    component = now_in[component]
                 own = int.from_bytes(bits, "little"), 8 * len(bits)
-                for group, rows_of in held.items():
-                    while rows_of and 100 * rows_of[0][2] < percent * n:
-                        rows_of.pop(0)
+                for group in list(held):
+                    members = held[group]
+                    while members and 100 * members[0][2] < percent * n:
+                        members.pop(0)
                     if group == component:
                         continue
-                    for d, f, m, b in rows_of:
-                        if apart(*own, *b) <= most_different(n, m, percent):
-                            low, high = sorted([(doc, fp, n), (d, f, m)])
-                            found.append((*low, *high))
+                    near = []
+                    for d, f, m, b in members:
+                        far = apart(*own, *b)
+                        if far <= most_different(n, m, percent):
+                            near.append((far, (d, f, m)))
+                    if one_each and near:
+                        near = [min(near)]
+                        now_in[group] = component
+                        joined = held.setdefault(component, [])
+                        joined.extend(held.pop(group))
+                        joined.sort(key=lambda row: row[2])
+                    for _, other in near:
+                        low, high = sorted([(doc, fp, n), other])
+                        found.append((*low, *high))
                 held.setdefault(component, []).append((doc, fp, n, own))
             if found:
                 columns = np.array(found, np.int64).T
@@ -350,25 +335,38 @@ def similarity_classes(
     linked = spark.read.parquet(path)
     found = components(linked)
 
-    placed = (
-        listed.select("sig", "doc", "fp", "n")
-        .join(found.withColumnRenamed("node", "doc"), "doc", "left")
-        .withColumn("component", F.coalesce("component", "doc"))
-    )
-    open_lists = placed.groupBy("sig").agg(
-        F.min("component").alias("low"), F.max("component").alias("high")
-    ).where("low != high").select("sig")
-    rows = placed.join(open_lists, "sig", "left_semi").join(
-        sets.select("doc", "fp", "bits"), ["doc", "fp"]
-    )
-    rest = _rest_of_lists(rows.select("sig", "doc", "fp", "n", "component", "bits"), percent)
-    rest = rest.join(stars.select("a", "fa", "b", "fb"), ["a", "fa", "b", "fb"], "left_anti")
-    path = scratch(spark, "linked")
-    _links(rest, sets, percent).write.parquet(path)
-    later = spark.read.parquet(path)
-    if later.take(1):
-        steps = found.select(F.col("node").alias("a"), F.col("component").alias("b"))
-        found = components(later.union(steps))
+    # First one pair for every two components that may touch, then, with what is connected
+    # by now left out, all the others.
+    tested = stars.select("a", "fa", "b", "fb")
+    for one_each in (True, False):
+        placed = (
+            listed.select("sig", "doc", "fp", "n")
+            .join(found.withColumnRenamed("node", "doc"), "doc", "left")
+            .withColumn("component", F.coalesce("component", "doc"))
+        )
+        open_lists = placed.groupBy("sig").agg(
+            F.min("component").alias("low"), F.max("component").alias("high")
+        ).where("low != high").select("sig")
+        rows = placed.join(open_lists, "sig", "left_semi").join(
+            sets.select("doc", "fp", "bits"), ["doc", "fp"]
+        )
+        rest = _rest_of_lists(
+            rows.select("sig", "doc", "fp", "n", "component", "bits"), percent, one_each
+        )
+        path = scratch(spark, "rest")
+        rest.join(tested, ["a", "fa", "b", "fb"], "left_anti").write.parquet(path)
+        rest = spark.read.parquet(path)
+        if not rest.take(1):
+            if one_each:
+                continue  # all these pairs may be known, and others not yet
+            break
+        tested = tested.union(rest.select("a", "fa", "b", "fb"))
+        path = scratch(spark, "linked")
+        _links(rest, sets, percent).write.parquet(path)
+        later = spark.read.parquet(path)
+        if later.take(1):
+            steps = found.select(F.col("node").alias("a"), F.col("component").alias("b"))
+            found = components(later.union(steps))
     out = sets.select("doc", "n").join(found.withColumnRenamed("node", "doc"), "doc", "left")
     return out.select(
         null_id("doc").alias(id_col),

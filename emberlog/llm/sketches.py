@@ -138,6 +138,43 @@ class CountMin:
         return found
 
 
+class Classes:
+    """Which values occur once, and which more than ``often`` times: both sketches in one."""
+
+    schema = SeenTwice.schema
+
+    def __init__(self, bits: int, width: int, often: int):
+        self.bits = bits
+        self.seen, self.counts = SeenTwice(bits), CountMin(width, 2, min(often + 1, 255))
+        self.cells = bits + 2 * width
+
+    def add(self, values: np.ndarray) -> None:
+        self.seen.add(values)
+        self.counts.add(values)
+
+    def blocks(self) -> Iterator[dict]:
+        yield from self.seen.blocks()
+        for row in self.counts.blocks():
+            yield {"block": row["block"] + self.bits // BLOCK, "once": row["counts"], "twice": None}
+
+    @staticmethod
+    def fold(state, row: dict):
+        if row["twice"] is None:
+            return CountMin.fold(state, {"counts": row["once"]})
+        return SeenTwice.fold(state, row)
+
+    def bitmap(self, state) -> np.ndarray:
+        return state[1] if isinstance(state, list) else self.counts.bitmap(state)
+
+    def of(self, table: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(occurs once, is frequent)."""
+        once = ~self.seen.test(table[: self.bits // 8], values)
+        frequent = np.zeros(len(values), bool)
+        left = np.flatnonzero(~once)
+        frequent[left] = self.counts.test(table[self.bits // 8 :], values[left])
+        return once, frequent
+
+
 def to_batches(
     rows: Iterable[dict], schema: pa.Schema, size: int = 256
 ) -> Iterator[pa.RecordBatch]:
@@ -153,7 +190,7 @@ def to_batches(
 
 
 def merged(
-    rows: DataFrame, sketch: SeenTwice | CountMin, cells: int, deal: str = "block"
+    rows: DataFrame, sketch: SeenTwice | CountMin | Classes, cells: int, deal: str = "block"
 ) -> Broadcast:
     """Merge the partitions' blocks and broadcast one bit per cell (``cells`` / 8 bytes)."""
     spark = rows.sparkSession
@@ -179,7 +216,7 @@ def merged(
 
 def sketch_rows(
     docs: DataFrame,
-    make: Callable[[], SeenTwice | CountMin],
+    make: Callable[[], SeenTwice | CountMin | Classes],
     values: Callable[[pa.RecordBatch], Iterator[np.ndarray]],
 ) -> DataFrame:
     """One sketch per partition of ``docs``, as its touched blocks; ``values`` gives the
@@ -199,3 +236,28 @@ def sketch_rows(
         yield from to_batches(own.blocks(), schema)
 
     return docs.mapInArrow(build, sketch.schema)
+
+
+def members(rows: DataFrame, bits: int) -> Callable[[DataFrame, str], DataFrame]:
+    """A filter that keeps, of any table, the rows whose long column may be among the values of
+    the only column of ``rows``: a Bloom filter of ``bits`` bits, broadcast."""
+
+    def sketch() -> SeenTwice:
+        return SeenTwice(bits)
+
+    def values(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
+        own = batch.column(0).to_numpy().astype(np.int64).view(np.uint64)
+        yield np.concatenate([own, own])  # to be seen at all is enough here
+
+    found = merged(sketch_rows(rows, sketch, values), sketch(), bits)
+
+    def keep(table: DataFrame, column: str) -> DataFrame:
+        def chosen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            test = sketch()
+            for batch in batches:
+                own = batch[column].to_numpy().astype(np.int64).view(np.uint64)
+                yield batch.filter(pa.array(test.test(found.value, own)))
+
+        return table.mapInArrow(chosen, table.schema)
+
+    return keep

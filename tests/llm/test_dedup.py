@@ -99,7 +99,7 @@ def test_strings(documents, plain, build, awkward):
 def test_a_crowded_filter_loses_nothing(build, awkward):
     """Sketches far too small let everything through, and the answer stays."""
     table = build(awkward)
-    found = suffixes.remove_repeated_strings(table, filter_bits=1 << 15, counters=1 << 15)
+    found = suffixes.remove_repeated_strings(table, filter_bits=1 << 15)
     got = rows_of(found, "kept", "n_bytes", "n_removed", "n_spans")
     assert {i: (bytes(r[0]), *r[1:]) for i, r in got.items()} == brute.repeated_strings(awkward, 100)
     found = lines.remove_repeated_lines(table, filter_bits=1 << 15)
