@@ -8,18 +8,25 @@ is rejected by the first stage; one that the second stage empties stays, with an
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from emberlog.llm import decontamination, language, lines, mixing, ngrams
+from emberlog.llm.sketches import members
 from emberlog.llm.text import id_of
 from emberlog.session import scratch
 
 
-def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """``docs`` but for the rows with these ids (a null id is one, too)."""
-    gone = ids.select(id_of("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, id_of("doc_id") == F.col("_gone"), "left_anti")
+def _rows(docs: DataFrame, rows: DataFrame, how: str) -> DataFrame:
+    """The rows of ``docs`` whose id and text are among ``rows`` (doc, fp), or are not."""
+    named = rows.select(F.col("doc").alias("_doc"), F.col("fp").alias("_fp")).distinct()
+    same = (id_of("doc_id") == F.col("_doc")) & (_print() == F.col("_fp"))
+    return docs.join(named, same, how)
+
+
+def _print() -> Column:
+    """The fingerprint that ``text.keyed`` gives a text."""
+    return F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,15 +45,27 @@ def first_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def one_of_similar(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents connected by similar shingle sets, the one with the smallest id stays."""
-    classes = ngrams.similarity_classes(docs, width=5, percent=80)
-    return _without(docs, classes.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))))
+    """Of documents connected by similar shingle sets, one row with the smallest id stays."""
+    path = scratch(spark, "classes")
+    ngrams.row_classes(docs, width=5, percent=80).groupBy("doc", "fp", "n", "first", "first_fp").agg(
+        F.count("*").alias("rows")
+    ).where("n > 0 and (rows > 1 or doc != first or fp != first_fp)").write.parquet(path)
+    linked = spark.read.parquet(path)
+    kept = _rows(docs, linked, "left_anti")
+    repeated = linked.where("rows > 1 and doc = first and fp = first_fp")
+    if not repeated.take(1):
+        return kept
+    row = F.xxhash64(id_of("doc_id"), _print())
+    some = members(repeated.select(F.xxhash64("doc", "fp")), 1 << 24)(docs.withColumn("_row", row), "_row")
+    some = _rows(some.drop("_row"), repeated, "left_semi")
+    one = some.groupBy(id_of("doc_id"), _print()).agg(F.min(F.struct(*docs.columns)).alias("row"))
+    return kept.union(one.select("row.*"))
 
 
 def no_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that contain a benchmark item go."""
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    return _without(docs, decontamination.contained_items(docs, items))
+    return _rows(docs, decontamination.row_items(docs, items), "left_anti")
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

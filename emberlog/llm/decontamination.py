@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from emberlog.llm.sketches import SeenTwice, merged, sketch_rows
-from emberlog.llm.text import bounded_batches, id_of, mix, null_id, shingle_sets
+from emberlog.llm.text import keyed, mix, null_id, shingle_sets
 from emberlog.session import scratch
 
 #: Chance that one item is missed in one document, at most.
@@ -88,44 +88,61 @@ def contained_items(
 
     Shingles are ``width`` consecutive words, A-Z lower-cased; a text with fewer words has its whole
     sequence as its only one, so such an item is found only in a text of the same words.  Null
-    texts and texts without words hold nothing and are found nowhere.  A null id counts as the
-    largest id, and rows with one id are one document (or item) with the shingles of all its texts.
+    texts and texts without words hold nothing and are found nowhere.  Texts under one id, or
+    without one, are documents (or items) of their own; rows repeating an id and its text are one.
     Other columns are not read, whatever their names; with an empty table on either side the result
     is empty.  A larger filter lets fewer other shingles through and changes no result.
     """
+    found = row_items(
+        docs, items, id_col, text_col, item_col, item_text_col, width, percent, filter_bits
+    )
+    return found.select(
+        null_id("doc").alias(id_col), null_id("item").alias(item_col), "n_common", "n_item"
+    )
+
+
+def row_items(
+    docs: DataFrame,
+    items: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    item_col: str = "item_id",
+    item_text_col: str = "text",
+    width: int = 5,
+    percent: int = 80,
+    filter_bits: int = 1 << 24,
+) -> DataFrame:
+    """``contained_items`` by the names that ``keyed`` gives rows: ``doc, fp, item, item_fp,
+    n_common, n_item``."""
     spark = docs.sparkSession
-    bounded_batches(spark)
+    schema = "id long, fp long, tokens array<long>"
 
     def sets(table: DataFrame, id_name: str, text: str, wanted=None) -> DataFrame:
-        """(id, tokens): distinct shingles per id, only the ``wanted`` ones."""
+        """(id, fp, tokens): distinct shingles per text, only the ``wanted`` ones."""
         test = SeenTwice(filter_bits)
 
         def shingle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 rows, found = [], []
-                for row, tokens in shingle_sets(batch.column(1), width):
+                for row, tokens in shingle_sets(batch.column(2), width):
                     if wanted is not None and len(tokens):
                         tokens = tokens[test.test(wanted.value, tokens)]
                     if len(tokens):
                         rows.append(row)
                         found.append(tokens.view(np.int64))
+                at = pa.array(rows, pa.int64())
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).take(pa.array(rows, pa.int64())),
+                    [batch.column(0).take(at), batch.column(1).take(at),
                      pa.array(found, pa.list_(pa.int64()))],
-                    names=["id", "tokens"],
+                    names=["id", "fp", "tokens"],
                 )
 
-        texts = table.select(
-            id_of(id_name).alias("id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text")
-        )
-        parts = texts.mapInArrow(shingle, "id long, tokens array<long>")
-        return parts.groupBy("id").agg(
-            F.sort_array(F.array_distinct(F.flatten(F.collect_list("tokens")))).alias("tokens")
-        )
+        texts = keyed(table, id_name, text)
+        return texts.mapInArrow(shingle, schema).dropDuplicates(["id", "fp"])
 
     path = scratch(spark, "items")
     sets(items, item_col, item_text_col).write.parquet(path)
-    asked = spark.read.schema("id long, tokens array<long>").parquet(path)
+    asked = spark.read.schema(schema).parquet(path)
 
     def twice(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
         tokens = batch.column(0).flatten().to_numpy().astype(np.int64).view(np.uint64)
@@ -137,33 +154,34 @@ def contained_items(
     wanted = merged(sketch_rows(asked.select("tokens"), sketch, twice), sketch(), filter_bits)
     path = scratch(spark, "reduced")
     sets(docs, id_col, text_col, wanted).write.parquet(path)
-    held = spark.read.schema("id long, tokens array<long>").parquet(path)
+    held = spark.read.schema(schema).parquet(path)
     largest = held.agg(F.max(F.size("tokens"))).first()[0] or 1
     parts = size_class(largest) + 1
 
     def keys(table: DataFrame, make) -> DataFrame:
         def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                ids = batch.column(0).to_pylist()
+                ids, prints = batch.column(0).to_pylist(), batch.column(1).to_pylist()
                 for at in range(batch.num_rows):
-                    tokens = batch.column(1)[at].values.to_numpy().astype(np.int64).view(np.uint64)
+                    tokens = batch.column(2)[at].values.to_numpy().astype(np.int64).view(np.uint64)
                     rows = make(tokens)
                     part, key = np.array(rows, np.int64).reshape(-1, 2).T
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.full(len(rows), ids[at], np.int64)), pa.array(part), pa.array(key)],
-                        names=["id", "part", "key"],
+                        [pa.array(np.full(len(rows), v, np.int64)) for v in (ids[at], prints[at])]
+                        + [pa.array(part), pa.array(key)],
+                        names=["id", "fp", "part", "key"],
                     )
 
-        return table.mapInArrow(emit, "id long, part long, key long")
+        return table.mapInArrow(emit, "id long, fp long, part long, key long")
 
-    lookups = keys(asked, lambda t: _item_keys(t, percent, parts)).toDF("item", "part", "key")
-    stored = keys(held, _document_keys).toDF("doc", "part", "key")
-    candidates = stored.join(lookups, ["part", "key"]).select("doc", "item").distinct()
-    both = candidates.join(held.toDF("doc", "has"), "doc").join(asked.toDF("item", "wants"), "item")
+    lookups = keys(asked, lambda t: _item_keys(t, percent, parts)).toDF("item", "item_fp", "part", "key")
+    stored = keys(held, _document_keys).toDF("doc", "fp", "part", "key")
+    pair = ["doc", "fp", "item", "item_fp"]
+    candidates = stored.join(lookups, ["part", "key"]).select(*pair).distinct()
+    both = candidates.join(held.toDF("doc", "fp", "has"), ["doc", "fp"]).join(
+        asked.toDF("item", "item_fp", "wants"), ["item", "item_fp"]
+    )
     common = F.size(F.array_intersect("wants", "has"))
-    checked = both.select(
-        "doc", "item", common.cast("long").alias("n_common"), F.size("wants").cast("long").alias("n_item")
+    return both.select(
+        *pair, common.cast("long").alias("n_common"), F.size("wants").cast("long").alias("n_item")
     ).where(F.col("n_common") * 100 >= F.col("n_item") * percent)
-    return checked.select(
-        null_id("doc").alias(id_col), null_id("item").alias(item_col), "n_common", "n_item"
-    )

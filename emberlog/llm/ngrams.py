@@ -166,7 +166,7 @@ def _close_bitmaps(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame
 
 
 def _links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """(a, b) of the pairs whose sets are really so close.  Pairs come as stars: a centre's
+    """(a, fa, b, fb) of the pairs whose sets are really so close.  Pairs come as stars: a centre's
     set travels once per task, the others' once per pair; a large star is split."""
     spark = sets.sparkSession
     path = scratch(spark, "pairs")
@@ -183,10 +183,13 @@ def _links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     centres = others.select("a", "fa", "part").distinct()
     rows = (
         centres.join(items.toDF("a", "fa", "items"), ["a", "fa"])
-        .select("a", "fa", "part", F.lit(False).alias("other"), F.col("a").alias("b"), "items")
+        .select(
+            "a", "fa", "part", F.lit(False).alias("other"),
+            F.col("a").alias("b"), F.col("fa").alias("fb"), "items",
+        )
         .union(
             others.join(items.toDF("b", "fb", "items"), ["b", "fb"]).select(
-                "a", "fa", "part", F.lit(True).alias("other"), "b", "items"
+                "a", "fa", "part", F.lit(True).alias("other"), "b", "fb", "items"
             )
         )
     )
@@ -195,8 +198,9 @@ def _links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         centre = np.empty(0, np.uint64)
         for batch in batches:
             found = []
-            columns = [batch[c].to_pylist() for c in ("a", "b", "other", "items")]
-            for a, b, other, data in zip(*columns, strict=True):
+            names = ("a", "fa", "b", "fb", "other", "items")
+            columns = [batch[c].to_pylist() for c in names]
+            for a, fa, b, fb, other, data in zip(*columns, strict=True):
                 tokens = np.frombuffer(data, np.uint64)
                 if not other:
                     centre = tokens
@@ -205,15 +209,15 @@ def _links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 both.sort(kind="stable")
                 common = int((both[1:] == both[:-1]).sum())
                 if 100 * common >= percent * (len(both) - common):
-                    found.append((a, b))
+                    found.append((a, fa, b, fb))
             if found:
-                low, high = np.array(found, np.int64).T
+                ends = np.array(found, np.int64).T
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(low), pa.array(high)], names=["a", "b"]
+                    [pa.array(c) for c in ends], names=["a", "fa", "b", "fb"]
                 )
 
     dealt = rows.repartition("a", "fa", "part").sortWithinPartitions("a", "fa", "part", "other")
-    return dealt.mapInArrow(verify, "a long, b long")
+    return dealt.mapInArrow(verify, "a long, fa long, b long, fb long")
 
 
 def _rest_of_lists(rows: DataFrame, percent: int, one_each: bool) -> DataFrame:
@@ -284,12 +288,33 @@ def similarity_classes(
     Words are lower-cased (A-Z) and split at white space; a set holds the distinct ``width``-word
     shingles as 64-bit hashes, of a shorter text its whole sequence.  Returns per row ``id_col,
     n_shingles, component_id``, the smallest id reachable by links.  A text that is null or without
-    words has an empty set and no links.  A null id counts as the largest id, and rows with one id are
-    one document with the links of all its texts.  Other columns of ``docs`` are not read,
-    whatever their names; an empty table gives an empty table.  ``filter_bits`` and ``counters``
-    size the sketches, ``often`` is the number of documents from which a token counts as frequent:
-    they decide how many candidates are looked at and never the result.
+    words has an empty set and no links.  A null id counts as the largest id; texts under one id,
+    or without one, are documents of their own, and rows repeating an id and its text are one.
+    Other columns of ``docs`` are not read, whatever their names; an empty table gives an empty
+    table.  ``filter_bits`` and ``counters`` size the sketches, ``often`` is the number of documents
+    from which a token counts as frequent: they decide how many candidates are looked at and
+    never the result.
     """
+    found = row_classes(docs, id_col, text_col, width, percent, filter_bits, counters, often)
+    return found.select(
+        null_id("doc").alias(id_col),
+        F.col("n").alias("n_shingles"),
+        null_id("first").alias("component_id"),
+    )
+
+
+def row_classes(
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    width: int = 5,
+    percent: int = 80,
+    filter_bits: int = 1 << 28,
+    counters: int = 1 << 23,
+    often: int = 32,
+) -> DataFrame:
+    """``similarity_classes`` by the names that ``keyed`` gives rows: per row ``doc, fp, n`` and
+    ``first, first_fp``, the smallest (doc, fp) reachable by links."""
     spark = docs.sparkSession
     path = scratch(spark, "sets")
     _index(
@@ -297,19 +322,32 @@ def similarity_classes(
     ).write.parquet(path)
     sets = spark.read.schema(_SETS).parquet(path)
 
-    full = sets.where("n > 0")
-    classes = full.groupBy("d1", "d2").agg(F.min(F.struct("doc", "fp")).alias("first"))
-    members = full.select("doc", "d1", "d2").join(classes, ["d1", "d2"])
-    same = members.select(F.col("doc").alias("a"), F.col("first.doc").alias("b")).where("a != b")
+    # A node of the graph is a row's (doc, fp), numbered in no order.
+    path = scratch(spark, "nodes")
+    full = sets.where("n > 0").groupBy("doc", "fp").agg(F.first("d1").alias("d1"), F.first("d2").alias("d2"))
+    full.withColumn("node", F.monotonically_increasing_id()).write.parquet(path)
+    full = spark.read.parquet(path)
+    numbers = full.select("doc", "fp", "node")
+
+    def numbered(links: DataFrame) -> DataFrame:
+        return (
+            links.join(numbers.toDF("a", "fa", "one"), ["a", "fa"])
+            .join(numbers.toDF("b", "fb", "two"), ["b", "fb"])
+            .select("one", "two")
+        )
+
+    classes = full.groupBy("d1", "d2").agg(F.min(F.struct("doc", "fp", "node")).alias("first"))
+    members = full.select("node", "d1", "d2").join(classes, ["d1", "d2"])
+    same = members.select(F.col("node").alias("one"), F.col("first.node").alias("two")).where("one != two")
 
     path = scratch(spark, "lists")
-    firsts = classes.select("first.*").distinct()
+    firsts = classes.select("first.*")
     listed = (
         sets.where(F.size("sigs") > 0)
         .select("doc", "fp", "n", "sigs")
-        .join(firsts, ["doc", "fp"], "left_semi")
-        .dropDuplicates(["doc", "fp"])
-        .select("doc", "fp", "n", F.explode(F.array_distinct("sigs")).alias("sig"))
+        .join(firsts, ["doc", "fp"])
+        .dropDuplicates(["node"])
+        .select("doc", "fp", "n", "node", F.explode(F.array_distinct("sigs")).alias("sig"))
     )
     centres = listed.groupBy("sig").agg(
         F.min(F.struct("doc", "fp", "n")).alias("centre"), F.count("*").alias("size")
@@ -331,7 +369,7 @@ def similarity_classes(
         .distinct()
     )
     path = scratch(spark, "linked")
-    _links(stars, sets, percent).union(same).distinct().write.parquet(path)
+    numbered(_links(stars, sets, percent)).union(same).distinct().write.parquet(path)
     linked = spark.read.parquet(path)
     found = components(linked)
 
@@ -340,9 +378,9 @@ def similarity_classes(
     tested = stars.select("a", "fa", "b", "fb")
     for one_each in (True, False):
         placed = (
-            listed.select("sig", "doc", "fp", "n")
-            .join(found.withColumnRenamed("node", "doc"), "doc", "left")
-            .withColumn("component", F.coalesce("component", "doc"))
+            listed.select("sig", "doc", "fp", "n", "node")
+            .join(found, "node", "left")
+            .withColumn("component", F.coalesce("component", "node"))
         )
         open_lists = placed.groupBy("sig").agg(
             F.min("component").alias("low"), F.max("component").alias("high")
@@ -362,14 +400,16 @@ def similarity_classes(
             break
         tested = tested.union(rest.select("a", "fa", "b", "fb"))
         path = scratch(spark, "linked")
-        _links(rest, sets, percent).write.parquet(path)
+        numbered(_links(rest, sets, percent)).write.parquet(path)
         later = spark.read.parquet(path)
         if later.take(1):
-            steps = found.select(F.col("node").alias("a"), F.col("component").alias("b"))
-            found = components(later.union(steps))
-    out = sets.select("doc", "n").join(found.withColumnRenamed("node", "doc"), "doc", "left")
+            found = components(later.union(found.select("node", "component")))
+    placed = numbers.join(found, "node")
+    least = placed.groupBy("component").agg(F.min(F.struct("doc", "fp")).alias("least"))
+    placed = placed.join(least, "component").select("doc", "fp", "least")
+    out = sets.select("doc", "fp", "n").join(placed, ["doc", "fp"], "left")
     return out.select(
-        null_id("doc").alias(id_col),
-        F.col("n").alias("n_shingles"),
-        null_id(F.coalesce("component", "doc")).alias("component_id"),
+        "doc", "fp", "n",
+        F.coalesce("least.doc", "doc").alias("first"),
+        F.coalesce("least.fp", "fp").alias("first_fp"),
     )

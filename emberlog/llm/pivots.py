@@ -115,13 +115,14 @@ def near_duplicates(
     it may be missed where too few pivots are shared.  Vectors that are null or zero, have null or
     non-finite components or no label link with nothing; vectors of different lengths never link.  Rows
     repeating an id and its vector are one vector, answered on every row; a null id counts as
-    the largest id.  Other columns are not read, whatever their names; an empty table gives an
+    the largest id.  Unlike vectors under one id, or without one, are vectors of their own, and at most
+    one of them in a component is kept.  Other columns are not read, whatever their names; an empty table gives an
     empty table.  The pivots are chosen from ``SAMPLE`` vectors with the smallest hashes of their ids.
     """
     spark = vectors.sparkSession
     bounded_batches(spark)
     raw = vectors.select(
-        id_of(id_col).alias("node"),
+        id_of(id_col).alias("id"),
         F.col(label_col).alias("label"),
         F.col(vector_col).cast("array<double>").alias("vector"),
     ).withColumn("d1", F.xxhash64("vector")).withColumn("d2", F.xxhash64(F.lit(1), "vector"))
@@ -137,14 +138,16 @@ def near_duplicates(
         raw.where(useful)
         .groupBy("label", "d1", "d2")
         .agg(
-            F.min("node").alias("node"),
-            F.count_distinct("node").alias("weight"),
+            F.min("id").alias("id"),
+            F.count_distinct("id").alias("weight"),
             F.first("vector").alias("vector"),
         )
+        .withColumn("node", F.monotonically_increasing_id())  # (label, d1, d2), numbered in no order
         .write.parquet(path)
     )
     classes = spark.read.parquet(path)
-    chosen = classes.orderBy(F.xxhash64("node"), "node").limit(SAMPLE).select("vector").collect()
+    drawn = classes.orderBy(F.xxhash64("id"), "id", "d1", "d2", "label")
+    chosen = drawn.limit(SAMPLE).select("vector").collect()
     sample = [r.vector for r in chosen]
     dims = sorted({len(v) for v in sample}, key=lambda d: -sum(len(v) == d for v in sample))
     held = (
@@ -247,22 +250,26 @@ def near_duplicates(
     linked = spark.read.schema("node long, links long, low long").parquet(path)
     counts = linked.groupBy("node").agg(F.sum("links").alias("links"))
     found = components(linked.select("low", "node"))
+    placed = found.join(classes.select("node", "id"), "node")
+    least = placed.groupBy("component").agg(F.min(F.struct("id", "node")).alias("least"))
+    placed = placed.join(least, "component").select("node", "least")
     answer = (
-        classes.select("label", "d1", "d2", "node", "weight")
+        classes.select("label", "d1", "d2", "id", "node", "weight")
         .join(counts, "node", "left")
-        .join(found, "node", "left")
+        .join(placed, "node", "left")
         .select(
             F.col("label").alias("l"), F.col("d1").alias("e1"), F.col("d2").alias("e2"),
             (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"),
-            F.coalesce("component", "node").alias("component"),
+            F.coalesce("least.id", "id").alias("component"),
+            F.when(F.coalesce("least.node", "node") == F.col("node"), F.col("id")).alias("stays"),
         )
     )
     same = (F.col("label") == F.col("l")) & (F.col("d1") == F.col("e1")) & (F.col("d2") == F.col("e2"))
     out = raw.withColumn("useful", useful).join(answer, same & F.col("useful"), "left")
-    component = F.coalesce("component", "node")
+    component = F.coalesce("component", "id")
     return out.select(
-        null_id("node").alias(id_col),
+        null_id("id").alias(id_col),
         F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
         null_id(component).alias("component_id"),
-        (component == F.col("node")).alias("kept"),
+        (F.col("component").isNull() | F.col("stays").eqNullSafe(F.col("id"))).alias("kept"),
     )
