@@ -12,8 +12,9 @@ Equal sets are one class and compared once.  Candidates go through an exact boun
 bitmaps never differ in more bits than the sets in tokens) before sets are shipped.  The
 first pass compares every indexed list with its smallest document only, the second the closest
 members of components that meet in a list, the third all the rest of a list, but only documents
-that are not connected yet.  So a family of thousands of near copies costs passes over its
-lists, not its pairs.
+that are not connected yet.  A long list is cut into tiles for that, and no task holds more than
+two; tiles of one component are not compared with each other.  So a family of thousands of near
+copies costs passes over its lists, not its pairs.
 """
 
 from __future__ import annotations
@@ -36,6 +37,8 @@ from emberlog.session import scratch
 LEAST_COMBINED = 80
 #: Documents compared with one centre in one task.
 STAR_ROWS = 1024
+#: Rows of one tile; a longer list is cut into tiles.
+TILE = 1024
 _SETS = "doc long, fp long, n long, d1 long, d2 long, sigs array<long>, bits binary, items binary"
 
 
@@ -220,24 +223,78 @@ def _links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return dealt.mapInArrow(verify, "a long, fa long, b long, fb long")
 
 
+def _cells(placed: DataFrame, percent: int) -> DataFrame:
+    """(sig, cell, half, doc, fp, n, component): the rows of lists with several components.  A
+    short list is one cell (-1).  A long one is cut into tiles by size band, component if that
+    alone fills a tile, and hash; a cell is a pair of tiles (halves 0 and 1) that may hold close
+    rows of different components, or a tile by itself (half null)."""
+    spark = placed.sparkSession
+    path = scratch(spark, "open")
+    placed.groupBy("sig").agg(
+        F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("size")
+    ).where("low != high").select("sig", "size").write.parquet(path)
+    lists = spark.read.parquet(path)
+    columns = ("sig", "cell", "half", "doc", "fp", "n", "component")
+    whole = placed.join(lists.where(F.col("size") <= TILE), "sig", "left_semi").select(
+        "*", F.lit(-1).cast("long").alias("cell"), F.lit(None).cast("int").alias("half")
+    ).select(*columns)
+    long = lists.where(F.col("size") > TILE)
+    if not long.take(1):
+        return whole
+
+    # Rows two bands apart are never of comparable size; the bands are a little too wide for that.
+    band = F.floor(F.log("n") / F.log(F.lit(100.1 / percent))).alias("band")
+    rows = placed.join(long, "sig", "left_semi").select("sig", "doc", "fp", "n", "component", band)
+    groups = rows.groupBy("sig", "band", "component").agg(F.count("*").alias("size"))
+    alone = F.col("size") > TILE
+    mixed = groups.where(~alone).groupBy("sig", "band").agg(F.sum("size").alias("total"))
+    owners = groups.join(mixed, ["sig", "band"], "left").select(
+        "sig", "band", "component",
+        F.when(alone, F.col("component")).otherwise(F.lit(-1)).alias("owner"),
+        F.ceil(F.when(alone, F.col("size")).otherwise(F.col("total")) / TILE).alias("parts"),
+    )
+    dealt = F.when(F.col("owner") < 0, F.xxhash64("component")).otherwise(F.xxhash64("doc", "fp"))
+    path = scratch(spark, "tiles")
+    rows.join(owners, ["sig", "band", "component"]).withColumn(
+        "part", F.pmod(dealt, F.col("parts"))
+    ).drop("parts").write.parquet(path)
+    rows = spark.read.parquet(path)
+
+    tile = ("band", "owner", "part")
+    tiles = rows.select("sig", *tile).distinct()
+    one, two = (F.struct(*(F.col(f"{c}_{end}").alias(c) for c in tile)) for end in "ab")
+    path = scratch(spark, "cells")
+    tiles.toDF("sig", *(f"{c}_a" for c in tile)).join(
+        tiles.toDF("sig", *(f"{c}_b" for c in tile)), "sig"
+    ).where(one <= two).where("band_b - band_a <= 1 and (owner_a < 0 or owner_a != owner_b)").withColumn(
+        "cell", F.monotonically_increasing_id()
+    ).withColumn("itself", one == two).write.parquet(path)
+    cells = spark.read.parquet(path)
+    half = F.when(~F.col("itself"), F.lit(0)).alias("half")
+    ends = cells.select("sig", *(F.col(f"{c}_a").alias(c) for c in tile), "cell", half).union(
+        cells.where("not itself").select("sig", *(f"{c}_b" for c in tile), "cell", F.lit(1))
+    )
+    return whole.union(rows.join(ends, ["sig", *tile]).select(*columns))
+
+
 def _rest_of_lists(rows: DataFrame, percent: int, one_each: bool) -> DataFrame:
-    """Pairs of one list that are in different components, close in size and by bitmap.  Rows
-    come sorted by list and size, so only those of comparable size are held.
+    """Pairs of one cell that are in different components, close in size and by bitmap.  Rows
+    come sorted by cell and size, so only those of comparable size are held.
 
     With ``one_each`` a row is paired with the closest member of each other component only,
     and counts as joined to it from then on: at most about one pair per row and list.
     """
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        current, held = None, {}  # of the list: the rows of each component
+        current, held = None, {}  # of the cell: the rows of each component
         for batch in batches:
             found = []
-            names = ("sig", "doc", "fp", "n", "component", "bits")
-            for sig, doc, fp, n, component, bits in zip(
+            names = ("sig", "cell", "half", "doc", "fp", "n", "component", "bits")
+            for sig, cell, half, doc, fp, n, component, bits in zip(
                 *[batch[c].to_pylist() for c in names], strict=True
             ):
-                if sig != current:
-                    current, held, now_in = sig, {}, {}
+                if (sig, cell) != current:
+                    current, held, now_in = (sig, cell), {}, {}
                 while component in now_in:
                     component = now_in[component]
                 own = int.from_bytes(bits, "little"), 8 * len(bits)
@@ -248,7 +305,9 @@ def _rest_of_lists(rows: DataFrame, percent: int, one_each: bool) -> DataFrame:
                     if group == component:
                         continue
                     near = []
-                    for d, f, m, b in members:
+                    for d, f, m, b, other in members:
+                        if half is not None and other == half:
+                            continue
                         far = apart(*own, *b)
                         if far <= most_different(n, m, percent):
                             near.append((far, (d, f, m)))
@@ -261,14 +320,14 @@ def _rest_of_lists(rows: DataFrame, percent: int, one_each: bool) -> DataFrame:
                     for _, other in near:
                         low, high = sorted([(doc, fp, n), other])
                         found.append((*low, *high))
-                held.setdefault(component, []).append((doc, fp, n, own))
+                held.setdefault(component, []).append((doc, fp, n, own, half))
             if found:
                 columns = np.array(found, np.int64).T
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(c) for c in columns], names=["a", "fa", "na", "b", "fb", "nb"]
                 )
 
-    dealt = rows.repartition("sig").sortWithinPartitions("sig", "n")
+    dealt = rows.repartition("sig", "cell").sortWithinPartitions("sig", "cell", "n")
     schema = "a long, fa long, na long, b long, fb long, nb long"
     return dealt.mapInArrow(compare, schema).distinct()
 
@@ -382,15 +441,8 @@ def row_classes(
             .join(found, "node", "left")
             .withColumn("component", F.coalesce("component", "node"))
         )
-        open_lists = placed.groupBy("sig").agg(
-            F.min("component").alias("low"), F.max("component").alias("high")
-        ).where("low != high").select("sig")
-        rows = placed.join(open_lists, "sig", "left_semi").join(
-            sets.select("doc", "fp", "bits"), ["doc", "fp"]
-        )
-        rest = _rest_of_lists(
-            rows.select("sig", "doc", "fp", "n", "component", "bits"), percent, one_each
-        )
+        bits = sets.select("doc", "fp", "bits")
+        rest = _rest_of_lists(_cells(placed, percent).join(bits, ["doc", "fp"]), percent, one_each)
         path = scratch(spark, "rest")
         rest.join(tested, ["a", "fa", "b", "fb"], "left_anti").write.parquet(path)
         rest = spark.read.parquet(path)
