@@ -143,6 +143,39 @@ def word_hashes(chunk: Chunk, lower: bool) -> tuple[np.ndarray, np.ndarray]:
     return mix(hashes), np.searchsorted(begins, chunk.edges)
 
 
+def separated(apart: bytes) -> np.ndarray:
+    """Which byte values belong to words when those of ``apart`` separate them."""
+    solid = np.ones(256, bool)
+    solid[list(apart)] = False
+    return solid
+
+
+#: Bytes of a word that white space ends, as ``WORD`` says.
+NOT_BLANK = separated(BLANKS)
+
+
+def word_codes(
+    chunk: Chunk, solid: np.ndarray = NOT_BLANK, lower: bool = False
+) -> tuple[np.ndarray, pa.Array, np.ndarray]:
+    """(code of every word, the distinct words as bytes, place of each text's first word and one
+    more): words are runs of bytes that ``solid`` allows, encoded by a dictionary of the chunk."""
+    data = _LOWER[chunk.data] if lower else chunk.data
+    if not len(data):
+        return np.empty(0, np.int32), pa.array([], pa.binary()), np.zeros(len(chunk.edges), np.int64)
+    own = solid[data]
+    cut = np.zeros(len(data) + 1, bool)
+    cut[chunk.edges] = True
+    begins = np.flatnonzero(own & (cut[:-1] | ~np.append(False, own[:-1])))
+    ends = np.flatnonzero(own & (cut[1:] | ~np.append(own[1:], False))) + 1
+    edges = np.zeros(len(begins) + 1, np.int64)
+    np.cumsum(ends - begins, out=edges[1:])
+    # Without what separates them the words lie one after another, as Arrow holds them.
+    buffers = [None, pa.py_buffer(edges), pa.py_buffer(data[own])]
+    words = pa.Array.from_buffers(pa.large_binary(), len(begins), buffers).dictionary_encode()
+    codes = words.indices.to_numpy()
+    return codes, words.dictionary, np.searchsorted(begins, chunk.edges)
+
+
 def spans_of(values: np.ndarray, size: int, seed: int = 1) -> np.ndarray:
     """Hash of ``values[i : i + size]`` for every i that has so many after it."""
     if len(values) < size:
