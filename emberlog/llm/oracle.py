@@ -1,7 +1,7 @@
 """DuckDB SQL for the operators that SQL can express, written from the definitions.
 
-Without: ``op4`` (its added spans come from a trained model), ``op6`` (a tokenizer), ``op7`` (drawn by
-hashes), ``op9`` and ``pipeline`` (trained models); those are tested against brute force.
+Without: ``op4`` (its added spans come from a trained model), ``op6`` and ``op11`` (a tokenizer), ``op7``
+(drawn by hashes), ``op9`` and ``pipeline`` (trained models); those are tested against brute force.
 """
 
 from __future__ import annotations
@@ -127,6 +127,95 @@ SELECT doc_id, count(*) AS n_lines, count(*) FILTER (r) AS n_dropped,
        sha256(coalesce(string_agg(line, chr(10) ORDER BY p) FILTER (NOT r), '')) AS kept_sha256
 FROM marked GROUP BY doc_id"""
 
+OP12 = r"""
+WITH RECURSIVE crc_table AS (  -- the table of the reflected polynomial 0xEDB88320
+  SELECT list(c ORDER BY i) AS t FROM (
+    SELECT i, list_reduce([i::BIGINT] || range(8),
+                          lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS c
+    FROM (SELECT unnest(range(256)) AS i))),
+words AS (
+  SELECT 'd' AS side, doc_id, unnest(w) AS word FROM (
+    SELECT doc_id, regexp_extract_all({lower}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents)
+  UNION ALL
+  SELECT 'b', item_id, unnest(w) FROM (
+    SELECT item_id, regexp_extract_all({lower}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark)),
+hashed AS (
+  SELECT word, xor(list_reduce([4294967295::BIGINT] ||
+           list_transform(range(len(h) // 2), lambda i: ('0x' || substr(h, 2 * i + 1, 2))::BIGINT),
+           lambda c, b: xor(t[(xor(c, b) & 255) + 1], c >> 8)), 4294967295) % 10000 AS bucket
+  FROM (SELECT DISTINCT word, hex(encode(word)) AS h FROM words), crc_table),
+found AS (SELECT side, doc_id, bucket FROM words JOIN hashed USING (word)),
+uses AS (
+  SELECT b.bucket, count(*) FILTER (side = 'd') AS s, count(*) FILTER (side = 'b') AS t
+  FROM (SELECT unnest(range(10000)) AS bucket) AS b LEFT JOIN found ON found.bucket = b.bucket
+  GROUP BY b.bucket),
+gains AS (
+  SELECT bucket, floor(1000 * ln(
+    CAST((t + 1) * (sum(s) OVER () + 10000) AS DOUBLE)
+    / CAST((s + 1) * (sum(t) OVER () + 10000) AS DOUBLE)))::BIGINT AS gain
+  FROM uses),
+weights AS (
+  SELECT doc_id, count(*) AS n, sum(gain)::BIGINT AS total
+  FROM found JOIN gains USING (bucket) WHERE side = 'd' GROUP BY doc_id),
+scored AS (
+  SELECT d.doc_id, coalesce(n, 0) AS n_features,
+         coalesce((total - ((total % n) + n) % n) // n, 0) AS weight,
+         ('0x' || substr(sha256('2024:' || d.doc_id), 1, 8))::BIGINT AS h
+  FROM documents AS d LEFT JOIN weights USING (doc_id)),
+summed AS (
+  SELECT *, weight + floor(-1000 * ln(-ln((h + 0.5::DOUBLE) / 4294967296)))::BIGINT AS score FROM scored),
+placed AS (
+  SELECT *, row_number() OVER (PARTITION BY n_features >= 20 ORDER BY score DESC, doc_id) AS place,
+         count(*) OVER (PARTITION BY n_features >= 20) AS n
+  FROM summed)
+SELECT doc_id, n_features, weight, score,
+       CASE WHEN n_features >= 20 AND place <= 10 * n // 100 THEN place END AS rank
+FROM placed""".replace("{lower}", _LOWER.format("coalesce(text, '')"))
+
+OP13 = f"""
+WITH d AS (
+  SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS text,
+         {_WORDS.format("text")} AS w,
+         min(coalesce(doc_id, 9223372036854775807)) OVER (PARTITION BY coalesce(text, '')) AS f
+  FROM documents),
+failing AS (
+  SELECT part,
+         (len(w) < 50)::INT AS a, (100 * len(list_distinct(w)) < 65 * len(w))::INT AS b,
+         (100 * len(regexp_extract_all(text, '[A-Z]')) > 5 * length(text))::INT AS c,
+         regexp_matches(text, '[#$%&*|]')::INT AS d,
+         (coalesce(doc_id, 9223372036854775807) > f)::INT AS e,
+         doc_id IN (SELECT doc_id FROM labels WHERE quality = 1) AS good,
+         doc_id IN (SELECT doc_id FROM labels WHERE toxic = 1) AS toxic
+  FROM d),
+counts AS (
+  SELECT part, a + 2 * b + 4 * c + 8 * d + 16 * e AS flags, count(*) AS n,
+         count(*) FILTER (good) AS good, count(*) FILTER (toxic) AS toxic
+  FROM failing GROUP BY 1, 2),
+letters AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS l, unnest([1, 2, 4, 8, 16]) AS bit),
+orders AS (
+  SELECT [v.l, w.l, x.l, y.l, z.l] AS o, [v.bit, w.bit, x.bit, y.bit, z.bit] AS bits
+  FROM letters AS v, letters AS w, letters AS x, letters AS y, letters AS z
+  WHERE v.bit + w.bit + x.bit + y.bit + z.bit = 31
+    AND len(list_distinct([v.l, w.l, x.l, y.l, z.l])) = 5),
+steps AS (
+  SELECT array_to_string(o, '') AS filter_order, s::INT AS step, bits[s] AS bit,
+         coalesce(list_sum(bits[1:s - 1]), 0)::INT AS before
+  FROM (SELECT *, unnest(range(1, 6)) AS s FROM orders)),
+reports AS (
+  SELECT part, filter_order, step, bit,
+         sum(n) FILTER (flags & (before | bit) = 0) AS kept,
+         sum(n) FILTER (flags & before = 0 AND flags & bit <> 0) AS removed,
+         sum(n) FILTER (flags & before <> 0 AND flags & bit <> 0) AS redundant,
+         sum(n) FILTER (flags = bit) AS unique_fails,
+         sum(good) FILTER (flags & before = 0 AND flags & bit <> 0) AS good_lost,
+         sum(toxic) FILTER (flags & before = 0 AND flags & bit <> 0) AS toxic_lost
+  FROM counts, steps GROUP BY part, filter_order, step, bit)
+SELECT part, filter_order, step,
+       {", ".join(f"coalesce({c}, 0)::BIGINT AS {c}" for c in (
+           "kept", "removed", "redundant", "unique_fails", "good_lost", "toxic_lost"))},
+       coalesce(sum(removed) OVER (PARTITION BY part, bit), 0)::BIGINT AS shapley
+FROM reports"""
+
 LLM_ORACLE: dict[str, str] = {
     "op1_embedding_near_dedup": OP1,
     "op2_ngram_jaccard": OP2,
@@ -134,4 +223,6 @@ LLM_ORACLE: dict[str, str] = {
     "op5_suffix_dedup": OP5,
     "op8_substring_dedup": OP8,
     "op10_line_dedup": OP10,
+    "op12_importance_resampling": OP12,
+    "op13_filter_audit": OP13,
 }

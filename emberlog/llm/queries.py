@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from emberlog.llm import (
+    audit,
     decontamination,
     language,
     lengths,
@@ -18,9 +19,12 @@ from emberlog.llm import (
     oracle,
     pii,
     pivots,
+    resampling,
     substring,
     suffixes,
+    wavelet,
 )
+from emberlog.session import scratch
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -77,6 +81,20 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op11_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch(spark, "token-files")
+    wavelet.write_files(table(spark, sf_dir, "documents"), path)
+    return wavelet.documents_of(wavelet.read_files(spark, path))
+
+
+def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 LLM_QUERIES: dict[str, Query] = {
     "op1_embedding_near_dedup": op1_embedding_near_dedup,
     "op2_ngram_jaccard": op2_ngram_jaccard,
@@ -88,6 +106,9 @@ LLM_QUERIES: dict[str, Query] = {
     "op8_substring_dedup": op8_substring_dedup,
     "op9_language_id": op9_language_id,
     "op10_line_dedup": op10_line_dedup,
+    "op11_token_files": op11_token_files,
+    "op12_importance_resampling": op12_importance_resampling,
+    "op13_filter_audit": op13_filter_audit,
     "pipeline": corpus_pipeline.run,
 }
 
