@@ -26,7 +26,7 @@ from emberlog.llm.text import bounded_batches, chunks, id_of, word_codes
 from emberlog.session import scratch
 
 #: Bytes of text in a shard; a longer text is a shard of its own.
-SHARD_BYTES = 4 << 20
+SHARD_BYTES = 8 << 20
 #: Documents in a shard, at most.
 SHARD_ROWS = 1 << 14
 #: Filters in the order of their bits.
@@ -36,6 +36,9 @@ FEWEST_DISTINCT = 65
 MOST_CAPITALS = 5
 MARKS = b"#$%&*|"
 
+#: Bits of a term's number; the words of a shard, fewer than its bytes, have the rest.
+_TERM_BITS = 36
+
 _MARK = np.zeros(256, bool)
 _MARK[list(MARKS)] = True
 _CAPITAL = np.zeros(256, bool)
@@ -168,9 +171,12 @@ def document_term_matrix(
     shards = spark.read.schema(_SHARD).parquet(path)
     local = shards.select("shard", F.posexplode("words").alias("place", "word"))
     numbered = local.hint("merge").join(_dictionary(local.select("word")).hint("merge"), "word")
-    # A list has the words of one shard, so its size is bounded by the shard's.
-    placed = F.sort_array(F.collect_list(F.struct("place", "term")))
-    terms = numbered.groupBy("shard").agg(F.transform(placed, lambda x: x["term"]).alias("terms"))
+    # A list has the words of one shard, so its size is bounded by the shard's.  Place and term are one
+    # number, the place in its upper bits.
+    both = F.shiftleft(F.col("place").cast("long"), _TERM_BITS).bitwiseOR(F.col("term"))
+    placed = F.sort_array(F.collect_list(both))
+    low = F.lit((1 << _TERM_BITS) - 1)
+    terms = numbered.groupBy("shard").agg(F.transform(placed, lambda x: x.bitwiseAND(low)).alias("terms"))
     kept = shards.select("shard", "docs", "matrix", "n_entries").hint("merge")
     none = F.array().cast("array<long>")
     return kept.join(terms.hint("merge"), "shard", "left").select(
@@ -184,22 +190,15 @@ def _decided(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for i in range(batch.num_rows):
             docs = batch.column(1)[i].values
             entries = batch.column(4)[i].as_py()
-            terms = batch.column(2)[i].values.to_numpy()
-            pointers, places, counts = unpack(batch.column(3)[i].as_py(), len(docs), entries)
-            own = terms[places]  # the matrix by global term
-            row = np.repeat(np.arange(len(docs)), np.diff(pointers))
-            order = np.lexsort((own, row))
-            own, row, counts = own[order], row[order], counts[order]
-            fresh = np.ones(len(own), bool)
-            fresh[1:] = (own[1:] != own[:-1]) | (row[1:] != row[:-1])
-            words = np.bincount(row, counts, len(docs)).astype(np.int64)
-            distinct = np.bincount(row[fresh], minlength=len(docs))
+            pointers, _, counts = unpack(batch.column(3)[i].as_py(), len(docs), entries)
+            sums = np.append(0, np.cumsum(counts))[pointers]
+            words, distinct = np.diff(sums), np.diff(pointers)
             flags = docs.field("flags").to_numpy()
             flags = flags | (words < FEWEST_WORDS) | (100 * distinct < FEWEST_DISTINCT * words) * 2
             yield pa.RecordBatch.from_arrays(
                 [
                     docs.field("doc"), docs.field("part"), docs.field("print"),
-                    pa.array(flags.astype(np.int32)), pa.array(words), pa.array(distinct.astype(np.int64)),
+                    pa.array(flags.astype(np.int32)), pa.array(words), pa.array(distinct),
                 ],
                 names=["doc", "part", "print", "flags", "n_words", "n_distinct"],
             )
@@ -324,5 +323,7 @@ def audit(
     makes another fail E; a null part is the empty one.  Repeated rows count each, and share
     their id, so none makes the other fail.  An empty table gives an empty table.
     """
-    decided = failed_filters(document_term_matrix(docs, id_col, text_col, part_col))
+    path = scratch(docs.sparkSession, "decided")
+    failed_filters(document_term_matrix(docs, id_col, text_col, part_col)).write.parquet(path)
+    decided = docs.sparkSession.read.parquet(path)
     return interactions(failure_counts(decided, labels, id_col))

@@ -86,6 +86,12 @@ def email_spans(text: str) -> list[tuple[int, int]]:
     return out
 
 
+def _small(part: str) -> bool:
+    """At most 255; however many zeros lead, only what is left is made a number."""
+    digits = part.lstrip("0")
+    return len(digits) < 4 and int(digits or "0") <= 255
+
+
 def ip_spans(text: str) -> Iterator[tuple[int, int, bool]]:
     """Four numbers joined by dots, leftmost first, and whether all are at most 255."""
     for chain in _CHAIN.finditer(text):
@@ -94,7 +100,7 @@ def ip_spans(text: str) -> Iterator[tuple[int, int, bool]]:
         for at in range(0, len(parts) - 3, 4):
             four = parts[at : at + 4]
             end = start + sum(map(len, four)) + 3
-            yield start, end, all(len(p.lstrip("0")) < 4 and int(p) <= 255 for p in four)
+            yield start, end, all(_small(p) for p in four)
             start = end + 1
 
 

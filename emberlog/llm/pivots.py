@@ -42,7 +42,7 @@ def choose_pivots(sample: np.ndarray, count: int = PIVOTS, apart: float = APART)
     filled up to 16 with fixed pseudorandom directions, so that small tables have pairs too."""
     dim = sample.shape[1]
     chosen = np.empty((0, dim))
-    left = sample / np.linalg.norm(sample, axis=1, keepdims=True)
+    left = unit_rows(sample) if len(sample) else sample
     while len(left) and len(chosen) < count:
         chosen = np.vstack([chosen, left[:1]])
         left = left[1:][left[1:] @ left[0] < apart]
@@ -52,6 +52,13 @@ def choose_pivots(sample: np.ndarray, count: int = PIVOTS, apart: float = APART)
     return chosen
 
 
+def unit_rows(x: np.ndarray) -> np.ndarray:
+    """Rows of length one.  The largest component is taken out first, so that squares of very
+    small or very large ones neither vanish nor overflow."""
+    x = x / np.abs(x).max(axis=1, keepdims=True)
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
 def nearest_pivots(vectors: np.ndarray, pivots: np.ndarray, count: int) -> np.ndarray:
     """Numbers of the nearest pivots of every unit vector, nearest first."""
     count = min(count, len(pivots))
@@ -68,8 +75,7 @@ def _tile_links(list_key: tuple[int, int], rows: list[tuple], least: float):
     half = np.array([r[0] for r in rows])
     node = np.array([r[1] for r in rows], np.int64)
     weight = np.array([r[2] for r in rows], np.int64)
-    x = np.stack([np.frombuffer(r[3], np.float64) for r in rows])
-    x = x / np.linalg.norm(x, axis=1, keepdims=True)
+    x = unit_rows(np.stack([np.frombuffer(r[3], np.float64) for r in rows]))
     prefix = np.stack([np.frombuffer(r[4], np.int32) for r in rows])
     names = np.unique(prefix)
     has = np.zeros((len(rows), len(names)), np.float32)
@@ -170,8 +176,7 @@ def near_duplicates(
                 at = np.flatnonzero(size == dim)
                 for part in np.array_split(at, max(1, len(at) // 1024)):
                     x = flat[begin[part][:, None] + np.arange(dim)]
-                    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
-                    for i, row, near in zip(part, x, nearest_pivots(unit, own[dim], DESCRIBED), strict=True):
+                    for i, row, near in zip(part, x, nearest_pivots(unit_rows(x), own[dim], DESCRIBED), strict=True):
                         described[i], packed[i] = near, row.tobytes()
             pairs = [
                 [int(min(a, b)) << 32 | int(max(a, b)) for a, b in combinations(d[:LISTED], 2)]

@@ -155,16 +155,24 @@ NOT_BLANK = separated(BLANKS)
 
 
 def word_codes(
-    chunk: Chunk, solid: np.ndarray = NOT_BLANK, lower: bool = False
+    chunk: Chunk,
+    solid: np.ndarray = NOT_BLANK,
+    lower: bool = False,
+    kinds: np.ndarray | None = None,
 ) -> tuple[np.ndarray, pa.Array, np.ndarray]:
     """(code of every word, the distinct words as bytes, place of each text's first word and one
-    more): words are runs of bytes that ``solid`` allows, encoded by a dictionary of the chunk."""
+    more): words are runs of bytes that ``solid`` allows, encoded by a dictionary of the chunk.  With
+    ``kinds`` a word also ends between a byte of kind 1 and one of kind 2."""
     data = _LOWER[chunk.data] if lower else chunk.data
     if not len(data):
         return np.empty(0, np.int32), pa.array([], pa.binary()), np.zeros(len(chunk.edges), np.int64)
     own = solid[data]
     cut = np.zeros(len(data) + 1, bool)
     cut[chunk.edges] = True
+    if kinds is not None:
+        kind = kinds[data]
+        cut[1:-1] |= kind[1:] + kind[:-1] * 4 == 6
+        cut[1:-1] |= kind[1:] * 4 + kind[:-1] == 6
     begins = np.flatnonzero(own & (cut[:-1] | ~np.append(False, own[:-1])))
     ends = np.flatnonzero(own & (cut[1:] | ~np.append(own[1:], False))) + 1
     edges = np.zeros(len(begins) + 1, np.int64)

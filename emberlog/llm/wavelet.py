@@ -28,16 +28,28 @@ from pyspark.sql import functions as F
 
 from emberlog.llm.text import bounded_batches, chunks, id_of, null_id, word_codes
 
-# The vocabulary, and the id that ends a document.
+# The vocabulary, the id that ends a document, and a special token of the vocabulary.
 VOCABULARY = "word_bpe_49k.json"
 END = 2
+BETWEEN = "<|endoftext|>"
 #: Ids in a shard, about; it ends with the document that reaches so many.
 SHARD_TOKENS = 1 << 20
-#: Words whose ids a task remembers.
-KNOWN_WORDS = 1 << 17
+#: Words whose ids a worker remembers.
+KNOWN_WORDS = 1 << 19
+#: Words that are encoded together.
+TOGETHER = 1 << 12
+#: Bytes of text encoded at a time.
+TEXT_BYTES = 4 << 20
 #: Words of 64 bits in a block of the rank directory.
 BLOCK_WORDS = 16
 
+#: Letters are kind 1 and what surely stands apart from them kind 2; not so beyond ASCII, where a mark
+#: may join a letter, and for the characters of contractions and special tokens.
+_KINDS = np.zeros(256, np.uint8)
+_KINDS[0x21:0x7F] = 2
+_KINDS[[*range(0x41, 0x5B), *range(0x61, 0x7B)]] = 1
+_KINDS[[ord("'"), ord("|"), ord("<"), ord(">")]] = 0
+
 _MAGIC = b"WAVELET1"
 _HEADER = "<8sIQQ"
 _SIZES = "<QQ"
@@ -55,11 +67,12 @@ class WaveletMatrix:
 
     @classmethod
     def build(cls, ids: np.ndarray, levels: int) -> WaveletMatrix:
-        left = np.asarray(ids, np.uint32)
+        kind = np.uint16 if levels <= 16 else np.uint32
+        left = np.asarray(ids).astype(kind)
         planes, ones = [], []
         words = -(-len(left) // (64 * BLOCK_WORDS)) * BLOCK_WORDS
         for level in range(levels - 1, -1, -1):
-            bit = (left >> np.uint32(level)) & np.uint32(1) == 1
+            bit = (left & kind(1 << level)) != 0
             flat = np.zeros(words * 8, np.uint8)
             packed = np.packbits(bit, bitorder="little")
             flat[: len(packed)] = packed
@@ -102,17 +115,18 @@ class WaveletMatrix:
         return out
 
     def decode(self) -> np.ndarray:
-        """All ids: what ``access`` gives for every place, with ranks taken along whole planes."""
+        """All ids: what ``access`` gives for every place.  From the last plane upwards the bits of a
+        plane say from which half of the order below each place takes its next id."""
         out = np.zeros(self.size, np.uint32)
-        at = np.arange(self.size)
-        for level in range(self.levels):
+        for level in range(self.levels - 1, -1, -1):
             bits = np.unpackbits(
                 self.planes[level].view(np.uint8), count=self.size, bitorder="little"
             )
-            ones = np.cumsum(bits, dtype=np.int64)
-            below = np.where(bits, self.zeros[level] + ones - 1, np.arange(self.size) - ones)
-            out = (out << np.uint32(1)) | bits[at]
-            at = below[at]
+            one = bits.view(bool)
+            above = np.empty_like(out)
+            above[~one] = out[: self.zeros[level]]
+            above[one] = out[self.zeros[level] :]
+            out = above | bits.astype(np.uint32) << np.uint32(self.levels - 1 - level)
         return out
 
     def _range(self, token: int, first: int, last: int) -> tuple[int, int]:
@@ -201,50 +215,90 @@ class Encoder:
     """Ids of whole texts by a public tokenizer.
 
     White space separates words of this vocabulary and is dropped, so a text's ids are those of
-    its words, and a word is encoded once as long as the task remembers it.
+    its words, and it cuts words where ASCII letters meet other ASCII characters, so they are those of
+    such pieces; a piece of letters alone is what its merges are applied to.  ``open`` asks the vocabulary
+    whether that holds and otherwise takes whole words.  The encoder is broadcast: a Python worker keeps it, and the words it has met, from task
+    to task.  When it remembers ``KNOWN_WORDS`` words, later ones are encoded each time.
     """
 
     def __init__(self, vocabulary: str):
+        self.vocabulary = vocabulary
+        self.coder = None
+
+    def __getstate__(self) -> dict:
+        return {"vocabulary": self.vocabulary, "coder": None}
+
+    def open(self) -> None:
+        if self.coder is not None:
+            return
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark has a task for every core
         from tokenizers import Tokenizer
 
-        self.coder = Tokenizer.from_str(vocabulary)
+        self.coder = Tokenizer.from_str(self.vocabulary)
         self.coder.no_truncation()
         self.coder.no_padding()
-        self._forget()
-
-    def _forget(self) -> None:
+        self.between = self.coder.token_to_id(BETWEEN)
+        asked = "ab.CD7x-y"
+        cut = self.coder.pre_tokenizer.pre_tokenize_str(self.coder.normalizer.normalize_str(asked))
+        plain = [piece for piece, _ in cut] == ["ab", ".", "cd", "7", "x", "-", "y"]
+        self.kinds = _KINDS if plain else None
         self.known: dict[bytes, int] = {}
-        self.flat = np.empty(0, np.uint32)
-        self.edges = np.zeros(1, np.int64)
-
-    def _learn(self, words: list[bytes]) -> None:
-        fresh = [w for w in words if w not in self.known]
-        if not fresh:
-            return
-        if len(self.known) + len(fresh) > KNOWN_WORDS:
-            self._forget()
-            fresh = words
-        texts = [w.decode("utf-8", "replace") for w in fresh]
-        found = [e.ids for e in self.coder.encode_batch_fast(texts, add_special_tokens=False)]
-        self.known.update(zip(fresh, range(len(self.known), len(self.known) + len(fresh)), strict=True))
-        sizes = np.fromiter(map(len, found), np.int64, len(found))
-        some = np.fromiter((i for ids in found for i in ids), np.uint32, int(sizes.sum()))
-        self.flat = np.concatenate([self.flat, some])
-        self.edges = np.concatenate([self.edges, self.edges[-1] + np.cumsum(sizes)])
+        self.ids = pa.array([], pa.list_(pa.uint32()))
+
+    def levels(self, end: int) -> int:
+        self.open()
+        return max(self.coder.get_vocab_size(), end + 1).bit_length()
+
+    def _learned(self, words: list[bytes]) -> pa.Array:
+        """Ids per word or piece."""
+        letters = [self.kinds is not None and w.isalpha() and w.isascii() for w in words]
+        merged = self.coder.model.tokenize
+        easy = pa.array(
+            [[t.id for t in merged(w.decode().lower())] for w, e in zip(words, letters, strict=True) if e],
+            pa.list_(pa.uint32()),
+        )
+        rest = self._whole([w for w, e in zip(words, letters, strict=True) if not e])
+        own = np.array(letters, bool)
+        order = np.where(own, np.cumsum(own) - 1, len(easy) + np.cumsum(~own) - 1)
+        return pa.concat_arrays([easy, rest]).take(pa.array(order))
+
+    def _whole(self, words: list[bytes]) -> pa.Array:
+        """Ids per word.  Words go to the tokenizer together, with a special token between
+        them, which it treats as the end of one text and the start of another."""
+        texts = [w.decode("utf-8", "replace") for w in words]
+        if any(BETWEEN in text for text in texts):
+            found = [self.coder.encode(t, add_special_tokens=False).ids for t in texts]
+            return pa.array(found, pa.list_(pa.uint32()))
+        runs, sizes = [np.empty(0, np.uint32)], [np.zeros(1, np.int64)]
+        for at in range(0, len(texts), TOGETHER):
+            joined = BETWEEN.join(texts[at : at + TOGETHER])
+            ids = np.array(self.coder.encode(joined, add_special_tokens=False).ids, np.uint32)
+            cut = np.flatnonzero(ids == self.between)
+            runs.append(np.delete(ids, cut))
+            sizes.append(np.diff(np.concatenate([[-1], cut, [len(ids)]])) - 1)
+        edges = np.cumsum(np.concatenate(sizes))
+        return pa.ListArray.from_arrays(pa.array(edges, pa.int32()), pa.array(np.concatenate(runs)))
 
     def encode(self, chunk, end: int) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts one after another, each followed by ``end``; ids per text)."""
-        codes, words, edges = word_codes(chunk)
+        self.open()
+        codes, words, edges = word_codes(chunk, kinds=self.kinds)
         words = words.to_pylist()
-        self._learn(words)
-        number = np.fromiter((self.known[w] for w in words), np.int64, len(words))[codes]
-        sizes = self.edges[number + 1] - self.edges[number]
-        starts = np.append(0, np.cumsum(sizes))
-        within = np.arange(starts[-1]) - np.repeat(starts[:-1], sizes)
-        ids = self.flat[np.repeat(self.edges[number], sizes) + within]
-        ends = starts[edges[1:]]
-        return np.insert(ids, ends, end), np.diff(np.append(0, ends)) + 1
+        number = np.fromiter((self.known.get(w, -1) for w in words), np.int64, len(words))
+        fresh = np.flatnonzero(number < 0)
+        number[fresh] = len(self.ids) + np.arange(len(fresh))
+        new = [words[i] for i in fresh]
+        lists = pa.concat_arrays([self.ids, self._learned(new)])
+        if len(lists) <= KNOWN_WORDS:
+            self.known.update(zip(new, range(len(self.ids), len(lists)), strict=True))
+            self.ids = lists
+        # The end of a document is one more word behind its own.
+        lists = pa.concat_arrays([lists, pa.array([[end]], pa.list_(pa.uint32()))])
+        row = np.insert(number[codes], edges[1:], len(lists) - 1)
+        taken = lists.take(pa.array(row))
+        places = edges[1:] + np.arange(1, len(edges))
+        ends = taken.offsets.to_numpy()[places] - taken.offsets[0].as_py()
+        return taken.flatten().to_numpy(), np.diff(np.append(0, ends)).astype(np.int64)
 
 
 def vocabulary_path() -> str:
@@ -273,7 +327,7 @@ def write_files(
     spark = docs.sparkSession
     bounded_batches(spark)
     with open(vocabulary or vocabulary_path(), encoding="utf-8") as file:
-        held = spark.sparkContext.broadcast(file.read())
+        held = spark.sparkContext.broadcast(Encoder(file.read()))
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     rows = docs.select(
         id_of(id_col).alias("doc"), F.xxhash64(text).alias("fp"),
@@ -284,8 +338,8 @@ def write_files(
 
     def shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, number = TaskContext.get().partitionId(), 0
-        coder = Encoder(held.value)
-        levels = max(coder.coder.get_vocab_size(), end + 1).bit_length()
+        coder = held.value
+        levels = coder.levels(end)
         names: list[np.ndarray] = []
         sizes: list[np.ndarray] = []
         ids: list[np.ndarray] = []
@@ -302,16 +356,22 @@ def write_files(
             )
 
         for batch in batches:
-            for chunk in chunks(batch.column(1)):
+            for chunk in chunks(batch.column(1), TEXT_BYTES):
                 made, each = coder.encode(chunk, end)
-                names.append(batch.column(0).to_numpy()[chunk.first : chunk.last])
-                sizes.append(each)
-                ids.append(made)
-                total += len(made)
-                if total >= shard_tokens:
-                    yield shard()
-                    number, total = number + 1, 0
-                    names, sizes, ids = [], [], []
+                own, ends, begin = batch.column(0).to_numpy()[chunk.first :], np.cumsum(each), 0
+                while begin < len(each):
+                    done = int(ends[begin - 1]) if begin else 0
+                    full = np.searchsorted(ends, done + shard_tokens - total)
+                    last = min(int(full) + 1, len(each))
+                    names.append(own[begin:last])
+                    sizes.append(each[begin:last])
+                    ids.append(made[done : ends[last - 1]])
+                    total += int(ends[last - 1]) - done
+                    begin = last
+                    if total >= shard_tokens:
+                        yield shard()
+                        number, total = number + 1, 0
+                        names, sizes, ids = [], [], []
         if names:
             yield shard()
 
