@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Iterator, Mapping
 from datetime import UTC, date, datetime, timedelta
 
 import pyarrow as pa
@@ -25,6 +25,9 @@ from emberlog.sources.store import LogStore
 
 HOUR = 3600
 
+#: The columns of a page.
+_PAGE = T.StructType([LOGS[name] for name in LOG_COLUMNS])
+
 
 def project_log(logs: DataFrame) -> DataFrame:
     return logs.select(*LOG_COLUMNS)
@@ -175,10 +178,31 @@ def search_store(
         missing -= page.num_rows
         if not missing:
             break
-    schema = T.StructType([LOGS[name] for name in LOG_COLUMNS])
     if not pages:
-        return store.spark.createDataFrame([], schema)
-    return store.spark.createDataFrame(pa.concat_tables(pages).combine_chunks(), schema)
+        return no_rows(store)
+    return store.spark.createDataFrame(pa.concat_tables(pages).combine_chunks(), _PAGE)
+
+
+def no_rows(store: LogStore) -> DataFrame:
+    """A page without rows."""
+    return store.spark.createDataFrame([], _PAGE)
+
+
+def pages(store: LogStore, *, limit: int | None = None, **filters) -> Iterator[DataFrame]:
+    """All pages of ``search_store``, newest first, each asked for when it is taken.
+
+    The first page is always there, empty if nothing matches; a page that is not full is the
+    last, and so is an empty one behind rows that end exactly with a page.
+    """
+    limit = DEFAULT_LIMIT if limit is None else limit
+    cursor = filters.pop("cursor", None)
+    while True:
+        page = search_store(store, **filters, limit=limit, cursor=cursor)
+        yield page
+        found = next_cursor(page, limit).first()
+        if found is None:
+            return
+        cursor = found.cursor
 
 
 def next_cursor(page: DataFrame, limit: int) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from datetime import date, datetime, timedelta
 from functools import reduce
+from itertools import islice
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -471,19 +472,25 @@ def q1_search_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 PAGE = 60
 
 
-def _next_token(store: LogStore, page: DataFrame) -> str | None:
-    found = search.next_cursor(page, PAGE).first()
-    return found.cursor if found else None
+@query
+def q2_search_page(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The third page, reached by following cursors; empty where the rows end before it."""
+    store = tables.main_store(spark, sf_dir)
+    pages = search.pages(store, service="timetable", limit=PAGE)
+    third = next(islice(pages, 2, None), None)
+    return log_rows(search.no_rows(store) if third is None else third)
 
 
 @query
-def q2_search_page(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The third page, reached by following cursors."""
-    store, token = tables.main_store(spark, sf_dir), None
-    for _ in range(2):
-        page = search.search_store(store, service="timetable", limit=PAGE, cursor=token)
-        token = _next_token(store, page)
-    return log_rows(search.search_store(store, service="timetable", limit=PAGE, cursor=token))
+def q2_walk_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every row of one service in a range, page after page to the end, with its page number."""
+    store = tables.main_store(spark, sf_dir)
+    keys = dict(service="signals", level="error", since=SINCE, until=UNTIL)
+    walked = [
+        log_rows(page).withColumn("page", F.lit(number))
+        for number, page in enumerate(search.pages(store, **keys, limit=1000))
+    ]
+    return reduce(DataFrame.unionByName, walked)
 
 
 @query
