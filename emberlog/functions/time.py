@@ -50,6 +50,32 @@ def ceil_to(value: datetime, seconds: int) -> datetime:
     return low if low == instant(value) else low + timedelta(seconds=seconds)
 
 
+def cover(
+    since: str | datetime, until: str | datetime, grains: tuple[tuple[str, int], ...]
+) -> tuple[dict[str, list[tuple[datetime, datetime]]], list[tuple[datetime, datetime]]]:
+    """Split ``[since, until)`` into spans of whole grains and what is left.
+
+    ``grains`` are (name, seconds), coarsest first, each a multiple of the next.  The coarsest takes the middle, the
+    next one both sides of it and so on: at most two spans per grain, and two rests that
+    are each shorter than the finest grain.
+    """
+    open_ = [(instant(since), instant(until))]
+    spans: dict[str, list[tuple[datetime, datetime]]] = {}
+    for name, step in grains:
+        rest = []
+        for low, high in open_:
+            first, last = ceil_to(low, step), floor_to(high, step)
+            if first < last:
+                spans.setdefault(name, []).append((first, last))
+                rest += [(low, first), (last, high)]
+            elif first == last:
+                rest += [(low, first), (first, high)]
+            else:
+                rest.append((low, high))
+        open_ = [(low, high) for low, high in rest if low < high]
+    return spans, open_
+
+
 def day_lit(value: datetime) -> Column:
     return F.lit(instant(value).date())
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 from datetime import datetime, timedelta
+from functools import reduce
 from typing import Protocol
 
 from pyspark.sql import Column, DataFrame
@@ -11,13 +12,19 @@ from pyspark.sql import functions as F
 
 from emberlog.functions.arguments import check_aggregate
 from emberlog.functions.predicates import all_filters
-from emberlog.functions.time import ceil_to, floor_to, instant, time_bucket
+from emberlog.functions.time import ceil_to, cover, floor_to, instant, time_bucket
 from emberlog.schema import LIVE_WINDOW_MINUTES
 from emberlog.sources.store import LogStore
 
 #: Rollup grain that can answer each bucket size.
 GRAIN_OF = {"1m": "minute", "5m": "minute", "1h": "hour", "1d": "hour"}
-GRAIN_SECONDS = {"minute": 60, "hour": 3600}
+#: Rollups whose buckets fit whole into each bucket size, coarsest first.
+COVERS = {
+    "1m": (("minute", 60),),
+    "5m": (("minute", 60),),
+    "1h": (("hour", 3600), ("minute", 60)),
+    "1d": (("day", 86400), ("hour", 3600), ("minute", 60)),
+}
 MINUTE = timedelta(minutes=1)
 
 
@@ -170,27 +177,26 @@ def live_counts(
     return in_order(_summed(_rollup_amounts(live, *window, "1m", group_by, service, level)))
 
 
-def _with_raw_edges(
-    store: LogStore, grain: str, since, until, bucket, group_by, service, level
+def _covered(
+    store: LogStore, since, until, bucket, group_by, service, level
 ) -> DataFrame:
-    """Rollup for the whole grains inside the range, raw rows for the cut ones.
+    """Each rollup for the part of the range it covers best, raw rows for what no minute covers.
 
-    Equals the raw answer for any range, reads at most two grains of raw rows and
-    sums both in one aggregation.
+    Equals the raw answer for any range.  Days fill the middle, hours and minutes both sides of it,
+    so raw rows are read for less than a minute at each end; a table is scanned once, for all its
+    spans, and all are summed in one aggregation.
     """
-    low, high = instant(since), instant(until)
-    inner = ceil_to(low, GRAIN_SECONDS[grain]), floor_to(high, GRAIN_SECONDS[grain])
-    if inner[0] >= inner[1]:
-        logs = store.scan_logs(low, high)
-        return bucket_counts(logs, low, high, bucket, group_by, service=service, level=level)
-    amounts = _rollup_amounts(
-        store.scan_partials(grain, *inner), *inner, bucket, group_by, service, level
-    )
-    for edge in ((low, inner[0]), (inner[1], high)):
-        if edge[0] < edge[1]:
-            raw = all_filters(store.scan_logs(*edge), service=service, level=level)
-            amounts = amounts.unionByName(_raw_amounts(raw, bucket, group_by))
-    return in_order(_summed(amounts))
+    spans, rest = cover(since, until, COVERS[bucket])
+    keys = dict(service=service, level=level)
+    amounts = []
+    for grain, own in spans.items():
+        rows = store.scan_partials_in(grain, own).withColumnRenamed("bucket", "timestamp")
+        rows = all_filters(rows, **keys)
+        amounts.append(_amounts(rows, "timestamp", bucket, group_by, F.col("count")))
+    if rest or not amounts:
+        raw = all_filters(store.scan_logs_in(rest), **keys)
+        amounts.append(_raw_amounts(raw, bucket, group_by))
+    return in_order(_summed(reduce(DataFrame.unionByName, amounts)))
 
 
 def aggregate(
@@ -211,8 +217,8 @@ def aggregate(
     """Bucket counts from the cheapest source that can answer.
 
     ``auto`` always equals the count of raw rows.  Message and attribute filters
-    need raw rows; anything else is read from a rollup, with raw rows only for
-    grains the range cuts.  Minute buckets of the last 15 minutes come from
+    need raw rows; anything else is read from the rollups that cover the range, with raw rows only for
+    minutes it cuts.  Minute buckets of the last 15 minutes come from
     ``live`` if it is given, the range is whole minutes and the live table has counted every
     committed batch of its days.  ``rollup``, ``raw`` and ``live`` force a source with its
     own way of treating a cut bucket; a live table that lags refuses.
@@ -241,10 +247,10 @@ def aggregate(
         if source == "live":
             raise ValueError("the live window cannot answer this range")
 
-    grain = GRAIN_OF[bucket]
     if source == "rollup":
+        grain = GRAIN_OF[bucket]
         partials = store.scan_partials(grain, since, until)
         return rollup_counts(partials, since, until, bucket, group_by, **keys)
-    return _with_raw_edges(store, grain, since, until, bucket, group_by, service, level)
+    return _covered(store, since, until, bucket, group_by, service, level)
 
 

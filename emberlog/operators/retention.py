@@ -61,6 +61,8 @@ def prune_rollups(
         for day in store.days(path):
             if day < limit.date():
                 store.drop_day(path, day)
+        if grain == "day":
+            continue  # the cutoff day's raw rows are all kept, and so is its one count
         parts = folders.matching(store.spark, f"{path}/dt={limit.date().isoformat()}/batch_id=*")
         partials = store.scan_partials(grain).filter(F.col("dt") == F.lit(limit.date()))
         if not parts or partials.filter(F.col("bucket") < ts_lit(limit)).isEmpty():

@@ -22,6 +22,13 @@ TAIL_ROWS_KEPT = 120
 
 _ATTRIBUTES = T.MapType(T.StringType(), T.StringType())
 
+#: Every attribute of a row also stands, as a hash of key and value, in one of a few plain columns, the
+#: smallest hash first.  Plain columns have Bloom filters, which a map does not, so row groups without a
+#: pair can be skipped.  A row with more attributes than columns has a mark in the last one, one with
+#: fewer another in the rest: a reader skips by Bloom filters only if every column asked has one.
+PAIR_COLUMNS = tuple(f"pair_{i:02d}" for i in range(12))
+PAIRS_GO_ON, NO_PAIR = 0, -1
+
 #: Stored log rows. ``dt`` and ``batch_id`` are partition columns.
 LOGS = T.StructType(
     [
@@ -32,6 +39,7 @@ LOGS = T.StructType(
         T.StructField("message", T.StringType()),
         T.StructField("message_lower", T.StringType()),
         T.StructField("attributes", _ATTRIBUTES),
+        *[T.StructField(name, T.LongType()) for name in PAIR_COLUMNS],
         T.StructField("dt", T.DateType()),
         T.StructField("batch_id", T.StringType()),
     ]

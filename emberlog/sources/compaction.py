@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from emberlog.schema import LOGS, ROLLUP
 from emberlog.sources import folders, packs
-from emberlog.sources.store import GRAINS, LogStore
+from emberlog.sources.store import GRAINS, LogStore, with_filters
 
 
 def _tables(store: LogStore) -> list[str]:
@@ -69,10 +69,8 @@ def compact_day(store: LogStore, day: date) -> bool:
         if schema is ROLLUP:
             rows = rows.groupBy("bucket", "service", "level").agg(F.sum("count").alias("count"))
         (
-            rows.select(*stored(schema))
-            .hint("rebalance")
-            .sortWithinPartitions(*order)
-            .write.parquet(f"{table}/dt={day.isoformat()}/batch_id={name}")
+            with_filters(rows.select(*stored(schema)).hint("rebalance").sortWithinPartitions(*order).write)
+            .parquet(f"{table}/dt={day.isoformat()}/batch_id={name}")
         )
     before = {batch for pack in packs.of_day(store.spark, store.root, day) for batch in pack.batches}
     packs.publish(store.spark, store.root, day, name, sorted(before | replaced))

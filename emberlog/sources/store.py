@@ -1,10 +1,11 @@
-"""The log store: raw rows, two count rollups, parked stray rows and dead letters.
+"""The log store: raw rows, three count rollups, parked stray rows and dead letters.
 
 Layout below ``root`` (all Parquet)::
 
     logs/dt=…/batch_id=…            accepted rows
     minute_counts/dt=…/batch_id=…   partial counts per (minute, service, level)
     hourly_counts/dt=…/batch_id=…   partial counts per (hour, service, level)
+    daily_counts/dt=…/batch_id=…    partial counts per (day, service, level)
     stray/dt=…/batch_id=…           rows waiting to be moved into their day
     rejected/batch_id=…             what ingestion refused, and why
     dead_letters/failed_ms=…/dead_id=…  entries of batches that failed to load
@@ -24,16 +25,20 @@ from dataclasses import dataclass
 from datetime import date, datetime
 
 from pyspark import inheritable_thread_target
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, DataFrameWriter, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from emberlog.functions.predicates import by_time
+from emberlog.functions.predicates import by_spans, by_time, pair_values
 from emberlog.functions.time import instant, time_bucket
-from emberlog.schema import DEAD_ENTRIES, LOGS, REJECTED, ROLLUP
+from emberlog.schema import DEAD_ENTRIES, LOGS, REJECTED, ROLLUP, PAIR_COLUMNS
 from emberlog.sources import folders, packs
 
-GRAINS = {"minute": "1m", "hour": "1h"}
+GRAINS = {"minute": "1m", "hour": "1h", "day": "1d"}
+_FOLDERS = {"minute": "minute", "hour": "hourly", "day": "daily"}
+
+#: Bytes of a Bloom filter, at most; with more values it lets more row groups through.
+FILTER_BYTES = 1 << 18
 
 _BATCH_NAME = re.compile(r"[A-Za-z0-9_.-]+")
 
@@ -45,6 +50,17 @@ def check_batch_id(batch_id: str) -> str:
     return batch_id
 
 
+def with_filters(writer: DataFrameWriter) -> DataFrameWriter:
+    """Bloom filters for the pair columns (of tables that have them), sized by their content."""
+    for name in PAIR_COLUMNS:
+        writer = writer.option(f"parquet.bloom.filter.enabled#{name}", "true")
+        # A column with a dictionary gets no Bloom filter.
+        writer = writer.option(f"parquet.enable.dictionary#{name}", "false")
+    return writer.option("parquet.bloom.filter.adaptive.enabled", "true").option(
+        "parquet.bloom.filter.max.bytes", str(FILTER_BYTES)
+    )
+
+
 @dataclass(frozen=True)
 class LogStore:
     spark: SparkSession
@@ -69,7 +85,7 @@ class LogStore:
         return f"{self.root}/dead_letters"
 
     def rollup_path(self, grain: str) -> str:
-        return f"{self.root}/{ {'minute': 'minute', 'hour': 'hourly'}[grain] }_counts"
+        return f"{self.root}/{_FOLDERS[grain]}_counts"
 
     # -- reads ---------------------------------------------------------------
 
@@ -95,13 +111,19 @@ class LogStore:
         """
         if not since and not until:
             return packs.visible(self._read(path, schema), path, self.root)
-        low = instant(since).date() if since else date.min
-        high = instant(until).date() if until else date.max
-        parts = [
-            part
-            for part in folders.matching(self.spark, f"{path}/dt=*")
-            if low <= date.fromisoformat(folders.partition_values(part)["dt"]) <= high
-        ]
+        low = instant(since) if since else datetime.min
+        high = instant(until) if until else datetime.max
+        return self._read_spans(path, schema, [(low, high)])
+
+    def _read_spans(
+        self, path: str, schema: T.StructType, spans: list[tuple[datetime, datetime]]
+    ) -> DataFrame:
+        days = [(low.date(), high.date()) for low, high in spans]
+        parts = []
+        for part in folders.matching(self.spark, f"{path}/dt=*"):
+            day = date.fromisoformat(folders.partition_values(part)["dt"])
+            if any(low <= day <= high for low, high in days):
+                parts.append(part)
         return packs.visible(self._read(path, schema, parts), path, self.root)
 
     def read_parts(self, path: str, schema: T.StructType, parts: list[str]) -> DataFrame:
@@ -137,6 +159,16 @@ class LogStore:
         rows = self._read_days(self.rollup_path(grain), ROLLUP, since, until)
         return rows.filter(by_time(since, until, column="bucket", day="dt"))
 
+    def scan_logs_in(self, spans: list[tuple[datetime, datetime]]) -> DataFrame:
+        """Stored rows in any of some ranges, in one scan of the days they touch."""
+        rows = self._read_spans(self.logs_path, LOGS, spans)
+        return rows.filter(by_spans(spans, "timestamp", "dt"))
+
+    def scan_partials_in(self, grain: str, spans: list[tuple[datetime, datetime]]) -> DataFrame:
+        """The partial counts whose bucket starts in any of some ranges, in one scan."""
+        rows = self._read_spans(self.rollup_path(grain), ROLLUP, spans)
+        return rows.filter(by_spans(spans, "bucket", "dt"))
+
     def scan_rollup(
         self,
         grain: str,
@@ -172,9 +204,11 @@ class LogStore:
         Sorting gives row groups narrow service and time ranges to skip by.
         """
         (
-            df.hint("rebalance", F.col("dt"), F.col("batch_id"))
-            .sortWithinPartitions("dt", "batch_id", *order)
-            .write.mode("overwrite")
+            with_filters(
+                df.hint("rebalance", F.col("dt"), F.col("batch_id"))
+                .sortWithinPartitions("dt", "batch_id", *order)
+                .write.mode("overwrite")
+            )
             .option("partitionOverwriteMode", "dynamic")
             .partitionBy("dt", "batch_id")
             .parquet(path)
@@ -184,11 +218,13 @@ class LogStore:
         """Store accepted rows under ``batch_id`` (or the one each row carries)."""
         if batch_id is not None:
             logs = logs.withColumn("batch_id", F.lit(check_batch_id(batch_id)))
+        logs = logs.withColumns(pair_values(F.col("attributes")))
         self._replace_parts(logs.select(LOGS.fieldNames()), self.logs_path, "service", "timestamp")
 
     def park_stray(self, logs: DataFrame, batch_id: str) -> None:
         """Store rows outside the table proper, to be moved or dropped by the repair job."""
         logs = logs.withColumn("batch_id", F.lit(check_batch_id(batch_id)))
+        logs = logs.withColumns(pair_values(F.col("attributes")))
         self._replace_parts(logs.select(LOGS.fieldNames()), self.stray_path, "service", "timestamp")
 
     def add_counts(self, entries: DataFrame, grain: str, batch_id: str | None = None) -> None:
@@ -211,8 +247,8 @@ class LogStore:
         """Put back the partials of whole (dt, batch_id) directories."""
         self._replace_parts(partials, self.rollup_path(grain), "service", "level", "bucket")
 
-    def add_both_counts(self, entries: DataFrame, batch_id: str | None = None) -> None:
-        """Both rollups at once: two small independent jobs, side by side."""
+    def add_all_counts(self, entries: DataFrame, batch_id: str | None = None) -> None:
+        """All rollups at once: small independent jobs, side by side."""
         with ThreadPoolExecutor(len(GRAINS)) as pool:
             jobs = [
                 pool.submit(
@@ -224,7 +260,7 @@ class LogStore:
             job.result()
 
     def load_rows(self, logs: DataFrame) -> None:
-        """Raw rows and both rollups, for rows that carry their own ``batch_id``."""
+        """Raw rows and all rollups, for rows that carry their own ``batch_id``."""
         held = None
         for day, pack in packs.published(self.spark, self.root).items():
             names = [name for name in pack.batches if name.startswith(("stray-", "replay-"))]
@@ -233,7 +269,7 @@ class LogStore:
                 held = own if held is None else held | own
         logs = logs if held is None else logs.filter(~held)
         self.append_logs(logs)
-        self.add_both_counts(logs)
+        self.add_all_counts(logs)
 
     def rebuild_rollup(self, grain: str) -> None:
         """Recompute the partial of every batch of one rollup from its raw rows.
@@ -261,7 +297,7 @@ class LogStore:
                 folders.remove(self.spark, part)
 
     def load_batch(self, logs: DataFrame, batch_id: str) -> None:
-        """Raw rows first, then both rollups counted from what was stored.
+        """Raw rows first, then all rollups counted from what was stored.
 
         Reading three narrow columns back is much cheaper than parsing the entries
         a second time.  Leftovers of an earlier attempt go first: a retry
@@ -273,11 +309,11 @@ class LogStore:
             logs = logs.filter(~F.col("dt").isin(held))
         self.discard_batch(batch_id)
         self.append_logs(logs, batch_id)
-        self.add_both_counts(self.scan_batch(batch_id), batch_id)
+        self.add_all_counts(self.scan_batch(batch_id), batch_id)
 
     def discard_batch(self, batch_id: str) -> None:
         check_batch_id(batch_id)
-        for path in (self.rollup_path("hour"), self.rollup_path("minute"), self.logs_path):
+        for path in (*map(self.rollup_path, GRAINS), self.logs_path):
             for part in folders.matching(self.spark, f"{path}/dt=*/batch_id={batch_id}"):
                 folders.remove(self.spark, part)
 

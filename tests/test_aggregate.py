@@ -1,11 +1,13 @@
 from __future__ import annotations
 
+import random
 from collections import Counter
 from datetime import datetime, timedelta
 
 import pytest
 from pyspark.sql import functions as F
 
+from emberlog.functions.time import cover, floor_to, instant
 from emberlog.operators import aggregate as agg
 from emberlog.operators.quality import rollup_drift, run_visibility
 from emberlog.schema import BUCKET_SECONDS
@@ -90,6 +92,49 @@ def test_auto_always_equals_raw(filled, bucket):
         assert rows_of(raw) == counted(rows, since, until, bucket, None, **keys)
 
 
+@pytest.mark.parametrize("seed", range(6))
+def test_any_range_equals_raw(filled, seed):
+    draw = random.Random(seed)
+    rows = filled.scan_logs().collect()
+    since = BASE + timedelta(milliseconds=draw.randrange(3 * 86_400_000))
+    until = since + timedelta(milliseconds=int(10 ** draw.uniform(3, 8.4)))
+    bucket, group_by = draw.choice(list(BUCKET_SECONDS)), draw.choice([None, "service", "level"])
+    found = agg.aggregate(filled, since, until, bucket, group_by)
+    assert rows_of(found) == counted(rows, since, until, bucket, group_by)
+
+
+def test_cover():
+    day = timedelta(days=1)
+    grains = agg.COVERS["1d"]
+    draw = random.Random(3)
+    for _ in range(300):
+        since = instant(BASE) + timedelta(milliseconds=draw.randrange(10 * 86_400_000))
+        until = since + timedelta(milliseconds=int(10 ** draw.uniform(0, 9.3)))
+        spans, rest = cover(since, until, grains)
+        pieces = sorted([s for own in spans.values() for s in own] + rest)
+        assert pieces[0][0] == since and pieces[-1][1] == until
+        assert all(a[1] == b[0] for a, b in zip(pieces, pieces[1:], strict=False))
+        assert len(rest) <= 2 and all(high - low < timedelta(minutes=1) for low, high in rest)
+        for name, step in grains:
+            own = spans.get(name, [])
+            assert len(own) <= 2 and all(floor_to(t, step) == t for s in own for t in s)
+            if name != "day":
+                assert sum((high - low for low, high in own), timedelta()) < 2 * day
+    assert cover(since, since, grains) == ({}, [])
+
+
+def test_raw_rows_are_read_only_beside_whole_minutes(filled):
+    since, until = RANGES[2]
+    plan = plan_text(agg.aggregate(filled, since, until, "1d"))
+    for table in ("logs", "minute_counts", "hourly_counts"):
+        assert f"/{table}/dt" in plan
+    whole = agg.aggregate(filled, BASE, BASE + timedelta(days=2), "1d")
+    assert "/daily_counts/dt" in plan_text(whole) and "hourly" not in plan_text(whole)
+    raw = filled.scan_logs_in(cover(since, until, agg.COVERS["1d"])[1]).collect()
+    ends = [(since, since + timedelta(minutes=1)), (until - timedelta(minutes=1), until)]
+    assert all(any(low <= r.timestamp < high for low, high in ends) for r in raw)
+
+
 def test_rollups_test_the_start_of_their_bucket(filled):
     since, until = BASE + timedelta(minutes=30), BASE + timedelta(hours=2, minutes=30)
     rolled = rows_of(agg.aggregate(filled, since, until, "1h", source="rollup"))
@@ -125,8 +170,27 @@ def test_cut_ranges_read_only_the_edges_raw(filled):
     assert plan.count("Arguments: hashpartitioning") == 1
 
 
+def test_drift_descends_only_where_hashes_differ(filled):
+    logs, partials = filled.scan_logs(), filled.scan_partials("minute")
+    keys = ["bucket", "service", "level"]
+    spoiled = (
+        partials.groupBy(*keys).agg(F.sum("count").alias("count"))
+        # One key more, one less, one moved to another level of the same hour: totals agree.
+        .withColumn("level", F.when(F.minute("bucket") == 17, F.lit("moved")).otherwise(F.col("level")))
+        .withColumn("count", F.when(F.minute("bucket") == 34, F.lit(2)).otherwise(F.col("count")))
+        .filter(F.minute("bucket") != 51)
+    )
+    found = rollup_drift(logs, spoiled, "minute")
+    raw = Counter((r.timestamp.replace(second=0, microsecond=0), r.service, r.level) for r in logs.collect())
+    rolled = Counter({(r.bucket, r.service, r.level): r["count"] for r in spoiled.collect()})
+    wanted = {k: (raw[k], rolled[k]) for k in raw | rolled if raw[k] != rolled[k]}
+    assert {(r.bucket, r.service, r.level): (r.raw, r.rollup) for r in found.collect()} == wanted and wanted
+    skipped = rollup_drift(logs, spoiled, "minute", skip_day=BASE.date()).collect()
+    assert {r.bucket for r in skipped} == {k[0] for k in wanted if k[0].date() != BASE.date()}
+
+
 def test_no_drift_and_visibility(filled):
-    for grain in ("minute", "hour"):
+    for grain in ("minute", "hour", "day"):
         drift = rollup_drift(filled.scan_logs(), filled.scan_partials(grain), grain)
         assert drift.count() == 0
     partial = filled.scan_partials("hour").filter("batch_id = 'one'")

@@ -143,7 +143,7 @@ def test_a_batch_without_its_counts_is_not_packed(store, logs):
     store.append_logs(logs([(day(0), "info", "a", "half")]), "half")
     compact_day(store, TODAY)
     assert sizes(store) == (7, 6, 6)
-    store.add_both_counts(store.scan_batch("half"), "half")
+    store.add_all_counts(store.scan_batch("half"), "half")
     assert sizes(store) == (7, 7, 7)
 
 
@@ -154,7 +154,7 @@ def test_a_rebuild_beside_a_load_counts_once(store, logs):
     for grain in ("hour", "minute"):
         store.rebuild_rollup(grain)
     assert sizes(store) == (7, 7, 7)
-    store.add_both_counts(store.scan_batch("new"), "new")
+    store.add_all_counts(store.scan_batch("new"), "new")
     assert sizes(store) == (7, 7, 7)
 
 
