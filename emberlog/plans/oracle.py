@@ -407,6 +407,11 @@ ORACLE: dict[str, str] = {
         FROM (SELECT * FROM documents WHERE lower(text) LIKE '%ation%' AND doc_id % 4 = 2
               ORDER BY doc_id DESC LIMIT 25)""",
     "q2_search_page": q(newest("service = 'timetable'", PAGE, 2 * PAGE)),
+    "q2_walk_pages": q(
+        f"""SELECT {LOG_ROW}, CAST((place - 1) // 1000 AS INTEGER) AS page FROM (
+          SELECT *, row_number() OVER (ORDER BY timestamp DESC, id DESC) AS place FROM logs
+          WHERE service = 'signals' AND level = 'error' AND {IN_RANGE})"""
+    ),
     "q3_next_cursor": q(
         f"""
         SELECT timestamp, id,
@@ -446,6 +451,7 @@ ORACLE: dict[str, str] = {
     "a8_aggregate_5m": q(counts("5m", None, f"{IN_RANGE} AND service = 'power'")),
     "a8_aggregate_1h": q(counts("1h", "service")),
     "a8_aggregate_1d": q(counts("1d", None, f"{IN_RANGE} AND level = 'warn'")),
+    "a8_aggregate_1d_by_service": q(counts("1d", "service")),
     "a8_aggregate_message": q(
         counts("1d", "service", f"{IN_RANGE} AND message ILIKE '%sensor_%'")
     ),
@@ -536,6 +542,16 @@ ORACLE: dict[str, str] = {
         CHECKED,
     ),
     "st2_live_counts_stream": q(rollup("minute")),
+    "st2_live_counts_window": q(
+        rollup("minute", f"timestamp >= {ts(LIVE_NOW - timedelta(minutes=14, seconds=30))}")
+    ),
+    "st2_live_state_stream": q(
+        rollup(
+            "minute",
+            "date_trunc('minute', timestamp) > "
+            "(SELECT date_trunc('minute', max(timestamp)) FROM logs) - INTERVAL 15 MINUTE",
+        )
+    ),
     "st3_live_tail": q(
         f"""
         SELECT {iso('timestamp')} AS timestamp, level, service, message, user_id
@@ -561,10 +577,12 @@ ORACLE: dict[str, str] = {
     "d5_default_range": _default_ranges(),
     "c1_rollup_drift_hour": q(DRIFT.format(bucket=iso("date_trunc('hour', timestamp)"))),
     "c1_rollup_drift_minute": q(DRIFT.format(bucket=iso("date_trunc('minute', timestamp)"))),
+    "c1_rollup_drift_day": q(DRIFT.format(bucket=iso("date_trunc('day', timestamp)"))),
     "c1_no_drift": "SELECT CAST(0 AS BIGINT) AS differences",
     "c2_run_visibility": q(
         f"SELECT count(*) AS visible FROM logs WHERE event_id % 4 = 2 AND {IN_RANGE}"
     ),
     "flagship": q(counts("1h", "service", "true")),
 }
+ORACLE["w3_rollup_increment_day"] = q(rollup("day"))
 ORACLE["a9_live_counts"] = ORACLE["a9_live_window"]

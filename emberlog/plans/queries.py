@@ -24,7 +24,7 @@ from emberlog.session import configure, scratch
 from emberlog.sources import envelopes as env
 from emberlog.sources import folders
 from emberlog.sources.compaction import compact_days, remove_replaced
-from emberlog.sources.store import LogStore
+from emberlog.sources.store import GRAINS, LogStore
 from emberlog.streaming import ingest, live, tail
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -289,6 +289,11 @@ def w3_rollup_increment_minute(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rollup_rows(tables.main_store(spark, sf_dir).scan_rollup("minute"))
 
 
+@query
+def w3_rollup_increment_day(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rollup_rows(tables.main_store(spark, sf_dir).scan_rollup("day"))
+
+
 @query
 def w4_rollup_rebuild(spark: SparkSession, sf_dir: str) -> DataFrame:
     store, logs = tables.new_store(spark, "rebuild"), tables.event_logs(spark, sf_dir)
@@ -544,6 +549,7 @@ ROUTED_COUNTS = {
     "a8_aggregate_5m": dict(bucket="5m", service="power"),
     "a8_aggregate_1h": dict(bucket="1h", group_by="service"),
     "a8_aggregate_1d": dict(bucket="1d", level="warn"),
+    "a8_aggregate_1d_by_service": dict(bucket="1d", group_by="service"),
     "a8_aggregate_message": dict(bucket="1d", group_by="service", q="sensor_"),
     "a8_aggregate_attribute": dict(bucket="1h", attr={"retries": "4"}),
 }
@@ -835,6 +841,26 @@ def st2_live_counts_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rollup_rows(live.read_live(spark, path))
 
 
+@query
+def st2_live_counts_window(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same stream with a clock: only the minutes of the window are kept."""
+    path = scratch(spark, "live")
+    live.live_counts_stream(
+        in_time_order(spark, sf_dir), path, scratch(spark, "checkpoint"), clock=lambda: LIVE_NOW
+    ).awaitTermination()
+    return rollup_rows(live.read_live(spark, path))
+
+
+@query
+def st2_live_state_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The window that ends with the newest event, from watermarked state."""
+    path = scratch(spark, "live-state")
+    live.live_state_stream(
+        in_time_order(spark, sf_dir), path, scratch(spark, "checkpoint")
+    ).awaitTermination()
+    return rollup_rows(live.read_live_state(spark, path))
+
+
 @query
 def st3_live_tail(spark: SparkSession, sf_dir: str) -> DataFrame:
     return run_tail(spark, sf_dir).select(
@@ -960,6 +986,7 @@ def _drift(grain: str) -> Query:
 
 named("c1_rollup_drift_hour", _drift("hour"))
 named("c1_rollup_drift_minute", _drift("minute"))
+named("c1_rollup_drift_day", _drift("day"))
 
 
 @query
@@ -967,9 +994,9 @@ def c1_no_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
     store = tables.main_store(spark, sf_dir)
     found = [
         quality.rollup_drift(store.scan_logs(), store.scan_partials(grain), grain)
-        for grain in ("hour", "minute")
+        for grain in GRAINS
     ]
-    return found[0].unionByName(found[1]).agg(F.count("*").alias("differences"))
+    return reduce(DataFrame.unionByName, found).agg(F.count("*").alias("differences"))
 
 
 @query

@@ -1,5 +1,8 @@
 """Live minute counts kept by a stream, answered by ``operators.aggregate``.
 
+Two forms: ``live_counts_stream`` adds up partials by the clock, ``live_state_stream`` keeps windows by
+event time in the state store.  Of the first:
+
 Every epoch adds the counts of its own new entries, so the table is a sum of partials like
 the rollups: nothing is lost to a watermark, and an epoch that runs again replaces its partial.
 Beside the counts stand the batches they come from; the table answers for a range only when
@@ -10,7 +13,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
-from datetime import date, datetime, timedelta
+from datetime import UTC, date, datetime, timedelta
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -87,6 +90,68 @@ def live_counts_stream(
     return writer.trigger(**trigger).start()
 
 
+def live_state_stream(
+    entries: DataFrame, path: str, checkpoint: str, *, every: str | None = None
+) -> StreamingQuery:
+    """Keep the last minutes of a stream by event time, counted in the state store.
+
+    The window ends with the newest entry and not with a clock.  The watermark lies the whole window
+    behind that entry, so a late entry of a minute in the window is always counted and the state of older
+    minutes is given up.  Every epoch writes the new totals of the minutes it changed; an epoch that
+    runs again replaces them.  Minutes that have left the window are not written: one that was given
+    up may come back with a part of its count.  The grouping column is the window itself, as
+    its start alone would carry no watermark.
+    """
+    spark = entries.sparkSession
+    late = f"{LIVE_WINDOW_MINUTES} minutes"
+    totals = (
+        entries.withWatermark("timestamp", late)
+        .groupBy(F.window("timestamp", "1 minute").alias("minute"), "service", "level")
+        .agg(F.count("*").alias("count"))
+    )
+
+    def store_totals(changed: DataFrame, epoch: int) -> None:
+        rows = changed.select(F.col("minute.start").alias("bucket"), "service", "level", "count").persist()
+        try:
+            folders.remove(spark, f"{path}/counts/epoch={epoch}")
+            newest = _newest(spark, path, rows)
+            if newest is not None:
+                kept = rows.filter(F.col("bucket") >= ts_lit(window_start(newest)))
+                _add(kept, f"{path}/counts", epoch)
+                prune_live(spark, path, newest)
+        finally:
+            rows.unpersist()
+
+    writer = totals.writeStream.outputMode("update").foreachBatch(store_totals)
+    trigger = {"processingTime": every} if every else {"availableNow": True}
+    return writer.option("checkpointLocation", checkpoint).trigger(**trigger).start()
+
+
+def _newest(spark: SparkSession, path: str, rows: DataFrame | None = None) -> datetime | None:
+    """The newest minute of a state table and some new rows, in UTC."""
+    known = spark.createDataFrame([], LIVE).select("bucket")
+    if folders.exists(spark, f"{path}/counts"):
+        known = spark.read.schema(LIVE).parquet(f"{path}/counts").select("bucket")
+    if rows is not None:
+        known = known.unionByName(rows.select("bucket"))
+    seconds = known.agg(F.max(F.unix_seconds("bucket"))).first()[0]
+    return None if seconds is None else datetime.fromtimestamp(seconds, UTC)
+
+
+def read_live_state(spark: SparkSession, path: str) -> DataFrame:
+    """(bucket, service, level, count) of the minutes in the window that ``live_state_stream`` keeps: of every
+    key the total its last epoch wrote."""
+    newest = _newest(spark, path)
+    if newest is None:
+        return spark.createDataFrame([], LIVE).select("bucket", "service", "level", "count")
+    rows = spark.read.schema(LIVE).parquet(f"{path}/counts")
+    return (
+        rows.filter(F.col("bucket") >= ts_lit(window_start(newest)))
+        .groupBy("bucket", "service", "level")
+        .agg(F.max_by("count", "epoch").alias("count"))
+    )
+
+
 def _add(rows: DataFrame, path: str, epoch: int) -> None:
     (
         rows.withColumn("epoch", F.lit(epoch).cast("bigint"))

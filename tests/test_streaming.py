@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import json
+from collections import Counter
 from datetime import UTC, datetime, timedelta
 
 import pytest
@@ -14,7 +15,14 @@ from emberlog.sources import folders
 from emberlog.sources.compaction import compact_day
 from emberlog.streaming import ingest
 from emberlog.streaming.ingest import ingest_bodies, ingest_stream
-from emberlog.streaming.live import LiveTable, live_counts_stream, prune_live, read_live
+from emberlog.streaming.live import (
+    LiveTable,
+    live_counts_stream,
+    live_state_stream,
+    prune_live,
+    read_live,
+    read_live_state,
+)
 from emberlog.streaming.tail import committed_entries, live_tail
 
 AS_OF = datetime(2026, 7, 21, 12, tzinfo=UTC)
@@ -182,3 +190,42 @@ def test_tail_shows_committed_rows_of_one_service(spark, store, logs):
     assert tailed(started_at=datetime.now(UTC) + timedelta(hours=1)).count() == 0
     with pytest.raises(ValueError, match="invalid level: 'loud'"):
         live_tail(store, level="loud")
+
+
+def test_live_state_follows_event_time(spark, logs):
+    """Late entries of the window count, older ones and a restart change nothing, state is given up."""
+    inbox, path, checkpoint = (scratch(spark, name) for name in ("inbox", "state", "checkpoint"))
+    start = datetime(2026, 7, 21, 10, 0)
+    held = []
+
+    def arrive(*entries):
+        rows = [(str(start + timedelta(minutes=m, seconds=s)), level, service, "m") for m, s, level, service in entries]
+        logs(rows).coalesce(1).write.mode("append").parquet(inbox)
+        held.extend(entries)
+        stream = spark.readStream.schema(logs(rows).schema).parquet(inbox)
+        query = live_state_stream(stream, path, checkpoint)
+        query.awaitTermination()
+        return query
+
+    def kept():
+        last = max(m for m, *_ in held)
+        counts = Counter((start + timedelta(minutes=m), svc, lvl) for m, _, lvl, svc in held if m > last - 15)
+        found = read_live_state(spark, path).collect()
+        assert {(r.bucket, r.service, r.level): r["count"] for r in found} == counts
+        assert len(found) == len(counts)
+
+    assert read_live_state(spark, path).collect() == []
+    arrive(*[(m, 7 * m % 60, "info", "ab"[m % 2]) for m in range(40)])
+    kept()
+    arrive((39, 59, "info", "b"), (30, 1, "warn", "a"), (26, 0, "info", "a"))  # late, in the window
+    kept()
+    arrive((45, 0, "info", "a"), (31, 30, "info", "b"), (3, 0, "info", "a"), (3, 1, "error", "b"))  # and before it
+    kept()
+    last = arrive((100, 0, "info", "a"))
+    kept()
+    assert read_live_state(spark, path).count() == 1
+    last = arrive((101, 0, "info", "a"))
+    kept()
+    states = [p.stateOperators[0].numRowsTotal for p in last.recentProgress if p.stateOperators]
+    assert states[-1] == 2, states  # only the minutes within reach of the watermark
+    assert all(int(folders.partition_values(p)["epoch"]) >= 3 for p in folders.matching(spark, f"{path}/counts/epoch=*"))
