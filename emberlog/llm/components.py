@@ -62,19 +62,20 @@ def _ordered(links: DataFrame) -> DataFrame:
 
 
 def _stars(links: DataFrame) -> DataFrame:
-    """One round: larger neighbours to the smallest neighbour, then smaller ones to it."""
+    """One round: larger neighbours to the smallest neighbour, then smaller ones to it.  Nothing is
+    broadcast: every broadcast passes through the driver, and there are two joins in each round."""
     both = links.select(F.col("low").alias("node"), F.col("high").alias("other")).union(
         links.select(F.col("high").alias("node"), F.col("low").alias("other"))
     )
     least = both.groupBy("node").agg(F.min("other").alias("least"))
     large = (
-        both.join(least, "node")
+        both.hint("merge").join(least.hint("merge"), "node")
         .where("other > node")
         .select(F.least("node", "least").alias("low"), F.col("other").alias("high"))
         .distinct()
     )
     least = large.groupBy("high").agg(F.min("low").alias("least"))
-    small = large.join(least, "high")
+    small = large.hint("merge").join(least.hint("merge"), "high")
     return _ordered(
         small.where("low > least").select(F.col("least").alias("low"), F.col("low").alias("high"))
         .union(small.where("low = least").select("low", "high"))

@@ -13,7 +13,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from emberlog.llm.text import bounded_batches, chunks, id_of, mix
@@ -22,7 +22,7 @@ from emberlog.llm.text import bounded_batches, chunks, id_of, mix
 SLOTS = 4096
 #: Bytes per gram.
 GRAMS = (1, 2, 3)
-#: Training rows per language, at most about so many.
+#: Training rows per language, at most.
 ROWS_PER_LANGUAGE = 600
 UNDETERMINED = "und"
 _U = np.uint64
@@ -155,8 +155,9 @@ def train(
     lang_col: str = "lang",
     rows_per_language: int = ROWS_PER_LANGUAGE,
 ) -> Model | None:
-    """Learn from about ``rows_per_language`` rows of each language, chosen by a hash of the id
-    among the rows that have a text and a language and are not held out; None without any."""
+    """Learn from at most ``rows_per_language`` rows of each language, chosen by a hash of id and text
+    among the rows that have a text and a language and are not held out; None without any.  Equal
+    rows count once."""
     bounded_batches(docs.sparkSession)
     known = docs.select(
         id_of(id_col).alias("doc"),
@@ -164,14 +165,22 @@ def train(
         F.col(lang_col).cast("string").alias("lang"),
         held_out(F.col(id_col)).alias("held"),
     ).where("not held and text rlike '\\\\p{L}' and lang is not null")
+    draw = F.xxhash64(F.lit("train"), "doc", "text")
+    known = known.select("doc", "lang", "text", draw.alias("draw"))
     counts = dict(known.groupBy("lang").count().orderBy("lang").collect())
     if not counts:
         return None
+    # Twice as many as wanted, equal rows once, and of these the first ones: never more.  The
+    # first row of a language is always there, however its rows repeat.
     share = F.lit(0.0)
     for name, count in counts.items():
-        share = F.when(F.col("lang") == name, min(1.0, rows_per_language / count)).otherwise(share)
-    draw = F.pmod(F.xxhash64(F.lit("train"), "doc"), F.lit(1 << 30)) / float(1 << 30)
-    some = known.where(draw < share).select("doc", "lang", "text")
+        share = F.when(F.col("lang") == name, min(1.0, 2 * rows_per_language / count)).otherwise(share)
+    some = known.where(F.pmod("draw", F.lit(1 << 30)) / float(1 << 30) < share)
+    first = known.groupBy("lang").agg(F.min(F.struct("draw", "doc", "text")).alias("row"))
+    some = some.unionByName(first.select("lang", "row.*")).dropDuplicates(["lang", "draw"])
+    turn = F.row_number().over(Window.partitionBy("lang").orderBy(F.pmod("draw", F.lit(1 << 30)), "draw"))
+    some = some.withColumn("turn", turn).where(F.col("turn") <= rows_per_language)
+    some = some.select("doc", "lang", "text")
 
     def profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -182,7 +191,7 @@ def train(
                     [part.column(0), part.column(1), flat], names=["doc", "lang", "profile"]
                 )
 
-    # About rows_per_language rows of two bytes per slot for each language.
+    # At most rows_per_language rows of two bytes per slot for each language.
     rows = some.mapInArrow(profile, "doc long, lang string, profile binary").collect()
     rows.sort(key=lambda r: (r.doc, r.lang, bytes(r.profile)))
     matrix = np.stack([np.frombuffer(r.profile, np.float16).astype(np.float32) for r in rows])

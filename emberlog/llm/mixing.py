@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from emberlog.llm.text import id_of, null_id
+from emberlog.session import scratch
 
 BLOCK_WORDS = 64
 SHARD_WORDS = 1 << 20
@@ -63,13 +64,9 @@ def targets(sizes: DataFrame, weights: tuple[float, ...], share: float, most: fl
     return leveled.select("source", "source_size", target.alias("target"))
 
 
-def placed(docs: DataFrame, id_col: str, text_col: str, source_col: str, seed: int) -> DataFrame:
-    """(doc, source, size, start): where each document's words begin in its source's stream."""
-    sized = docs.select(
-        id_of(id_col).alias("doc"),
-        F.col(source_col).cast("string").alias("source"),
-        word_count(F.col(text_col)).alias("size"),
-    ).withColumn("mark", F.xxhash64(F.lit(seed), "doc"))
+def placed(sized: DataFrame, seed: int) -> DataFrame:
+    """(doc, source, size, start) from (doc, source, size): where each document's words begin in its source's stream."""
+    sized = sized.withColumn("mark", F.xxhash64(F.lit(seed), "doc"))
     sized = sized.withColumn("part", F.pmod("mark", F.lit(ORDER_PARTS)))
     totals = sized.groupBy("source", "part").agg(F.sum("size").alias("words"))
     ahead = Window.partitionBy("source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
@@ -114,7 +111,10 @@ def slots(wanted: DataFrame, block_words: int, shard_words: int, seed: int) -> D
     plan = plan.withColumn("step", step)
     runs = plan.withColumn(
         "first", F.explode(F.sequence(F.lit(0).cast("long"), F.col("slots") - 1, F.col("step")))
-    ).repartition("source", "first")
+    )
+    # A few rows that become many: so many tasks are asked for, as their size would not say so.
+    tasks = int(wanted.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    runs = runs.repartition(tasks, "source", "first")
     last = F.least(F.col("first") + F.col("step"), F.col("slots")) - 1
     numbered = runs.withColumn("slot", F.explode(F.sequence("first", last)))
     turn = F.floor(F.col("slot") / F.col("blocks"))
@@ -170,14 +170,22 @@ def mix(
     seed give the same mix, however they are partitioned.
     """
     where, wanted = _plan(docs, id_col, text_col, source_col, weights, share, most, seed)
+    mixed = _mixed(where, wanted, block_words, shard_words, seed)
+    part = (F.col("start") + F.col("at")) % block_words
+    return mixed.select(
+        "shard", "source", "slot", part.alias("part"), null_id("doc").alias(id_col), "at", "words"
+    )
+
+
+def _mixed(
+    where: DataFrame, wanted: DataFrame, block_words: int, shard_words: int, seed: int
+) -> DataFrame:
+    """(shard, source, slot, doc, start, at, words): slots joined to the parts of their blocks."""
     taken = slots(wanted, block_words, shard_words, seed).alias("s")
     parts = pieces(where, block_words).alias("p")
     same = _same_source("s", "p") & (F.col("s.block") == F.col("p.block"))
-    both = _merged(taken, parts, same)
-    part = (F.col("p.start") + F.col("p.at")) % block_words
-    return both.select(
-        "s.shard", "s.source", "s.slot", part.alias("part"),
-        null_id(F.col("p.doc")).alias(id_col), "p.at", "p.words",
+    return _merged(taken, parts, same).select(
+        "s.shard", "s.source", "s.slot", "p.doc", "p.start", "p.at", "p.words"
     )
 
 
@@ -198,12 +206,16 @@ def mixed_texts(
 
 
 def _plan(docs, id_col, text_col, source_col, weights, share, most, seed):
-    where = placed(docs, id_col, text_col, source_col, seed)
-    sized = docs.select(
-        F.col(source_col).cast("string").alias("source"), word_count(F.col(text_col)).alias("size")
-    )
+    spark = docs.sparkSession
+    path = scratch(spark, "sizes")  # texts are read once; three numbers a row are kept
+    docs.select(
+        id_of(id_col).alias("doc"),
+        F.col(source_col).cast("string").alias("source"),
+        word_count(F.col(text_col)).alias("size"),
+    ).write.parquet(path)
+    sized = spark.read.schema("doc long, source string, size long").parquet(path)
     sizes = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
-    return where, targets(sizes, weights, share, most)
+    return placed(sized, seed), targets(sizes, weights, share, most)
 
 
 def taken_words(
@@ -215,18 +227,17 @@ def taken_words(
     share: float = 1.5,
     most: float = 2.0,
     block_words: int = BLOCK_WORDS,
+    shard_words: int = SHARD_WORDS,
     seed: int = 7,
 ) -> DataFrame:
-    """Per document what ``mix`` takes of it: (id_col, size, source, source_size, target, taken), with
-    the same treatment of nulls, repeated rows, other columns and empty tables."""
+    """Per document what ``mix`` takes of it: (id_col, size, source, source_size, target, taken,
+    first_shard), summed over the parts of the mix; ``first_shard`` is the smallest shard that holds some of it, null
+    if none does.  The same treatment of nulls, repeated rows, other columns and empty tables."""
     where, wanted = _plan(docs, id_col, text_col, source_col, weights, share, most, seed)
-    taken = slots(wanted, block_words, SHARD_WORDS, seed)
-    times = taken.groupBy("source", "block").agg(F.count("*").alias("times")).alias("t")
-    parts = pieces(where, block_words).alias("p")
-    met = _merged(parts, times, _same_source("p", "t") & (F.col("p.block") == F.col("t.block")))
+    mixed = _mixed(where, wanted, block_words, shard_words, seed)
     # A document is known by its place in its source's stream.
-    drawn = met.groupBy("p.source", "p.start", "p.doc").agg(
-        F.sum(F.col("p.words") * F.col("t.times")).alias("taken")
+    drawn = mixed.groupBy("source", "start", "doc").agg(
+        F.sum("words").alias("taken"), F.min("shard").alias("first_shard")
     ).alias("g")
     d, w = where.alias("d"), wanted.alias("w")
     same = (
@@ -235,5 +246,5 @@ def taken_words(
     )
     return _merged(d, drawn, same, "left").join(w, _same_source("d", "w")).select(
         null_id(F.col("d.doc")).alias(id_col), "d.size", "d.source", "w.source_size", "w.target",
-        F.coalesce(F.col("g.taken"), F.lit(0)).cast("long").alias("taken"),
+        F.coalesce(F.col("g.taken"), F.lit(0)).cast("long").alias("taken"), "g.first_shard",
     )

@@ -24,6 +24,7 @@ from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -95,9 +96,9 @@ def apart(one: int, one_bits: int, two: int, two_bits: int) -> int:
     return (one ^ two).bit_count()
 
 
-def _index(texts: DataFrame, width: int, percent: int, make) -> DataFrame:
+def _index(texts: DataFrame, width: int, percent: int, make) -> tuple[DataFrame, Broadcast]:
     """One row per text: its set's size and digest, signatures, bitmap and tokens (the last
-    three only if it has signatures)."""
+    three only if it has signatures); and the sketch to release when the rows are written."""
 
     def values(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
         held, size = [], 0
@@ -144,7 +145,7 @@ def _index(texts: DataFrame, width: int, percent: int, make) -> DataFrame:
                 schema=schema,
             )
 
-    return texts.mapInArrow(index, _SETS)
+    return texts.mapInArrow(index, _SETS), classes
 
 
 def _close_bitmaps(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -376,9 +377,11 @@ def row_classes(
     ``first, first_fp``, the smallest (doc, fp) reachable by links."""
     spark = docs.sparkSession
     path = scratch(spark, "sets")
-    _index(
+    rows, sketch = _index(
         keyed(docs, id_col, text_col), width, percent, lambda: Classes(filter_bits, counters, often)
-    ).write.parquet(path)
+    )
+    rows.write.parquet(path)
+    sketch.destroy()
     sets = spark.read.schema(_SETS).parquet(path)
 
     # A node of the graph is a row's (doc, fp), numbered in no order.

@@ -63,7 +63,7 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     taken = mixing.taken_words(table(spark, sf_dir, "documents"))
-    return taken.select("doc_id", "size", "source_size", "target", "taken")
+    return taken.select("doc_id", "size", "source_size", "target", "taken", "first_shard")
 
 
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
