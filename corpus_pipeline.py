@@ -17,11 +17,16 @@ from emberlog.llm.text import id_of
 from emberlog.session import scratch
 
 
+def _whole(docs: DataFrame) -> DataFrame:
+    """(row, doc, fp): every row as one column, beside which no name can clash."""
+    row = F.struct(*[F.col(f"`{name}`") for name in docs.columns])
+    return docs.select(row.alias("row"), id_of("doc_id").alias("doc"), _print().alias("fp"))
+
+
 def _rows(docs: DataFrame, rows: DataFrame, how: str) -> DataFrame:
     """The rows of ``docs`` whose id and text are among ``rows`` (doc, fp), or are not."""
-    named = rows.select(F.col("doc").alias("_doc"), F.col("fp").alias("_fp")).distinct()
-    same = (id_of("doc_id") == F.col("_doc")) & (_print() == F.col("_fp"))
-    return docs.join(named, same, how)
+    named = rows.select("doc", "fp").distinct()
+    return _whole(docs).join(named, ["doc", "fp"], how).select("row.*")
 
 
 def _print() -> Column:
@@ -55,10 +60,10 @@ def one_of_similar(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     repeated = linked.where("rows > 1 and doc = first and fp = first_fp")
     if not repeated.take(1):
         return kept
-    row = F.xxhash64(id_of("doc_id"), _print())
-    some = members(repeated.select(F.xxhash64("doc", "fp")), 1 << 24)(docs.withColumn("_row", row), "_row")
-    some = _rows(some.drop("_row"), repeated, "left_semi")
-    one = some.groupBy(id_of("doc_id"), _print()).agg(F.min(F.struct(*docs.columns)).alias("row"))
+    whole = _whole(docs).withColumn("key", F.xxhash64("doc", "fp"))
+    some = members(repeated.select(F.xxhash64("doc", "fp")), 1 << 24)(whole, "key")
+    some = some.join(repeated.select("doc", "fp"), ["doc", "fp"], "left_semi")
+    one = some.groupBy("doc", "fp").agg(F.min_by("row", F.xxhash64(F.to_json("row"))).alias("row"))
     return kept.union(one.select("row.*"))
 
 

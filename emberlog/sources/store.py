@@ -38,7 +38,7 @@ GRAINS = {"minute": "1m", "hour": "1h", "day": "1d"}
 _FOLDERS = {"minute": "minute", "hour": "hourly", "day": "daily"}
 
 #: Bytes of a Bloom filter, at most; with more values it lets more row groups through.
-FILTER_BYTES = 1 << 18
+FILTER_BYTES = 1 << 17
 
 _BATCH_NAME = re.compile(r"[A-Za-z0-9_.-]+")
 
@@ -56,8 +56,12 @@ def with_filters(writer: DataFrameWriter) -> DataFrameWriter:
         writer = writer.option(f"parquet.bloom.filter.enabled#{name}", "true")
         # A column with a dictionary gets no Bloom filter.
         writer = writer.option(f"parquet.enable.dictionary#{name}", "false")
-    return writer.option("parquet.bloom.filter.adaptive.enabled", "true").option(
-        "parquet.bloom.filter.max.bytes", str(FILTER_BYTES)
+    return writer.options(
+        **{
+            "parquet.bloom.filter.adaptive.enabled": "true",
+            "parquet.bloom.filter.candidates.number": "3",
+            "parquet.bloom.filter.max.bytes": str(FILTER_BYTES),
+        }
     )
 
 
