@@ -2,7 +2,8 @@
 
 Every round first contracts what meets in one task, then links all larger neighbours of a
 node to its smallest one, then all smaller neighbours likewise.  Each round is written
-to the shared folder, so a lost executor costs one round.
+to the shared folder, so a lost executor costs one round.  A graph that has become smaller than what a
+task contracts at a time needs no further round.
 """
 
 from __future__ import annotations
@@ -18,6 +19,7 @@ from emberlog.session import scratch
 
 #: Links contracted together inside a task.
 FOREST_LINKS = 1 << 19
+_LINKS = "low long, high long"
 
 
 def _forest(low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -89,12 +91,20 @@ def components(links: DataFrame) -> DataFrame:
     a, b = links.columns[:2]
     links = links.select(F.col(a).alias("low"), F.col(b).alias("high")).dropna()
     links = links.where("low != high")
+
+    def written(rows: DataFrame) -> DataFrame:
+        path = scratch(spark, "links")
+        rows.write.parquet(path)
+        return spark.read.schema(_LINKS).parquet(path)
+
+    links = written(links.mapInArrow(_contract, _LINKS))
     before = None
     while True:
-        path = scratch(spark, "links")
-        local = links.mapInArrow(_contract, "low long, high long")
-        _stars(local).write.parquet(path)
-        links = spark.read.schema("low long, high long").parquet(path)
+        if links.limit(FOREST_LINKS).count() < FOREST_LINKS:
+            # So few are left that one task holds them, as it held its own share before.
+            links = written(links.coalesce(1).mapInArrow(_contract, _LINKS))
+            break
+        links = written(_stars(links.mapInArrow(_contract, _LINKS)))
         now = links.agg(
             F.count("*"), F.expr("bit_xor(xxhash64(low, high))"), F.sum(F.xxhash64("high") % 65536)
         ).first()

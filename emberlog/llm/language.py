@@ -192,10 +192,11 @@ def train(
                 )
 
     # At most rows_per_language rows of two bytes per slot for each language.
-    rows = some.mapInArrow(profile, "doc long, lang string, profile binary").collect()
-    rows.sort(key=lambda r: (r.doc, r.lang, bytes(r.profile)))
-    matrix = np.stack([np.frombuffer(r.profile, np.float16).astype(np.float32) for r in rows])
-    return Model(matrix, [r.lang for r in rows])
+    rows = some.mapInArrow(profile, "doc long, lang string, profile binary").toArrow()
+    rows = rows.sort_by([("doc", "ascending"), ("lang", "ascending"), ("profile", "ascending")])
+    flat = rows["profile"].combine_chunks().to_pylist()
+    matrix = np.stack([np.frombuffer(p, np.float16) for p in flat]).astype(np.float32)
+    return Model(matrix, rows["lang"].to_pylist())
 
 
 def identify(
