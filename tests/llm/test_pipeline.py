@@ -18,7 +18,7 @@ SF_DIR = "/root/testdata/sf0.001"
 def test_names():
     names = contract.queries()
     assert "pipeline" in names
-    for number in range(1, 11):
+    for number in range(1, 14):
         assert len([n for n in names if n.startswith(f"op{number}_")]) == 1
 
 
