@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from emberlog.llm.text import bounded_batches
+from emberlog.session import scratch
 
 #: Where the vocabulary files of public tokenizers lie; read, never copied.
 TOKENIZERS = "/opt/tokenizers"
@@ -79,7 +80,11 @@ def length_report(lengths: DataFrame) -> DataFrame:
     Only the histogram is summed over, in groups of lengths.  Empty in, empty out; a null
     length is left out.
     """
-    table = lengths.where("tokens is not null").groupBy("tokens").agg(F.count("*").alias("n_docs"))
+    spark = lengths.sparkSession
+    path = scratch(spark, "histogram")  # summed over twice, made once
+    found = lengths.where("tokens is not null").groupBy("tokens").agg(F.count("*").alias("n_docs"))
+    found.write.parquet(path)
+    table = spark.read.schema(found.schema).parquet(path)
     table = table.withColumn("n_tokens", F.col("tokens") * F.col("n_docs")).withColumn(
         "part", F.floor(F.col("tokens") / LENGTH_GROUP)
     )
