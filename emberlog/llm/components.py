@@ -58,26 +58,30 @@ def _contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield out()
 
 
+def sort_joined(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
+    """A join of tables that grow with the rows: never broadcast, as that would pass through the driver."""
+    return left.hint("merge").join(right.hint("merge"), on, how)
+
+
 def _ordered(links: DataFrame) -> DataFrame:
     links = links.select(F.least("low", "high").alias("low"), F.greatest("low", "high").alias("high"))
     return links.where("low < high").distinct()
 
 
 def _stars(links: DataFrame) -> DataFrame:
-    """One round: larger neighbours to the smallest neighbour, then smaller ones to it.  Nothing is
-    broadcast: every broadcast passes through the driver, and there are two joins in each round."""
+    """One round: larger neighbours to the smallest neighbour, then smaller ones to it."""
     both = links.select(F.col("low").alias("node"), F.col("high").alias("other")).union(
         links.select(F.col("high").alias("node"), F.col("low").alias("other"))
     )
     least = both.groupBy("node").agg(F.min("other").alias("least"))
     large = (
-        both.hint("merge").join(least.hint("merge"), "node")
+        sort_joined(both, least, ["node"])
         .where("other > node")
         .select(F.least("node", "least").alias("low"), F.col("other").alias("high"))
         .distinct()
     )
     least = large.groupBy("high").agg(F.min("low").alias("least"))
-    small = large.hint("merge").join(least.hint("merge"), "high")
+    small = sort_joined(large, least, ["high"])
     return _ordered(
         small.where("low > least").select(F.col("least").alias("low"), F.col("low").alias("high"))
         .union(small.where("low = least").select("low", "high"))

@@ -28,7 +28,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from emberlog.llm.components import components
+from emberlog.llm.components import components, sort_joined
 from emberlog.llm.sketches import Classes, members, merged, sketch_rows
 from emberlog.llm.text import keyed, mix, null_id, shingle_sets
 from emberlog.session import scratch
@@ -151,9 +151,8 @@ def _index(texts: DataFrame, width: int, percent: int, make) -> tuple[DataFrame,
 def _close_bitmaps(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs whose bitmaps do not rule them out."""
     bits = sets.select("doc", "fp", "bits")
-    wide = pairs.join(bits.toDF("a", "fa", "bits_a"), ["a", "fa"]).join(
-        bits.toDF("b", "fb", "bits_b"), ["b", "fb"]
-    )
+    wide = sort_joined(pairs, bits.toDF("a", "fa", "bits_a"), ["a", "fa"])
+    wide = sort_joined(wide, bits.toDF("b", "fb", "bits_b"), ["b", "fb"])
 
     def prune(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -183,16 +182,16 @@ def _links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     items = keep(sets.where("items is not null").select("doc", "fp", "items", row), "row").drop("row")
     sizes = pairs.groupBy("a", "fa").agg(F.count("*").alias("size"))
     split = F.pmod(F.xxhash64("b", "fb"), F.ceil(F.col("size") / STAR_ROWS))
-    others = pairs.join(sizes, ["a", "fa"]).withColumn("part", split.cast("long"))
+    others = sort_joined(pairs, sizes, ["a", "fa"]).withColumn("part", split.cast("long"))
     centres = others.select("a", "fa", "part").distinct()
     rows = (
-        centres.join(items.toDF("a", "fa", "items"), ["a", "fa"])
+        sort_joined(centres, items.toDF("a", "fa", "items"), ["a", "fa"])
         .select(
             "a", "fa", "part", F.lit(False).alias("other"),
             F.col("a").alias("b"), F.col("fa").alias("fb"), "items",
         )
         .union(
-            others.join(items.toDF("b", "fb", "items"), ["b", "fb"]).select(
+            sort_joined(others, items.toDF("b", "fb", "items"), ["b", "fb"]).select(
                 "a", "fa", "part", F.lit(True).alias("other"), "b", "fb", "items"
             )
         )
@@ -236,7 +235,7 @@ def _cells(placed: DataFrame, percent: int) -> DataFrame:
     ).where("low != high").select("sig", "size").write.parquet(path)
     lists = spark.read.parquet(path)
     columns = ("sig", "cell", "half", "doc", "fp", "n", "component")
-    whole = placed.join(lists.where(F.col("size") <= TILE), "sig", "left_semi").select(
+    whole = sort_joined(placed, lists.where(F.col("size") <= TILE), ["sig"], "left_semi").select(
         "*", F.lit(-1).cast("long").alias("cell"), F.lit(None).cast("int").alias("half")
     ).select(*columns)
     long = lists.where(F.col("size") > TILE)
@@ -245,18 +244,18 @@ def _cells(placed: DataFrame, percent: int) -> DataFrame:
 
     # Rows two bands apart are never of comparable size; the bands are a little too wide for that.
     band = F.floor(F.log("n") / F.log(F.lit(100.1 / percent))).alias("band")
-    rows = placed.join(long, "sig", "left_semi").select("sig", "doc", "fp", "n", "component", band)
+    rows = sort_joined(placed, long, ["sig"], "left_semi").select("sig", "doc", "fp", "n", "component", band)
     groups = rows.groupBy("sig", "band", "component").agg(F.count("*").alias("size"))
     alone = F.col("size") > TILE
     mixed = groups.where(~alone).groupBy("sig", "band").agg(F.sum("size").alias("total"))
-    owners = groups.join(mixed, ["sig", "band"], "left").select(
+    owners = sort_joined(groups, mixed, ["sig", "band"], "left").select(
         "sig", "band", "component",
         F.when(alone, F.col("component")).otherwise(F.lit(-1)).alias("owner"),
         F.ceil(F.when(alone, F.col("size")).otherwise(F.col("total")) / TILE).alias("parts"),
     )
     dealt = F.when(F.col("owner") < 0, F.xxhash64("component")).otherwise(F.xxhash64("doc", "fp"))
     path = scratch(spark, "tiles")
-    rows.join(owners, ["sig", "band", "component"]).withColumn(
+    sort_joined(rows, owners, ["sig", "band", "component"]).withColumn(
         "part", F.pmod(dealt, F.col("parts"))
     ).drop("parts").write.parquet(path)
     rows = spark.read.parquet(path)
@@ -265,8 +264,8 @@ def _cells(placed: DataFrame, percent: int) -> DataFrame:
     tiles = rows.select("sig", *tile).distinct()
     one, two = (F.struct(*(F.col(f"{c}_{end}").alias(c) for c in tile)) for end in "ab")
     path = scratch(spark, "cells")
-    tiles.toDF("sig", *(f"{c}_a" for c in tile)).join(
-        tiles.toDF("sig", *(f"{c}_b" for c in tile)), "sig"
+    sort_joined(
+        tiles.toDF("sig", *(f"{c}_a" for c in tile)), tiles.toDF("sig", *(f"{c}_b" for c in tile)), ["sig"]
     ).where(one <= two).where("band_b - band_a <= 1 and (owner_a < 0 or owner_a != owner_b)").withColumn(
         "cell", F.monotonically_increasing_id()
     ).withColumn("itself", one == two).write.parquet(path)
@@ -275,7 +274,7 @@ def _cells(placed: DataFrame, percent: int) -> DataFrame:
     ends = cells.select("sig", *(F.col(f"{c}_a").alias(c) for c in tile), "cell", half).union(
         cells.where("not itself").select("sig", *(f"{c}_b" for c in tile), "cell", F.lit(1))
     )
-    return whole.union(rows.join(ends, ["sig", *tile]).select(*columns))
+    return whole.union(sort_joined(rows, ends, ["sig", *tile]).select(*columns))
 
 
 def _rest_of_lists(rows: DataFrame, percent: int, one_each: bool) -> DataFrame:
@@ -392,29 +391,24 @@ def row_classes(
     numbers = full.select("doc", "fp", "node")
 
     def numbered(links: DataFrame) -> DataFrame:
-        return (
-            links.join(numbers.toDF("a", "fa", "one"), ["a", "fa"])
-            .join(numbers.toDF("b", "fb", "two"), ["b", "fb"])
-            .select("one", "two")
-        )
+        one = sort_joined(links, numbers.toDF("a", "fa", "one"), ["a", "fa"])
+        return sort_joined(one, numbers.toDF("b", "fb", "two"), ["b", "fb"]).select("one", "two")
 
     classes = full.groupBy("d1", "d2").agg(F.min(F.struct("doc", "fp", "node")).alias("first"))
-    members = full.select("node", "d1", "d2").join(classes, ["d1", "d2"])
+    members = sort_joined(full.select("node", "d1", "d2"), classes, ["d1", "d2"])
     same = members.select(F.col("node").alias("one"), F.col("first.node").alias("two")).where("one != two")
 
     path = scratch(spark, "lists")
     firsts = classes.select("first.*")
     listed = (
-        sets.where(F.size("sigs") > 0)
-        .select("doc", "fp", "n", "sigs")
-        .join(firsts, ["doc", "fp"])
+        sort_joined(sets.where(F.size("sigs") > 0).select("doc", "fp", "n", "sigs"), firsts, ["doc", "fp"])
         .dropDuplicates(["node"])
         .select("doc", "fp", "n", "node", F.explode(F.array_distinct("sigs")).alias("sig"))
     )
     centres = listed.groupBy("sig").agg(
         F.min(F.struct("doc", "fp", "n")).alias("centre"), F.count("*").alias("size")
     )
-    listed.join(centres.where("size > 1"), "sig").write.parquet(path)
+    sort_joined(listed, centres.where("size > 1"), ["sig"]).write.parquet(path)
     listed = spark.read.parquet(path)
 
     def near(a: str, b: str):
@@ -430,6 +424,9 @@ def row_classes(
         .where(near("na", "nb"))
         .distinct()
     )
+    path = scratch(spark, "stars")
+    stars.write.parquet(path)
+    stars = spark.read.parquet(path)
     path = scratch(spark, "linked")
     numbered(_links(stars, sets, percent)).union(same).distinct().write.parquet(path)
     linked = spark.read.parquet(path)
@@ -440,14 +437,14 @@ def row_classes(
     tested = stars.select("a", "fa", "b", "fb")
     for one_each in (True, False):
         placed = (
-            listed.select("sig", "doc", "fp", "n", "node")
-            .join(found, "node", "left")
+            sort_joined(listed.select("sig", "doc", "fp", "n", "node"), found, ["node"], "left")
             .withColumn("component", F.coalesce("component", "node"))
         )
         bits = sets.select("doc", "fp", "bits")
-        rest = _rest_of_lists(_cells(placed, percent).join(bits, ["doc", "fp"]), percent, one_each)
+        cells = sort_joined(_cells(placed, percent), bits, ["doc", "fp"])
+        rest = _rest_of_lists(cells, percent, one_each)
         path = scratch(spark, "rest")
-        rest.join(tested, ["a", "fa", "b", "fb"], "left_anti").write.parquet(path)
+        sort_joined(rest, tested, ["a", "fa", "b", "fb"], "left_anti").write.parquet(path)
         rest = spark.read.parquet(path)
         if not rest.take(1):
             if one_each:
@@ -459,10 +456,10 @@ def row_classes(
         later = spark.read.parquet(path)
         if later.take(1):
             found = components(later.union(found.select("node", "component")))
-    placed = numbers.join(found, "node")
+    placed = sort_joined(numbers, found, ["node"])
     least = placed.groupBy("component").agg(F.min(F.struct("doc", "fp")).alias("least"))
-    placed = placed.join(least, "component").select("doc", "fp", "least")
-    out = sets.select("doc", "fp", "n").join(placed, ["doc", "fp"], "left")
+    placed = sort_joined(placed, least, ["component"]).select("doc", "fp", "least")
+    out = sort_joined(sets.select("doc", "fp", "n"), placed, ["doc", "fp"], "left")
     return out.select(
         "doc", "fp", "n",
         F.coalesce("least.doc", "doc").alias("first"),
