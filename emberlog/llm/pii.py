@@ -2,7 +2,7 @@
 
 Exact patterns give the base spans.  Looser patterns give further candidates (numbers without
 a country code, shorter cards, written-out addresses, long-form IP addresses, matches that failed a
-check).  Labelers vote on every candidate: pattern, checksum, gazetteer, context, borders, variety.
+check) and secrets: long mixed runs such as access tokens, which no base pattern describes.  Labelers vote on every candidate: pattern, checksum, gazetteer, context, borders, variety.
 Expectation-maximisation over the counts of all vote patterns of all documents estimates how
 reliable each labeler is, and from its soft labels a logistic classifier is trained, which decides
 about the candidates that are not base spans.  What reaches the driver is one row per pattern of votes,
@@ -21,7 +21,9 @@ from pyspark.sql import functions as F
 
 from emberlog.llm.text import bounded_batches
 
-KINDS = ("email", "ip", "card", "phone")
+BASE_KINDS = ("email", "ip", "card", "phone")
+#: Secrets are only ever added: they have no exact pattern.
+KINDS = (*BASE_KINDS, "secret")
 LABELERS = ("pattern", "checksum", "gazetteer", "context", "borders", "variety")
 CHECKSUM = LABELERS.index("checksum")
 #: A candidate that is no base span is added from this probability on, unless it fails its checksum.
@@ -42,16 +44,26 @@ _HOST = re.compile(
 _LOCAL_PHONE = re.compile(r"\(?[0-9]{3}\)?[\x20.-][0-9]{3}[\x20.-][0-9]{4}")
 _LONG_IP = re.compile(r"[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){7}")
 
+#: A secret has at least so many characters, a letter and a digit.
+SECRET_CHARS = 20
+_SECRET = re.compile(r"[A-Za-z0-9_+/-]{%d,}" % SECRET_CHARS)
+_ASSIGNED = re.compile(
+    r"(?:token|secret|password|passwd|pwd|key|auth|bearer)[\"']?\s?[:=\s]\s?[\"']?\Z", re.IGNORECASE
+)
+_UUID = re.compile(r"[0-9A-Fa-f]{8}(?:-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}\Z")
+
 _LETTERS = set("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789._%+-")
 
 # Gazetteers and context words.
 _TOP_DOMAINS = frozenset("com org net edu gov info io de fr es it uk eu ch at us ca mx".split())
 _CARD_STARTS = ("34", "37", "4", "51", "52", "53", "54", "55", "6011", "65")
+_SECRET_STARTS = ("AKIA", "ghp_", "gho_", "sk-", "sk_", "pk_", "xox", "AIza", "eyJ")
 _NEAR = {
     "email": "mail email e-mail contact write courriel correo kontakt",
     "ip": "ip host server address login client adresse",
     "card": "card visa credit payment carte tarjeta karte",
     "phone": "phone tel call mobile fax telefon telefono telephone",
+    "secret": "token secret password passwd pwd key auth bearer credential credentials login",
 }
 _NEAR = {kind: frozenset(words.split()) for kind, words in _NEAR.items()}
 _AGAINST = frozenset("version isbn issn order invoice serial build sha checksum id".split())
@@ -152,9 +164,20 @@ def candidate_spans(text: str, base: list[tuple[str, int, int]]) -> list[tuple[s
         host = _HOST.match(text, found.end())
         if name and host:
             loose("email", name.start(), host.end())
+    for found in _SECRET.finditer(text):
+        span = found.group()
+        if any("0" <= c <= "9" for c in span) and any(c.isalpha() for c in span):
+            loose("secret", *found.span())
     return out
 
 
+def _switches(span: str) -> int:
+    """How often digits and other characters take turns: often in random runs, seldom in names."""
+    digit = np.frombuffer(span.encode("ascii"), np.uint8)
+    digit = (digit >= 48) & (digit <= 57)
+    return int((digit[1:] != digit[:-1]).sum())
+
+
 def votes(text: str, kind: str, start: int, end: int, base: bool) -> tuple[int, ...]:
     """One vote per labeler: 1 for personal data, -1 against, 0 for none."""
     span = text[start:end]
@@ -170,6 +193,10 @@ def votes(text: str, kind: str, start: int, end: int, base: bool) -> tuple[int,
         parts = span.split(".")
         checksum = 1 if len(parts) != 4 or all(len(p) < 4 and int(p) <= 255 for p in parts) else -1
         gazetteer = -1 if parts[0] in ("0", "255") else 0
+    elif kind == "secret":
+        pattern = 1 if _ASSIGNED.search(text, max(0, start - CONTEXT_CHARS), start) else -1
+        checksum = 1 if 8 * _switches(span) >= len(span) else -1
+        gazetteer = 1 if span.startswith(_SECRET_STARTS) else -1 if _UUID.match(span) else 0
     else:
         checksum = 1 if ".." not in span else -1
         last = re.split(r"[.)\]\x20]+", span)[-1].lower()
@@ -317,7 +344,8 @@ def find(
 
 
 def digest(found: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """Counts of the base spans, their SHA-256, and all spans as kind:start:end."""
+    """Counts of the base spans, their SHA-256, all spans as kind:start:end, how many they are and
+    how many of them the classifier added."""
 
     def written(spans):
         return F.array_join(
@@ -328,11 +356,17 @@ def digest(found: DataFrame, id_col: str = "doc_id") -> DataFrame:
         )
 
     base = F.filter("spans", lambda s: s["base"])
+    added = F.filter("spans", lambda s: ~s["base"])
 
     def count(kind: str):
         return F.size(F.filter(base, lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
 
-    counts = [count(kind) for kind in KINDS]
+    counts = [count(kind) for kind in BASE_KINDS]
     return found.select(
-        id_col, *counts, F.sha2(written(base), 256).alias("base_sha256"), written(F.col("spans")).alias("spans")
+        id_col,
+        *counts,
+        F.sha2(written(base), 256).alias("base_sha256"),
+        written(F.col("spans")).alias("spans"),
+        F.size("spans").cast("long").alias("n_spans"),
+        F.size(added).cast("long").alias("n_added"),
     )

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+import re
 import zlib
 from collections import defaultdict
 
@@ -132,7 +133,7 @@ def test_base_spans_match_the_patterns():
 
 
 def test_long_runs_take_no_square_time():
-    for run in ("a" * 300_000, "1" * 300_000, "1." * 150_000, "+1" + " " * 300_000, "1 " * 150_000):
+    for run in ("a" * 300_000, "1" * 300_000, "1." * 150_000, "+1" + " " * 300_000, "1 " * 150_000, "a1" * 150_000):
         pii.candidate_spans(run, pii.base_spans(run))
 
 
@@ -155,6 +156,48 @@ def test_personal_data(spark, documents, plain):
     assert pii.find(table.limit(0), pii.train(table.limit(0))).count() == 0
 
 
+def test_secrets_are_added(spark):
+    """Planted tokens come from the classifier alone; names, numbers and identifiers stay."""
+    draw = random.Random(7)
+    rows, planted = [], {}
+    for i in range(300):
+        filler = " ".join(draw.choices("the house on a hill was sold to them".split(), k=30))
+        if i % 3 == 0:
+            token = "".join(draw.choices("0123456789abcdef", k=40))
+            start = len(filler) + len(' token = "')
+            rows.append((i, f'{filler} token = "{token}" {filler}'))
+            planted[i] = f"secret:{start}:{start + 40}"
+        elif i % 3 == 1:
+            rows.append((i, f"{filler} see a-chapter-of-the-long-book-2024 and 98079157628044908123 {filler}"))
+        else:
+            rows.append((i, f"{filler} mail joe{i}@example.com {filler}"))
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    for r in pii.digest(pii.find(table, pii.train(table))).collect():
+        if r.doc_id % 3 == 2:
+            assert (r.n_email, r.n_spans, r.n_added) == (1, 1, 0)
+        else:
+            assert r.spans == planted.get(r.doc_id, "")
+            assert r.n_added == r.n_spans == (r.doc_id in planted)
+            assert r.base_sha256 == brute.sha(b"")
+
+
+def test_secrets_of_documents(spark):
+    """Every quoted token of the tables is found, and nothing else is called a secret."""
+    docs = spark.read.parquet(f"{SF_DIR.replace('0.001', '0.01')}/documents.parquet")
+    planted = {
+        (r.doc_id, m.start(1), m.end(1))
+        for r in docs.collect()
+        for m in re.finditer(r'(?i)token = "([0-9a-f]{40})"', r.text or "")
+    }
+    found = {
+        (r.doc_id, s.start, s.end)
+        for r in pii.find(docs, pii.train(docs)).collect()
+        for s in r.spans
+        if not s.base
+    }
+    assert planted and found == planted
+
+
 def test_reliabilities_are_recovered():
     """Votes made from known reliabilities: the posterior tells the classes apart."""
     draw = np.random.default_rng(4)
