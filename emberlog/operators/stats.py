@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from datetime import datetime, timedelta
+from datetime import UTC, datetime, time, timedelta
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -87,21 +87,54 @@ def store_bytes(store: LogStore) -> DataFrame:
     return _sizes(store, ["name"]).agg(F.coalesce(F.sum("bytes"), F.lit(0)).alias("bytes"))
 
 
-def totals(logs: DataFrame, as_of: str | datetime) -> DataFrame:
-    """T1 to T5 from one scan: (section, name, rows, text).
-
-    The scan is folded to one row per (level, service) before the totals by
-    level, by service and overall are taken, so nothing large is expanded.
-    """
+def _folded(logs: DataFrame, as_of: str | datetime) -> DataFrame:
+    """One row per (level, service), so that nothing large is expanded into totals."""
     now = instant(as_of)
     ts = F.col("timestamp")
-    base = logs.groupBy("level", "service").agg(
+    return logs.groupBy("level", "service").agg(
         F.count("*").alias("rows"),
         F.min(ts).alias("oldest"),
         F.max(ts).alias("newest"),
         F.count_if(ts >= ts_lit(now - timedelta(minutes=1))).alias("last_1m"),
         F.count_if(ts >= ts_lit(now - timedelta(minutes=5))).alias("last_5m"),
     )
+
+
+def totals(logs: DataFrame, as_of: str | datetime) -> DataFrame:
+    """T1 to T5 from one scan of rows: (section, name, rows, text)."""
+    return _lines(_folded(logs, as_of))
+
+
+def store_totals(store: LogStore, as_of: str | datetime) -> DataFrame:
+    """``totals`` of a store, parked rows included, without a scan of its rows.
+
+    Numbers of rows come from the daily counts.  Of the raw rows only the first and the last day
+    are read, where the oldest and the newest stand, and the days of the last five minutes.
+    """
+    parts = [_folded(store.scan_stray(), as_of)]
+    days = store.days()
+    if days:
+        begin, end = (datetime.combine(day, time(), UTC) for day in (days[0], days[-1] + timedelta(days=1)))
+        one = timedelta(days=1)
+        recent = instant(as_of) - timedelta(minutes=5)
+        spans = [(begin, begin + one), (end - one, end)]
+        if recent < end:
+            spans.append((recent, end))
+        seen = _folded(store.scan_logs_in(spans), as_of).withColumn("rows", F.lit(0).cast("bigint"))
+        parts.append(seen)
+    empty = F.lit(None).cast("timestamp")
+    none = F.lit(0).cast("bigint")
+    both = store.scan_partials("day").select(
+        "level", "service", F.col("count").alias("rows"), empty.alias("oldest"), empty.alias("newest"),
+        none.alias("last_1m"), none.alias("last_5m"),
+    )
+    for part in parts:
+        both = both.unionByName(part)
+    return _lines(both)
+
+
+def _lines(base: DataFrame) -> DataFrame:
+    """(section, name, rows, text) by level, by service and overall."""
     sets = base.groupingSets([["level"], ["service"], []], "level", "service").agg(
         F.grouping_id().alias("part"),
         F.sum("rows").alias("rows"),
@@ -148,8 +181,14 @@ def store_report(
     *,
     retention_days: int = DEFAULT_RETENTION_DAYS,
     lookahead_days: int = DEFAULT_LOOKAHEAD_DAYS,
+    source: str = "rollup",
 ) -> DataFrame:
-    """Everything known about the store, as (section, name, rows, text)."""
+    """Everything known about the store, as (section, name, rows, text).
+
+    ``source="raw"`` counts the rows themselves, for a store whose daily counts are missing or in doubt.
+    """
+    if source not in ("rollup", "raw"):
+        raise ValueError("source must be 'rollup' or 'raw'")
     whole = F.col("name").isNull()
     sizes = _sizes(store, ["name"], []).select(
         F.when(whole, F.lit("store")).otherwise(F.lit("partitions")).alias("section"),
@@ -175,5 +214,8 @@ def store_report(
             )
         )
     )
-    report = totals(store.scan_logs(include_stray=True), as_of)
+    if source == "raw":
+        report = totals(store.scan_logs(include_stray=True), as_of)
+    else:
+        report = store_totals(store, as_of)
     return report.unionByName(sizes).unionByName(config)

@@ -309,6 +309,29 @@ def test_stray_rows_are_moved_or_dropped(store, logs):
     assert retention.reconcile_stray(store, AS_OF, 30) == retention.Reconciled(0, [])
 
 
+def test_report_totals_need_no_scan_of_the_rows(store, logs):
+    """Equal to a scan for any clock, and only the first, the last and the recent days are read."""
+    def lines(**how):
+        return sorted(map(str, stats.store_report(store, clock, **how).collect()))
+
+    clock = AS_OF
+    assert lines() == lines(source="raw")  # nothing stored yet
+    for k in range(6):
+        rows = [(day(-k, h), level, f"s{h}", "x") for h in (0, 9, 23) for level in ("info", "error")]
+        store.load_batch(logs([*rows, (str(AS_OF - timedelta(days=k, seconds=30)), "warn", "now", "y")]), f"b{k}")
+    store.park_stray(logs([(day(-95), "info", "old", "x"), (day(3), "debug", "new", "x")]), "late")
+    for clock in (AS_OF, AS_OF - timedelta(days=2), AS_OF + timedelta(days=400), AS_OF - timedelta(days=400)):
+        assert lines() == lines(source="raw")
+    read = stats.store_totals(store, AS_OF).inputFiles()
+    days = {f.split("/logs/dt=")[1][:10] for f in read if "/logs/" in f}
+    middle = {str(TODAY - timedelta(days=k)) for k in (1, 2, 3)}
+    assert days and not days & middle
+    store.add_counts(logs([(day(0), "info", "a", "x")]), "day", "wrong")
+    assert lines() != lines(source="raw")
+    with pytest.raises(ValueError, match="source"):
+        stats.store_report(store, AS_OF, source="guess")
+
+
 def test_a_move_that_died_before_clearing_the_stray_rows_can_run_again(store, logs, monkeypatch):
     store.park_stray(logs([(day(1), "info", "a", "x")]), "late")
     real = folders.remove
