@@ -139,6 +139,7 @@ def search_store(
     hour, or the newest day, on the days are searched backwards, each time twice as many,
     until the page is full: no day is read twice and no other day is listed.  The
     rows of the page itself, at most ``limit``, are what passes through the driver.
+    Batches whose summary of messages (``sources.grams``) lacks a string of ``q`` are not read.
     """
     limit = DEFAULT_LIMIT if limit is None else limit
     keys = dict(service=service, level=level, since=since, until=until)
@@ -168,7 +169,7 @@ def search_store(
     missing = limit
     for first, last in spans:
         rows = all_filters(
-            store.scan_logs(first, last), **{**filters, "since": first, "until": last}
+            store.scan_logs(first, last, may_hold=q), **{**filters, "since": first, "until": last}
         )
         if at is not None:
             rows = after_cursor(rows, *at)

@@ -391,6 +391,12 @@ ORACLE: dict[str, str] = {
         SELECT conv_id || '-' || turn AS id, role AS service,
                CAST(length(text) AS INTEGER) AS n_chars
         FROM conversations WHERE lower(text) LIKE '%que %'""",
+    "f4_by_message_summary": q(
+        " UNION ALL ".join(
+            f"SELECT {LOG_ROW}, '{text}' AS q FROM logs WHERE message ILIKE '%{text}%'"
+            for text in ("timetable", "Si%Ced", "c_")
+        )
+    ),
     "f7_project_log": q(f"SELECT {LOG_ROW} FROM logs"),
     "q1_search_logs": q(newest("true", 100)),
     "q1_search_service_level": q(

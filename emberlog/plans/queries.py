@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from emberlog.functions import variants
-from emberlog.functions.predicates import all_filters
+from emberlog.functions.predicates import all_filters, by_message
 from emberlog.functions.time import instant, is_stale, iso_text, time_bucket
 from emberlog.operators import aggregate as agg
 from emberlog.operators import dead_letters as dead
@@ -22,7 +22,7 @@ from emberlog.plans.tables import AS_OF, RETENTION_DAYS
 from emberlog.schema import DEAD_LETTER_LIMIT
 from emberlog.session import configure, scratch
 from emberlog.sources import envelopes as env
-from emberlog.sources import folders
+from emberlog.sources import folders, grams
 from emberlog.sources.compaction import compact_days, remove_replaced
 from emberlog.sources.store import GRAINS, LogStore
 from emberlog.streaming import ingest, live, tail
@@ -436,6 +436,18 @@ def f4_by_message_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("id", "service", F.length("message").alias("n_chars"))
 
 
+@query
+def f4_by_message_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three searches over the batches that the summary of messages leaves."""
+    store = tables.fill_store(tables.new_store(spark, "grams"), tables.event_logs(spark, sf_dir))
+    grams.refresh(store)
+    found = [
+        log_rows(store.scan_logs(may_hold=q).filter(by_message(q))).withColumn("q", F.lit(q))
+        for q in ("timetable", "Si%Ced", "c_")
+    ]
+    return found[0].unionByName(found[1]).unionByName(found[2])
+
+
 @query
 def f7_project_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     return log_rows(search.project_log(tables.main_store(spark, sf_dir).scan_logs()))

@@ -9,6 +9,7 @@ Layout below ``root`` (all Parquet)::
     stray/dt=…/batch_id=…           rows waiting to be moved into their day
     rejected/batch_id=…             what ingestion refused, and why
     dead_letters/failed_ms=…/dead_id=…  entries of batches that failed to load
+    message_grams/dt=…/batch_id=…   summaries of messages, where they were asked for
     packs/dt=…/…                    what each packed copy of a day replaces
 
 Every write replaces exactly the ``(dt, batch_id)`` directories of its own batch,
@@ -32,7 +33,7 @@ from pyspark.sql import types as T
 from emberlog.functions.predicates import by_spans, by_time, pair_values
 from emberlog.functions.time import instant, time_bucket
 from emberlog.schema import DEAD_ENTRIES, LOGS, REJECTED, ROLLUP, PAIR_COLUMNS
-from emberlog.sources import folders, packs
+from emberlog.sources import folders, grams, packs
 
 GRAINS = {"minute": "1m", "hour": "1h", "day": "1d"}
 _FOLDERS = {"minute": "minute", "hour": "hourly", "day": "daily"}
@@ -88,6 +89,10 @@ class LogStore:
     def dead_path(self) -> str:
         return f"{self.root}/dead_letters"
 
+    @property
+    def grams_path(self) -> str:
+        return f"{self.root}/message_grams"
+
     def rollup_path(self, grain: str) -> str:
         return f"{self.root}/{_FOLDERS[grain]}_counts"
 
@@ -140,13 +145,25 @@ class LogStore:
         until: str | datetime | None = None,
         *,
         include_stray: bool = False,
+        may_hold: str | None = None,
     ) -> DataFrame:
-        """Stored rows in ``[since, until)``; the bounds also prune day directories."""
-        rows = self._read_days(self.logs_path, LOGS, since, until)
+        """Stored rows in ``[since, until)``; the bounds also prune day directories.
+
+        ``may_hold`` leaves out batches whose summary shows that no message matches this search;
+        the rows of the others are not filtered by it.
+        """
+        parts = grams.parts_to_read(self, may_hold, since, until) if may_hold else None
+        if parts is None:
+            rows = self._read_days(self.logs_path, LOGS, since, until)
+        else:
+            rows = packs.visible(self.read_logs(parts), self.logs_path, self.root)
         if include_stray:
             rows = rows.unionByName(self.scan_stray())
         return rows.filter(by_time(since, until, day="dt"))
 
+    def read_logs(self, parts: list[str]) -> DataFrame:
+        return self._read(self.logs_path, LOGS, parts)
+
     def scan_stray(self) -> DataFrame:
         return self._read(self.stray_path, LOGS)
 
@@ -222,9 +239,14 @@ class LogStore:
         """Store accepted rows under ``batch_id`` (or the one each row carries)."""
         if batch_id is not None:
             logs = logs.withColumn("batch_id", F.lit(check_batch_id(batch_id)))
+            self._remove_parts(self.grams_path, batch_id)
         logs = logs.withColumns(pair_values(F.col("attributes")))
         self._replace_parts(logs.select(LOGS.fieldNames()), self.logs_path, "service", "timestamp")
 
+    def replace_grams(self, found: DataFrame) -> None:
+        """Put the summaries of whole (dt, batch_id) directories; sorted, so few row groups match."""
+        self._replace_parts(found, self.grams_path, "gram")
+
     def park_stray(self, logs: DataFrame, batch_id: str) -> None:
         """Store rows outside the table proper, to be moved or dropped by the repair job."""
         logs = logs.withColumn("batch_id", F.lit(check_batch_id(batch_id)))
@@ -317,9 +339,12 @@ class LogStore:
 
     def discard_batch(self, batch_id: str) -> None:
         check_batch_id(batch_id)
-        for path in (*map(self.rollup_path, GRAINS), self.logs_path):
-            for part in folders.matching(self.spark, f"{path}/dt=*/batch_id={batch_id}"):
-                folders.remove(self.spark, part)
+        for path in (*map(self.rollup_path, GRAINS), self.grams_path, self.logs_path):
+            self._remove_parts(path, batch_id)
+
+    def _remove_parts(self, path: str, batch_id: str) -> None:
+        for part in folders.matching(self.spark, f"{path}/dt=*/batch_id={batch_id}"):
+            folders.remove(self.spark, part)
 
     # -- day directories -----------------------------------------------------
 
@@ -338,4 +363,5 @@ class LogStore:
     def drop_day(self, path: str, day: date) -> bool:
         if path == self.logs_path:
             folders.remove(self.spark, f"{self.root}/packs/dt={day.isoformat()}")
+            folders.remove(self.spark, f"{self.grams_path}/dt={day.isoformat()}")
         return folders.remove(self.spark, f"{path}/dt={day.isoformat()}")
