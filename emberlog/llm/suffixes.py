@@ -1,11 +1,11 @@
 """Operator 5: remove repeated byte strings by longest-previous-factor arrays.
 
-Byte windows are brought together by key (see ``repeats``).  A task ranks all positions of
-its segments in suffix order by prefix doubling, up to the length asked for, ties by
-position.  In that order the previous smaller position of a suffix is its neighbour inside
-the block of suffixes that agree in so many bytes, or there is none, and the next smaller
-position then agrees in fewer; so the longest previous factor reaches the length exactly
-when a position is not the first of its block.  Later copies go, the first one stays.
+Byte windows are brought together by key (see ``repeats``), as segments of consecutive ones.  A task
+puts all suffixes of its segments in order; previous and next smaller positions give the
+longest previous factors (see ``factors``).  Bytes of a factor that reaches the length asked for
+go, the first copy stays.  All windows with the same bytes meet, so it is decided within one
+task which factors reach that length; a factor is followed to the end of its segment, and the
+next segment goes on from there.
 """
 
 from __future__ import annotations
@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from emberlog.llm import repeats as R
+from emberlog.llm.factors import SuffixOrder, longest_previous_factors
 from emberlog.llm.sketches import SeenTwice, merged, sketch_rows
 from emberlog.llm.text import (
     _BYTE,
@@ -34,8 +35,10 @@ from emberlog.llm.text import (
 
 #: Bytes of the gram whose smallest hash is a window's key.
 GRAM_BYTES = 32
-#: Bytes of distinct segments ranked together.
+#: Bytes of distinct segments put in order together.
 RANK_BYTES = 1 << 20
+#: A segment with more windows is cut, so few rounds of doubling reach its end.
+SEGMENT_WINDOWS = 512
 
 
 def _windows(chunk: Chunk, size: int):
@@ -65,43 +68,15 @@ def _met_keys(chunk: Chunk, size: int) -> np.ndarray:
     return np.append(key[begin], key[begin[leftmost != rightmost]])
 
 
-def suffix_ranks(data: np.ndarray, size: int) -> np.ndarray:
-    """Rank of every position among all by its first ``size`` bytes, equal ones alike;
-    for the positions that have so many bytes after them."""
-    length = min(8, 1 << (size.bit_length() - 1))
-    count = len(data) - length + 1
-    packed = np.zeros(count, np.uint64)
-    for k in range(length):
-        packed = (packed << np.uint64(8)) | data[k : k + count]
-    ranks = np.unique(packed, return_inverse=True)[1]
-    while length < size:
-        step = min(length, size - length)
-        count = len(ranks) - step
-        pair = (ranks[:count].astype(np.uint64) << np.uint64(32)) | ranks[step:].astype(np.uint64)
-        ranks = np.unique(pair, return_inverse=True)[1]
-        length += step
-    return ranks
-
-
-def has_previous_factor(
-    data: np.ndarray, at: np.ndarray, doc: np.ndarray, place: np.ndarray, size: int
-) -> tuple[np.ndarray, np.ndarray]:
-    """For the windows at ``at`` of ``data``, at ``place`` of document ``doc``: does its longest
-    previous factor reach ``size``; and is it the first of its block?"""
-    rank = suffix_ranks(data, size)[at]
-    order = np.lexsort((place, doc, rank))
-    rank, doc, place = rank[order], doc[order], place[order]
-    first = np.ones(len(order), bool)
-    first[1:] = rank[1:] != rank[:-1]
-    block = np.flatnonzero(first)[np.cumsum(first) - 1]
-    later = (doc > doc[block]) | (place > place[block])
-    found, leads = np.zeros(len(order), bool), np.zeros(len(order), bool)
-    found[order], leads[order] = later, first
-    return found, leads
+def _pieces(begin: np.ndarray, length: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """The runs, those with more than ``most`` windows cut."""
+    count = -(-length // most)
+    skip = most * (np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count))
+    return np.repeat(begin, count) + skip, np.minimum(np.repeat(length, count) - skip, most)
 
 
 class _Segments:
-    """Distinct segments held until they are ranked together; those that hold the first
+    """Distinct segments held until they are put in order together; those that hold the first
     occurrence of a window of the last key stay for its later rows."""
 
     def __init__(self, size: int):
@@ -112,7 +87,7 @@ class _Segments:
         self.key: int | None = None
 
     def full(self) -> bool:
-        """Enough new bytes to be worth ranking what is carried again."""
+        """Enough new bytes to be worth ordering what is carried again."""
         return self.bytes >= max(RANK_BYTES, self.carried)
 
     def add(self, key, doc, fp, start, segment: bytes) -> tuple | None:
@@ -136,19 +111,19 @@ class _Segments:
         doc, fp, start = (np.array([r[i] for r in rows], np.int64) for i in (1, 2, 3))
         at, row = window_starts(edges, size)
         place = start[row] + at - edges[row]
-        found, leads = has_previous_factor(data, at, doc[row], place, size)
+        factor, leads = longest_previous_factors(SuffixOrder(data, edges, size), at, doc[row], place)
         leading = set(row[leads].tolist())
         stay = [(*r[:5], True) for i, r in enumerate(rows) if r[0] == self.key and i in leading]
         done = np.array([r[5] for r in rows])
-        found &= ~done[row]
+        found = (factor >= size) & ~done[row]
         begin, count = runs(at[found], row[found])
         self.rows, self.bytes = stay, 0
         self.carried = sum(len(r[4]) for r in stay)
         self.seen = {r[4]: (r[1], r[3]) for r in stay}
         if not len(begin):
             return None
-        rows_of, first = row[found][begin], place[found][begin]
-        return R.range_batch(doc[rows_of], fp[rows_of], first, first + count + size - 1)
+        rows_of, stop = row[found][begin], (place + factor)[found][begin + count - 1]
+        return R.range_batch(doc[rows_of], fp[rows_of], place[found][begin], stop)
 
 
 def _decide(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
@@ -180,7 +155,7 @@ def _emit_chunk(chunk: Chunk, ids, prints, test: SeenTwice, twice, size: int):
     if not len(begin):
         return
     chosen = test.test(twice, key[begin])
-    begin, length = begin[chosen], length[chosen]
+    begin, length = _pieces(begin[chosen], length[chosen], max(size, SEGMENT_WINDOWS))
     if not len(begin):
         return
     at, row = starts[begin], owner[begin]

@@ -10,7 +10,6 @@ from hypothesis import strategies as st
 from emberlog.llm import text as T
 from emberlog.llm.components import _forest
 from emberlog.llm.sketches import CountMin, SeenTwice
-from emberlog.llm.suffixes import suffix_ranks
 
 TEXTS = st.lists(st.text(alphabet="aB é\n\t\x0b.", max_size=30) | st.none(), max_size=12)
 
@@ -46,17 +45,6 @@ def test_spans_and_minima(values, size):
     assert T.sliding_min(array, size).tolist() == [min(w) for w in wanted]
 
 
-@given(st.binary(max_size=80), st.integers(1, 20))
-@settings(max_examples=200, deadline=None)
-def test_suffix_ranks_are_in_order(data, size):
-    if len(data) < size:
-        return
-    ranks = suffix_ranks(np.frombuffer(data, np.uint8), size).tolist()
-    parts = [data[k : k + size] for k in range(len(data) - size + 1)]
-    order = {part: at for at, part in enumerate(sorted(set(parts)))}
-    assert ranks == [order[part] for part in parts]
-
-
 @given(st.lists(st.lists(st.integers(0, 200), max_size=40), max_size=4))
 @settings(max_examples=100, deadline=None)
 def test_merged_sketches_never_lose_a_repeat(parts):
