@@ -66,7 +66,8 @@ def resolved(
 ) -> DataFrame:
     """Bring equal keys together in order of position and let ``decide`` name the removed ranges.
 
-    Sorted input lets a task stream through its keys, so a key of any size fits.
+    A key goes to one task, which streams through its sorted rows; what ``decide`` holds of a
+    key is its distinct content, so a key with much of that takes one task long and grows it.
     """
     dealt = rows.repartition("key").sortWithinPartitions("key", "doc", "start")
     return dealt.mapInArrow(decide, RANGE)
