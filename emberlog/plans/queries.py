@@ -329,12 +329,8 @@ def dead_store(spark: SparkSession, sf_dir: str) -> LogStore:
 @query
 def w6_dead_letter_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All pages of the queue."""
-    store, after, pages = dead_store(spark, sf_dir), None, []
-    while parts := dead.oldest_dead(store, DEAD_LETTER_LIMIT, after):
-        pages.append(dead.dead_letter_list(store, after=after))
-        after = dead.position(parts[-1])
-    listed = reduce(DataFrame.unionByName, pages)
-    return listed.withColumn("failed_at", iso_text(F.col("failed_at")))
+    pages = dead.dead_letter_pages(dead_store(spark, sf_dir), DEAD_LETTER_LIMIT)
+    return pages.drop("page").withColumn("failed_at", iso_text(F.col("failed_at")))
 
 
 @query
@@ -347,7 +343,7 @@ def w6_dead_letter_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
 def w7_dead_letter_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
     store = dead_store(spark, sf_dir)
     done = dead.dead_letter_replay(store)
-    waiting = len(dead.oldest_dead(store))
+    waiting = dead.waiting(store)
     return with_ids(store).select(
         F.lit(done.replayed).cast("bigint").alias("replayed"),
         F.lit(done.still_failed).cast("bigint").alias("still_failed"),

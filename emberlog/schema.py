@@ -73,6 +73,19 @@ DEAD_ENTRIES = T.StructType(
     ]
 )
 
+#: A dead letter in the queue: its place (day of failure and write), time of failure and id.
+DEAD_LETTER = T.StructType(
+    [
+        T.StructField("failed_ms", T.LongType()),
+        T.StructField("dead_id", T.StringType()),
+        T.StructField("failed_dt", T.DateType()),
+        T.StructField("written", T.StringType()),
+    ]
+)
+
+#: Entries as they are stored; the place is a partition.
+QUEUED = T.StructType([*DEAD_ENTRIES.fields, *DEAD_LETTER.fields[2:]])
+
 REJECTED = T.StructType(
     [
         T.StructField("envelope", T.StringType()),

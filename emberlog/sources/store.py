@@ -8,7 +8,9 @@ Layout below ``root`` (all Parquet)::
     daily_counts/dt=…/batch_id=…    partial counts per (day, service, level)
     stray/dt=…/batch_id=…           rows waiting to be moved into their day
     rejected/batch_id=…             what ingestion refused, and why
-    dead_letters/failed_ms=…/dead_id=…  entries of batches that failed to load
+    dead_letters/failed_dt=…/written=…  entries of batches that failed to load, many to a directory
+    dead_gone/note=…                which of them left the queue
+    dead_done/…                     the notes that count
     message_grams/dt=…/batch_id=…   summaries of messages, where they were asked for
     packs/dt=…/…                    what each packed copy of a day replaces
 
@@ -32,7 +34,15 @@ from pyspark.sql import types as T
 
 from emberlog.functions.predicates import by_spans, by_time, pair_values
 from emberlog.functions.time import instant, time_bucket
-from emberlog.schema import DEAD_ENTRIES, LOGS, REJECTED, ROLLUP, PAIR_COLUMNS
+from emberlog.schema import (
+    DEAD_ENTRIES,
+    DEAD_LETTER,
+    LOGS,
+    PAIR_COLUMNS,
+    QUEUED,
+    REJECTED,
+    ROLLUP,
+)
 from emberlog.sources import folders, grams, packs
 
 GRAINS = {"minute": "1m", "hour": "1h", "day": "1d"}
@@ -66,6 +76,17 @@ def with_filters(writer: DataFrameWriter) -> DataFrameWriter:
     )
 
 
+def among(
+    rows: DataFrame,
+    letters: DataFrame,
+    how: str,
+    keys: tuple[str, ...] = tuple(DEAD_LETTER.fieldNames()),
+) -> DataFrame:
+    """Rows whose keys are among ``letters`` (``left_semi``) or are not (``left_anti``)."""
+    same = [F.col(f"rows.{key}").eqNullSafe(F.col(f"letters.{key}")) for key in keys]
+    return rows.alias("rows").join(letters.select(*keys).alias("letters"), same, how)
+
+
 @dataclass(frozen=True)
 class LogStore:
     spark: SparkSession
@@ -89,6 +110,14 @@ class LogStore:
     def dead_path(self) -> str:
         return f"{self.root}/dead_letters"
 
+    @property
+    def gone_path(self) -> str:
+        return f"{self.root}/dead_gone"
+
+    @property
+    def done_path(self) -> str:
+        return f"{self.root}/dead_done"
+
     @property
     def grams_path(self) -> str:
         return f"{self.root}/message_grams"
@@ -211,8 +240,25 @@ class LogStore:
     def scan_rejected(self) -> DataFrame:
         return self._read(self.rejected_path, REJECTED)
 
-    def scan_dead(self, parts: list[str] | None = None) -> DataFrame:
-        return self._read(self.dead_path, DEAD_ENTRIES, parts)
+    def scan_dead(self) -> DataFrame:
+        return self.scan_queued().select(DEAD_ENTRIES.fieldNames())
+
+    def scan_queued(self) -> DataFrame:
+        """Entries of the dead letters that wait, each with its place."""
+        rows, gone = self._read(self.dead_path, QUEUED), self.notes()
+        return among(rows, self.scan_notes(gone), "left_anti") if gone else rows
+
+    def notes(self, done: bool = True) -> list[str]:
+        """Names of the notes that count, or of those that do not yet."""
+        closed = {path.rsplit("/", 1)[1] for path in folders.matching(self.spark, f"{self.done_path}/*")}
+        found = folders.matching(self.spark, f"{self.gone_path}/note=*")
+        names = [folders.partition_values(path)["note"] for path in found]
+        return [name for name in names if (name in closed) == done]
+
+    def scan_notes(self, names: list[str]) -> DataFrame:
+        """The dead letters that some notes name."""
+        paths = [f"{self.gone_path}/note={name}" for name in names]
+        return self.spark.read.schema(DEAD_LETTER).parquet(*paths)
 
     # -- writes --------------------------------------------------------------
 
