@@ -1,6 +1,6 @@
 """Operator 11: token ids as wavelet matrices, one compressed file per shard.
 
-Documents are brought into ascending order of their ids and encoded; runs of whole documents become
+Documents are encoded and brought into ascending order of their ids; runs of whole documents become
 shards.  A shard's ids are stored as one bit-plane per bit of an id, highest first: every plane
 holds its bit of all ids in the order that the planes above left them in, zeros before ones.
 With counts of ones per block (rank) a position is followed down the planes, which gives the id there, how
@@ -26,7 +26,10 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from emberlog.llm.repeats import payloads
 from emberlog.llm.text import bounded_batches, chunks, id_of, null_id, word_codes
+from emberlog.session import scratch
+from emberlog.sources import folders
 
 # The vocabulary, the id that ends a document, and a special token of the vocabulary.
 VOCABULARY = "word_bpe_49k.json"
@@ -80,7 +83,7 @@ class WaveletMatrix:
             planes.append(plane)
             counts = np.bitwise_count(plane).reshape(-1, BLOCK_WORDS)
             ones.append(counts.sum(axis=1, dtype=np.uint16))
-            left = np.concatenate([left[~bit], left[bit]])
+            left = np.concatenate([np.compress(~bit, left), np.compress(bit, left)])
         return cls(len(ids), planes, ones)
 
     def _ones_before(self, level: int, places: np.ndarray) -> np.ndarray:
@@ -124,8 +127,8 @@ class WaveletMatrix:
             )
             one = bits.view(bool)
             above = np.empty_like(out)
-            above[~one] = out[: self.zeros[level]]
-            above[one] = out[self.zeros[level] :]
+            above[np.flatnonzero(~one)] = out[: self.zeros[level]]
+            above[np.flatnonzero(one)] = out[self.zeros[level] :]
             out = above | bits.astype(np.uint32) << np.uint32(self.levels - 1 - level)
         return out
 
@@ -327,19 +330,42 @@ def write_files(
     spark = docs.sparkSession
     bounded_batches(spark)
     with open(vocabulary or vocabulary_path(), encoding="utf-8") as file:
-        held = spark.sparkContext.broadcast(Encoder(file.read()))
+        coder = Encoder(file.read())
+    levels = coder.levels(end)
+    kind = np.uint16 if levels <= 16 else np.uint32
+    held = spark.sparkContext.broadcast(coder)
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     rows = docs.select(
         id_of(id_col).alias("doc"), F.xxhash64(text).alias("fp"),
         F.monotonically_increasing_id().alias("row"), text.alias("text"),
     )
+
+    def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        coder = held.value
+        for batch in batches:
+            for chunk in chunks(batch.column(3), TEXT_BYTES):
+                made, each = coder.encode(chunk, end)
+                edges = np.append(0, np.cumsum(each)) * kind().nbytes
+                data = pa.py_buffer(made.astype(kind))
+                buffers = [None, pa.py_buffer(edges.astype(np.int32)), data]
+                ids = pa.Array.from_buffers(pa.binary(), len(each), buffers)
+                own = batch.slice(chunk.first, len(each))
+                yield pa.RecordBatch.from_arrays(
+                    [*own.columns[:3], ids], names=["doc", "fp", "row", "ids"]
+                )
+
+    # Written once: the ranges are chosen from a sample, which would encode everything again.
+    # Ids of two bytes are what is sorted, and workers that sort remember no words.
+    schema = "doc long, fp long, row long, ids binary"
+    drafts = scratch(spark, "encoded")
+    rows.mapInArrow(encoded, schema).write.option("compression", "zstd").parquet(drafts)
+    held.destroy()
     order = ["doc", "fp", "row"]
-    rows = rows.repartitionByRange(*order).sortWithinPartitions(*order).select("doc", "text")
+    rows = spark.read.schema(schema).parquet(drafts)
+    rows = rows.repartitionByRange(*order).sortWithinPartitions(*order).select("doc", "ids")
 
     def shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, number = TaskContext.get().partitionId(), 0
-        coder = held.value
-        levels = coder.levels(end)
         names: list[np.ndarray] = []
         sizes: list[np.ndarray] = []
         ids: list[np.ndarray] = []
@@ -356,27 +382,28 @@ def write_files(
             )
 
         for batch in batches:
-            for chunk in chunks(batch.column(1), TEXT_BYTES):
-                made, each = coder.encode(chunk, end)
-                own, ends, begin = batch.column(0).to_numpy()[chunk.first :], np.cumsum(each), 0
-                while begin < len(each):
-                    done = int(ends[begin - 1]) if begin else 0
-                    full = np.searchsorted(ends, done + shard_tokens - total)
-                    last = min(int(full) + 1, len(each))
-                    names.append(own[begin:last])
-                    sizes.append(each[begin:last])
-                    ids.append(made[done : ends[last - 1]])
-                    total += int(ends[last - 1]) - done
-                    begin = last
-                    if total >= shard_tokens:
-                        yield shard()
-                        number, total = number + 1, 0
-                        names, sizes, ids = [], [], []
+            data, edges = payloads(batch.column(1))
+            made, ends = data.view(kind), edges[1:] // kind().nbytes
+            own, each, begin = batch.column(0).to_numpy(), np.diff(edges) // kind().nbytes, 0
+            while begin < len(each):
+                done = int(ends[begin - 1]) if begin else 0
+                full = np.searchsorted(ends, done + shard_tokens - total)
+                last = min(int(full) + 1, len(each))
+                names.append(own[begin:last])
+                sizes.append(each[begin:last])
+                ids.append(made[done : ends[last - 1]])
+                total += int(ends[last - 1]) - done
+                begin = last
+                if total >= shard_tokens:
+                    yield shard()
+                    number, total = number + 1, 0
+                    names, sizes, ids = [], [], []
         if names:
             yield shard()
 
     files = rows.mapInArrow(shards, "part int, number int, n_docs long, n_tokens long, file binary")
     files.write.option("maxRecordsPerFile", 1).option("compression", "none").parquet(path)
+    folders.remove(spark, drafts)
 
 
 def read_files(spark: SparkSession, path: str) -> DataFrame:

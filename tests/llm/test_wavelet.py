@@ -141,3 +141,26 @@ def test_random_characters(coder):
     cut = np.split(ids, np.cumsum(sizes)[:-1])
     for text, found in zip(texts, cut, strict=True):
         assert found.tolist() == [*coder.encode(text, add_special_tokens=False).ids, 2], text
+
+
+def test_texts_are_encoded_before_they_are_sorted(spark, tmp_path, monkeypatch):
+    """What is dealt by range holds ids, and nothing of the drafts stays."""
+    docs = spark.createDataFrame([(2, "b c"), (1, "a"), (None, None)], "doc_id LONG, text STRING")
+    frame, dealt = type(docs), []
+    real = frame.repartitionByRange
+
+    def noted(self, *columns):
+        dealt.append(self.columns)
+        return real(self, *columns)
+
+    monkeypatch.setattr(frame, "repartitionByRange", noted)
+    removed, real_remove = [], wavelet.folders.remove
+    monkeypatch.setattr(
+        wavelet.folders, "remove", lambda spark, path: removed.append(path) or real_remove(spark, path)
+    )
+    path = str(tmp_path / "files")
+    wavelet.write_files(docs, path)
+    assert dealt == [["doc", "fp", "row", "ids"]]
+    assert [wavelet.folders.exists(spark, p) for p in removed] == [False]
+    found = wavelet.documents_of(wavelet.read_files(spark, path)).orderBy("start").collect()
+    assert [(r.doc_id, r.start) for r in found] == [(1, 0), (2, 2), (None, 5)]
