@@ -83,13 +83,20 @@ class SuffixOrder:
         """How many bytes suffixes share that share ``size`` at least."""
         length = np.full(len(one), self.size)
         most = np.minimum(self.rest[one], self.rest[two])
+        # Whole depths first, which ranks tell, then what is left by heads.
+        whole = np.flatnonzero(length < most)
+        while len(whole):
+            alike = self.near[one[whole] + length[whole]] == self.near[two[whole] + length[whole]]
+            whole = whole[alike]
+            length[whole] = np.minimum(length[whole] + self.depth, most[whole])
+            whole = whole[length[whole] < most[whole]]
         going = np.flatnonzero(length < most)
         while len(going):
             a, b = one[going] + length[going], two[going] + length[going]
             differ = (self.heads[a] ^ self.heads[b]) >> np.uint64(8)
-            step = np.full(len(going), HEAD)
-            for k in range(HEAD - 1, -1, -1):
-                step[(differ >> np.uint64(8 * (HEAD - 1 - k))) & np.uint64(255) != 0] = k
+            step = np.zeros(len(going), np.int64)
+            for k in range(HEAD):
+                step += differ < np.uint64(1 << 8 * k)
             length[going] = np.minimum(length[going] + step, most[going])
             going = going[(step == HEAD) & (length[going] < most[going])]
         return length

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import random
+
 import numpy as np
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -70,3 +72,17 @@ def test_long_runs_are_cut_without_gaps():
     begin, length = _pieces(np.array([3, 50]), np.array([10, 4]), 4)
     assert list(zip(begin.tolist(), length.tolist())) == [(3, 4), (7, 4), (11, 2), (50, 4)]
     assert [len(x) for x in _pieces(np.empty(0, np.int64), np.empty(0, np.int64), 4)] == [0, 0]
+
+
+def test_long_shared_beginnings_are_passed_by_ranks():
+    """A shared beginning of thousands of bytes takes steps of the depth, not of single heads."""
+    one = bytes(random.Random(4).choices(b"abcd", k=6000))
+    data = np.frombuffer(one + b"x" + one + b"y" + one[:5000], np.uint8)
+    edges = np.array([0, 6001, 12002, 17002])
+    order = SuffixOrder(data, edges, 100)
+    read, heads = [], order.heads
+    order.heads = type("Noted", (), {"__getitem__": lambda _, at: read.append(len(at)) or heads[at]})()
+    places = np.array([0, 700, 5900]), np.array([6001, 6701, 11901])
+    assert order.shared(*places).tolist() == [6000, 5300, 100]
+    assert order.shared(np.array([0, 20]), np.array([12002, 12022])).tolist() == [5000, 4980]
+    assert sum(read) < 200
