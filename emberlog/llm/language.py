@@ -66,7 +66,8 @@ def train_machine(
 ) -> np.ndarray:
     """A linear support vector machine (squared hinge loss, classes weighted alike) by
     accelerated gradient descent; ``side`` is +1 or -1.  The last weight is the offset."""
-    x = np.hstack([rows, np.ones((len(rows), 1), rows.dtype)]).astype(np.float64)
+    x = np.ones((len(rows), rows.shape[1] + 1))
+    x[:, :-1] = rows
     share = np.where(side > 0, 0.5 / max((side > 0).sum(), 1), 0.5 / max((side < 0).sum(), 1))
     # Rows have length one, so the loss bends at most so much.
     bend = 1 / cost + 2 * 2.0
@@ -194,9 +195,12 @@ def train(
     # At most rows_per_language rows of two bytes per slot for each language.
     rows = some.mapInArrow(profile, "doc long, lang string, profile binary").toArrow()
     rows = rows.sort_by([("doc", "ascending"), ("lang", "ascending"), ("profile", "ascending")])
-    flat = rows["profile"].combine_chunks().to_pylist()
-    matrix = np.stack([np.frombuffer(p, np.float16) for p in flat]).astype(np.float32)
-    return Model(matrix, rows["lang"].to_pylist())
+    matrix = np.empty((len(rows), SLOTS), np.float32)
+    for k, profile in enumerate(rows["profile"]):
+        matrix[k] = np.frombuffer(profile.as_buffer(), np.float16)
+    names = rows["lang"].to_pylist()
+    del rows, profile  # the driver holds the profiles once
+    return Model(matrix, names)
 
 
 def identify(

@@ -189,6 +189,37 @@ def to_batches(
         yield pa.RecordBatch.from_pylist(held, schema)
 
 
+class _Inflated:
+    """Pickled compressed; bytes once it is read."""
+
+    def __init__(self, data: bytes):
+        self.data = data
+
+    def __reduce__(self):
+        return zlib.decompress, (self.data,)
+
+
+class _Bitmap:
+    """Held and sent compressed, an array where it is read: the driver never has it whole.  Reading needs
+    nothing of this package."""
+
+    def __init__(self, data: bytes):
+        self.data = data
+
+    def __reduce__(self):
+        return np.frombuffer, (_Inflated(self.data), "uint8")
+
+
+def _joined(blocks: dict[int, bytes], count: int) -> bytes:
+    """One compressed stream of ``count`` blocks, those that are missing without a bit; takes the blocks."""
+    out, none, parts = zlib.compressobj(1), bytes(BLOCK // 8), []
+    for k in range(count):
+        own = blocks.pop(k, None)
+        parts.append(out.compress(none if own is None else zlib.decompress(own)))
+    parts.append(out.flush())
+    return b"".join(parts)
+
+
 def merged(
     rows: DataFrame, sketch: SeenTwice | CountMin | Classes, cells: int, deal: str = "block"
 ) -> Broadcast:
@@ -206,12 +237,9 @@ def merged(
             ({"block": k, "bits": _pack(bitmap(v))} for k, v in states.items()), out
         )
 
-    bits = np.zeros(cells // 8, np.uint8)
-    step = BLOCK // 8
     folded = rows.repartition(deal).mapInArrow(merge, "block int, bits binary")
-    for row in folded.collect():  # at most the sketch, compressed
-        bits[row.block * step : (row.block + 1) * step] = _unpack(bytes(row.bits))
-    return spark.sparkContext.broadcast(bits)
+    blocks = {row.block: bytes(row.bits) for row in folded.collect()}  # at most the sketch, compressed
+    return spark.sparkContext.broadcast(_Bitmap(_joined(blocks, cells // BLOCK)))
 
 
 def sketch_rows(
