@@ -79,8 +79,9 @@ def signatures(
 
 
 def parity(tokens: np.ndarray) -> bytes:
-    """A bitmap of about eight bits per token; each token flips its bit."""
-    size = 1 << max(9, (8 * max(len(tokens), 1) - 1).bit_length())
+    """A bitmap of two to four bits per token; each token flips its bit.  At this size unrelated sets of
+    ``n`` tokens differ in 0.86 n bits or more, and linked ones at 85 % in 0.16 n at most."""
+    size = 1 << max(7, (2 * max(len(tokens), 1) - 1).bit_length())
     at = (mix(tokens, 44) & np.uint64(size - 1)).astype(np.int64)
     return np.packbits(np.bincount(at, minlength=size) & 1, bitorder="little").tobytes()
 
@@ -150,9 +151,9 @@ def _index(texts: DataFrame, width: int, percent: int, make) -> tuple[DataFrame,
 
 def _close_bitmaps(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs whose bitmaps do not rule them out."""
-    bits = sets.select("doc", "fp", "bits")
-    wide = sort_joined(pairs, bits.toDF("a", "fa", "bits_a"), ["a", "fa"])
-    wide = sort_joined(wide, bits.toDF("b", "fb", "bits_b"), ["b", "fb"])
+    bits = sets.where("bits is not null").select("node", "bits")
+    wide = sort_joined(pairs, bits.toDF("a", "bits_a"), ["a"])
+    wide = sort_joined(wide, bits.toDF("b", "bits_b"), ["b"])
 
     def prune(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -162,37 +163,27 @@ def _close_bitmaps(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame
                 one, two = int.from_bytes(x, "little"), int.from_bytes(y, "little")
                 far = apart(one, 8 * len(x), two, 8 * len(y))
                 kept.append(far <= most_different(na, nb, percent))
-            names = ["a", "fa", "b", "fb"]
-            yield batch.select(names).filter(pa.array(kept, pa.bool_()))
+            yield batch.select(["a", "b"]).filter(pa.array(kept, pa.bool_()))
 
-    return wide.mapInArrow(prune, "a long, fa long, b long, fb long")
+    return wide.mapInArrow(prune, "a long, b long")
 
 
 def _links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """(a, fa, b, fb) of the pairs whose sets are really so close.  Pairs come as stars: a centre's
+    """(one, two) of the written pairs whose sets are really so close.  Pairs come as stars: a centre's
     set travels once per task, the others' once per pair; a large star is split."""
-    spark = sets.sparkSession
-    path = scratch(spark, "pairs")
-    _close_bitmaps(pairs, sets, percent).write.parquet(path)
-    pairs = spark.read.parquet(path)
     # Only the sets of these pairs travel; the filter's size is fixed.
-    row = F.xxhash64("doc", "fp").alias("row")
-    ends = pairs.select(F.col("a").alias("doc"), F.col("fa").alias("fp")).union(pairs.select("b", "fb"))
-    keep = members(ends.select(row), 1 << 24)
-    items = keep(sets.where("items is not null").select("doc", "fp", "items", row), "row").drop("row")
-    sizes = pairs.groupBy("a", "fa").agg(F.count("*").alias("size"))
-    split = F.pmod(F.xxhash64("b", "fb"), F.ceil(F.col("size") / STAR_ROWS))
-    others = sort_joined(pairs, sizes, ["a", "fa"]).withColumn("part", split.cast("long"))
-    centres = others.select("a", "fa", "part").distinct()
+    ends = pairs.select(F.col("a").alias("node")).union(pairs.select("b"))
+    items = members(ends, 1 << 24)(sets.where("items is not null").select("node", "items"), "node")
+    sizes = pairs.groupBy("a").agg(F.count("*").alias("size"))
+    split = F.pmod(F.xxhash64("b"), F.ceil(F.col("size") / STAR_ROWS))
+    others = sort_joined(pairs.select("a", "b"), sizes, ["a"]).withColumn("part", split.cast("long"))
+    centres = others.select("a", "part").distinct()
     rows = (
-        sort_joined(centres, items.toDF("a", "fa", "items"), ["a", "fa"])
-        .select(
-            "a", "fa", "part", F.lit(False).alias("other"),
-            F.col("a").alias("b"), F.col("fa").alias("fb"), "items",
-        )
+        sort_joined(centres, items.toDF("a", "items"), ["a"])
+        .select("a", "part", F.lit(False).alias("other"), F.col("a").alias("b"), "items")
         .union(
-            sort_joined(others, items.toDF("b", "fb", "items"), ["b", "fb"]).select(
-                "a", "fa", "part", F.lit(True).alias("other"), "b", "fb", "items"
+            sort_joined(others, items.toDF("b", "items"), ["b"]).select(
+                "a", "part", F.lit(True).alias("other"), "b", "items"
             )
         )
     )
@@ -201,9 +192,8 @@ def _links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         centre = np.empty(0, np.uint64)
         for batch in batches:
             found = []
-            names = ("a", "fa", "b", "fb", "other", "items")
-            columns = [batch[c].to_pylist() for c in names]
-            for a, fa, b, fb, other, data in zip(*columns, strict=True):
+            columns = [batch[c].to_pylist() for c in ("a", "b", "other", "items")]
+            for a, b, other, data in zip(*columns, strict=True):
                 tokens = np.frombuffer(data, np.uint64)
                 if not other:
                     centre = tokens
@@ -212,19 +202,17 @@ def _links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 both.sort(kind="stable")
                 common = int((both[1:] == both[:-1]).sum())
                 if 100 * common >= percent * (len(both) - common):
-                    found.append((a, fa, b, fb))
+                    found.append((a, b))
             if found:
                 ends = np.array(found, np.int64).T
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(c) for c in ends], names=["a", "fa", "b", "fb"]
-                )
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in ends], names=["one", "two"])
 
-    dealt = rows.repartition("a", "fa", "part").sortWithinPartitions("a", "fa", "part", "other")
-    return dealt.mapInArrow(verify, "a long, fa long, b long, fb long")
+    dealt = rows.repartition("a", "part").sortWithinPartitions("a", "part", "other")
+    return dealt.mapInArrow(verify, "one long, two long")
 
 
 def _cells(placed: DataFrame, percent: int) -> DataFrame:
-    """(sig, cell, half, doc, fp, n, component): the rows of lists with several components.  A
+    """(sig, cell, half) and the columns of ``placed``: the rows of lists with several components.  A
     short list is one cell (-1).  A long one is cut into tiles by size band, component if that
     alone fills a tile, and hash; a cell is a pair of tiles (halves 0 and 1) that may hold close
     rows of different components, or a tile by itself (half null)."""
@@ -234,7 +222,7 @@ def _cells(placed: DataFrame, percent: int) -> DataFrame:
         F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("size")
     ).where("low != high").select("sig", "size").write.parquet(path)
     lists = spark.read.parquet(path)
-    columns = ("sig", "cell", "half", "doc", "fp", "n", "component")
+    columns = ("sig", "cell", "half", *(c for c in placed.columns if c != "sig"))
     whole = sort_joined(placed, lists.where(F.col("size") <= TILE), ["sig"], "left_semi").select(
         "*", F.lit(-1).cast("long").alias("cell"), F.lit(None).cast("int").alias("half")
     ).select(*columns)
@@ -244,7 +232,7 @@ def _cells(placed: DataFrame, percent: int) -> DataFrame:
 
     # Rows two bands apart are never of comparable size; the bands are a little too wide for that.
     band = F.floor(F.log("n") / F.log(F.lit(100.1 / percent))).alias("band")
-    rows = sort_joined(placed, long, ["sig"], "left_semi").select("sig", "doc", "fp", "n", "component", band)
+    rows = sort_joined(placed, long, ["sig"], "left_semi").select("*", band)
     groups = rows.groupBy("sig", "band", "component").agg(F.count("*").alias("size"))
     alone = F.col("size") > TILE
     mixed = groups.where(~alone).groupBy("sig", "band").agg(F.sum("size").alias("total"))
@@ -253,7 +241,7 @@ def _cells(placed: DataFrame, percent: int) -> DataFrame:
         F.when(alone, F.col("component")).otherwise(F.lit(-1)).alias("owner"),
         F.ceil(F.when(alone, F.col("size")).otherwise(F.col("total")) / TILE).alias("parts"),
     )
-    dealt = F.when(F.col("owner") < 0, F.xxhash64("component")).otherwise(F.xxhash64("doc", "fp"))
+    dealt = F.when(F.col("owner") < 0, F.xxhash64("component")).otherwise(F.xxhash64("node"))
     path = scratch(spark, "tiles")
     sort_joined(rows, owners, ["sig", "band", "component"]).withColumn(
         "part", F.pmod(dealt, F.col("parts"))
@@ -289,8 +277,8 @@ def _rest_of_lists(rows: DataFrame, percent: int, one_each: bool) -> DataFrame:
         current, held = None, {}  # of the cell: the rows of each component
         for batch in batches:
             found = []
-            names = ("sig", "cell", "half", "doc", "fp", "n", "component", "bits")
-            for sig, cell, half, doc, fp, n, component, bits in zip(
+            names = ("sig", "cell", "half", "node", "n", "component", "bits")
+            for sig, cell, half, node, n, component, bits in zip(
                 *[batch[c].to_pylist() for c in names], strict=True
             ):
                 if (sig, cell) != current:
@@ -300,36 +288,35 @@ def _rest_of_lists(rows: DataFrame, percent: int, one_each: bool) -> DataFrame:
                 own = int.from_bytes(bits, "little"), 8 * len(bits)
                 for group in list(held):
                     members = held[group]
-                    while members and 100 * members[0][2] < percent * n:
+                    while members and 100 * members[0][1] < percent * n:
                         members.pop(0)
                     if group == component:
                         continue
                     near = []
-                    for d, f, m, b, other in members:
+                    for d, m, b, other in members:
                         if half is not None and other == half:
                             continue
                         far = apart(*own, *b)
                         if far <= most_different(n, m, percent):
-                            near.append((far, (d, f, m)))
+                            near.append((far, (d, m)))
                     if one_each and near:
                         near = [min(near)]
                         now_in[group] = component
                         joined = held.setdefault(component, [])
                         joined.extend(held.pop(group))
-                        joined.sort(key=lambda row: row[2])
+                        joined.sort(key=lambda row: row[1])
                     for _, other in near:
-                        low, high = sorted([(doc, fp, n), other])
+                        low, high = sorted([(node, n), other])
                         found.append((*low, *high))
-                held.setdefault(component, []).append((doc, fp, n, own, half))
+                held.setdefault(component, []).append((node, n, own, half))
             if found:
                 columns = np.array(found, np.int64).T
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(c) for c in columns], names=["a", "fa", "na", "b", "fb", "nb"]
+                    [pa.array(c) for c in columns], names=["a", "na", "b", "nb"]
                 )
 
     dealt = rows.repartition("sig", "cell").sortWithinPartitions("sig", "cell", "n")
-    schema = "a long, fa long, na long, b long, fb long, nb long"
-    return dealt.mapInArrow(compare, schema).distinct()
+    return dealt.mapInArrow(compare, "a long, na long, b long, nb long").distinct()
 
 
 def similarity_classes(
@@ -379,89 +366,71 @@ def row_classes(
     rows, sketch = _index(
         keyed(docs, id_col, text_col), width, percent, lambda: Classes(filter_bits, counters, often)
     )
-    rows.write.parquet(path)
+    # A node of the graph is a row, numbered in no order; equal rows are linked as equal sets are.
+    rows.withColumn("node", F.monotonically_increasing_id()).write.parquet(path)
     sketch.destroy()
-    sets = spark.read.schema(_SETS).parquet(path)
-
-    # A node of the graph is a row's (doc, fp), numbered in no order.
-    path = scratch(spark, "nodes")
-    full = sets.where("n > 0").groupBy("doc", "fp").agg(F.first("d1").alias("d1"), F.first("d2").alias("d2"))
-    full.withColumn("node", F.monotonically_increasing_id()).write.parquet(path)
-    full = spark.read.parquet(path)
-    numbers = full.select("doc", "fp", "node")
+    sets = spark.read.schema(f"node long, {_SETS}").parquet(path)
 
-    def numbered(links: DataFrame) -> DataFrame:
-        one = sort_joined(links, numbers.toDF("a", "fa", "one"), ["a", "fa"])
-        return sort_joined(one, numbers.toDF("b", "fb", "two"), ["b", "fb"]).select("one", "two")
-
-    classes = full.groupBy("d1", "d2").agg(F.min(F.struct("doc", "fp", "node")).alias("first"))
-    members = sort_joined(full.select("node", "d1", "d2"), classes, ["d1", "d2"])
-    same = members.select(F.col("node").alias("one"), F.col("first.node").alias("two")).where("one != two")
+    full = sets.where("n > 0").select("node", "d1", "d2")
+    classes = full.groupBy("d1", "d2").agg(F.min("node").alias("first"))
+    same = sort_joined(full, classes, ["d1", "d2"]).where("node != first")
+    same = same.select(F.col("node").alias("one"), F.col("first").alias("two"))
 
     path = scratch(spark, "lists")
-    firsts = classes.select("first.*")
-    listed = (
-        sort_joined(sets.where(F.size("sigs") > 0).select("doc", "fp", "n", "sigs"), firsts, ["doc", "fp"])
-        .dropDuplicates(["node"])
-        .select("doc", "fp", "n", "node", F.explode(F.array_distinct("sigs")).alias("sig"))
-    )
+    firsts = classes.select(F.col("first").alias("node"))
+    listed = sort_joined(
+        sets.where(F.size("sigs") > 0).select("node", "n", "sigs"), firsts, ["node"], "left_semi"
+    ).select("node", "n", F.explode(F.array_distinct("sigs")).alias("sig"))
     centres = listed.groupBy("sig").agg(
-        F.min(F.struct("doc", "fp", "n")).alias("centre"), F.count("*").alias("size")
+        F.min(F.struct("node", "n")).alias("centre"), F.count("*").alias("size")
     )
-    sort_joined(listed, centres.where("size > 1"), ["sig"]).write.parquet(path)
+    sort_joined(listed, centres.where("size > 1"), ["sig"]).drop("size").write.parquet(path)
     listed = spark.read.parquet(path)
 
     def near(a: str, b: str):
         return 100 * F.least(a, b) >= percent * F.greatest(a, b)
 
-    stars = (
-        listed.where("doc != centre.doc or fp != centre.fp")
-        .select(
-            F.col("centre.doc").alias("a"), F.col("centre.fp").alias("fa"),
-            F.col("centre.n").alias("na"),
-            F.col("doc").alias("b"), F.col("fp").alias("fb"), F.col("n").alias("nb"),
-        )
-        .where(near("na", "nb"))
-        .distinct()
-    )
     path = scratch(spark, "stars")
-    stars.write.parquet(path)
+    listed.where("node != centre.node").select(
+        F.col("centre.node").alias("a"), F.col("centre.n").alias("na"),
+        F.col("node").alias("b"), F.col("n").alias("nb"),
+    ).where(near("na", "nb")).distinct().write.parquet(path)
     stars = spark.read.parquet(path)
+    path = scratch(spark, "pairs")
+    _close_bitmaps(stars, sets, percent).write.parquet(path)
+    close = spark.read.parquet(path)
     path = scratch(spark, "linked")
-    numbered(_links(stars, sets, percent)).union(same).distinct().write.parquet(path)
+    _links(close, sets, percent).union(same).distinct().write.parquet(path)
     linked = spark.read.parquet(path)
     found = components(linked)
 
     # First one pair for every two components that may touch, then, with what is connected
     # by now left out, all the others.
-    tested = stars.select("a", "fa", "b", "fb")
+    tested = stars.select("a", "b")
     for one_each in (True, False):
-        placed = (
-            sort_joined(listed.select("sig", "doc", "fp", "n", "node"), found, ["node"], "left")
-            .withColumn("component", F.coalesce("component", "node"))
+        placed = sort_joined(listed.select("sig", "n", "node"), found, ["node"], "left").withColumn(
+            "component", F.coalesce("component", "node")
         )
-        bits = sets.select("doc", "fp", "bits")
-        cells = sort_joined(_cells(placed, percent), bits, ["doc", "fp"])
+        bits = sets.where("bits is not null").select("node", "bits")
+        cells = sort_joined(_cells(placed, percent), bits, ["node"])
         rest = _rest_of_lists(cells, percent, one_each)
         path = scratch(spark, "rest")
-        sort_joined(rest, tested, ["a", "fa", "b", "fb"], "left_anti").write.parquet(path)
+        sort_joined(rest, tested, ["a", "b"], "left_anti").write.parquet(path)
         rest = spark.read.parquet(path)
         if not rest.take(1):
             if one_each:
                 continue  # all these pairs may be known, and others not yet
             break
-        tested = tested.union(rest.select("a", "fa", "b", "fb"))
+        tested = tested.union(rest.select("a", "b"))
         path = scratch(spark, "linked")
-        numbered(_links(rest, sets, percent)).write.parquet(path)
+        _links(rest, sets, percent).write.parquet(path)  # whose bitmaps have been compared
         later = spark.read.parquet(path)
         if later.take(1):
             found = components(later.union(found.select("node", "component")))
-    placed = sort_joined(numbers, found, ["node"])
+    # A row without links is a component of its own.
+    placed = sort_joined(sets.select("node", "doc", "fp", "n"), found, ["node"], "left")
+    placed = placed.withColumn("component", F.coalesce("component", "node")).drop("node")
     least = placed.groupBy("component").agg(F.min(F.struct("doc", "fp")).alias("least"))
-    placed = sort_joined(placed, least, ["component"]).select("doc", "fp", "least")
-    out = sort_joined(sets.select("doc", "fp", "n"), placed, ["doc", "fp"], "left")
-    return out.select(
-        "doc", "fp", "n",
-        F.coalesce("least.doc", "doc").alias("first"),
-        F.coalesce("least.fp", "fp").alias("first_fp"),
+    return sort_joined(placed, least, ["component"]).select(
+        "doc", "fp", "n", F.col("least.doc").alias("first"), F.col("least.fp").alias("first_fp")
     )
