@@ -75,6 +75,21 @@ def _pieces(begin: np.ndarray, length: np.ndarray, most: int) -> tuple[np.ndarra
     return np.repeat(begin, count) + skip, np.minimum(np.repeat(length, count) - skip, most)
 
 
+def _repeating(data: np.ndarray, edges: np.ndarray, size: int) -> np.ndarray:
+    """The segments that hold a window whose hash occurs again; only these can share ``size`` bytes."""
+    at, row = window_starts(edges, size)
+    up, down = powers(len(data) + 1)
+    total = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum(_BYTE[data] * up[:-1], out=total[1:])
+    windows = (total[at + size] - total[at]) * down[at]
+    order = np.argsort(windows)
+    windows = windows[order]
+    same = windows[1:] == windows[:-1]
+    found = np.zeros(len(edges) - 1, bool)
+    found[row[order[1:][same]]] = found[row[order[:-1][same]]] = True
+    return np.flatnonzero(found)
+
+
 class _Segments:
     """Distinct segments held until they are put in order together; those that hold the first
     occurrence of a window of the last key stay for its later rows."""
@@ -105,18 +120,25 @@ class _Segments:
         if not self.rows:
             return None
         size, rows = self.size, self.rows
+        edges = np.append(0, np.cumsum([len(r[4]) for r in rows]))
+        data = np.frombuffer(b"".join(r[4] for r in rows), np.uint8)
+        again = _repeating(data, edges, size).tolist()
+        # Every window of the other segments is the only one of its kind, so they lead and lose nothing.
+        leading = set(range(len(rows))).difference(again)
+        known, rows = rows, [rows[i] for i in again]
+        edges = np.append(0, np.cumsum([len(r[4]) for r in rows], dtype=np.int64))
         data = np.frombuffer(b"".join(r[4] for r in rows), np.uint8)
-        length = np.array([len(r[4]) for r in rows])
-        edges = np.append(0, np.cumsum(length))
         doc, fp, start = (np.array([r[i] for r in rows], np.int64) for i in (1, 2, 3))
         at, row = window_starts(edges, size)
         place = start[row] + at - edges[row]
-        factor, leads = longest_previous_factors(SuffixOrder(data, edges, size), at, doc[row], place)
-        leading = set(row[leads].tolist())
-        stay = [(*r[:5], True) for i, r in enumerate(rows) if r[0] == self.key and i in leading]
-        done = np.array([r[5] for r in rows])
-        found = (factor >= size) & ~done[row]
-        begin, count = runs(at[found], row[found])
+        begin = at[:0]
+        if rows:
+            factor, leads = longest_previous_factors(SuffixOrder(data, edges, size), at, doc[row], place)
+            leading.update(again[i] for i in np.unique(row[leads]).tolist())
+            done = np.array([r[5] for r in rows])
+            found = (factor >= size) & ~done[row]
+            begin, count = runs(at[found], row[found])
+        stay = [(*r[:5], True) for i, r in enumerate(known) if r[0] == self.key and i in leading]
         self.rows, self.bytes = stay, 0
         self.carried = sum(len(r[4]) for r in stay)
         self.seen = {r[4]: (r[1], r[3]) for r in stay}
